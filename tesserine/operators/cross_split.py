@@ -1,0 +1,100 @@
+"""Records of evaluation splits that the training split also has, by banded MinHash of identity keys.
+
+A row has up to three kinds of identity key: its cascade id, its file (name and duration), and the videos its cascade
+leads to. Each key is cut into character shingles, hashed to a MinHash signature and put into banded buckets together
+with its kind; only buckets with rows of both sides give candidates; these are verified by exact Jaccard similarity of
+their shingle sets, and for files by duration. Equal keys have equal signatures, so none of them is missed.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+SHINGLE = 3
+BANDS, ROWS_PER_BAND = 2, 3
+NEAR_SEC = 0.1
+
+# Short hosts of platforms.
+SHORT_HOSTS = {"vdrv.example": "vidriver.example"}
+# Marks of a copy or a re-encoding at the end of a file name.
+COPY_MARKS = r"(?:\s*\(\d+\)|[\s_.-]*\b(?:copy|copie|kopie)(?:[\s_-]*\(?\d+\)?)?|[\s_-]+(?:copy|copie|kopie)(?:[\s_-]*\(?\d+\)?)?|[\s_.-]+(?:re-?enc(?:oded?)?|transcoded?|compressed|converted|x26[45]|h\.?26[45]|\d{3,4}p))+$"
+
+
+def cascade_key(col: Column) -> Column:
+    """A cascade id without case, white space and separators; null where nothing remains."""
+    k = F.regexp_replace(F.lower(col), r"[^\p{L}\p{N}]+", "")
+    return F.when(k != "", k)
+
+
+def file_key(path: Column) -> Column:
+    """A file name without folder, extension, case and marks of a copy or re-encoding; null where nothing remains."""
+    name = F.regexp_extract(path, r"([^/\\]*)$", 1)
+    stem = F.trim(F.lower(F.regexp_replace(name, r"(?<=.)\.[A-Za-z0-9]{1,5}$", "")))
+    bare = F.regexp_replace(F.regexp_replace(stem, COPY_MARKS, ""), COPY_MARKS, "")
+    k = F.when(bare != "", bare).otherwise(stem)
+    return F.when(k != "", k)
+
+
+def video_key(url: Column) -> Column:
+    """``platform:id`` of an address: scheme, www., m., case of the host, form of the path and other parameters aside."""
+    u = F.trim(url)
+    rest = F.regexp_replace(F.regexp_replace(u, r"^(?i)[a-z][a-z0-9+.-]*://", ""), r"#.*$", "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(rest, r"^(?:[^/?@]*@)?([^/?:]*)", 1)), r"^(?:www\.|m\.)+", "")
+    for short, full in SHORT_HOSTS.items():
+        host = F.when(host == short, F.lit(full)).otherwise(host)
+    by_param = F.regexp_extract(rest, r"[?&]v=([^&]+)", 1)
+    by_path = F.regexp_extract(F.substring_index(rest, "?", 1), r"/([^/]+)/*$", 1)
+    vid = F.when(by_param != "", by_param).otherwise(by_path)
+    return F.when((host != "") & (vid != ""), F.concat(host, F.lit(":"), vid))
+
+
+def _shingles(key: Column) -> Column:
+    padded = F.concat(F.lit("\u0002\u0002"), key, F.lit("\u0003\u0003"))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - (SHINGLE - 1)), lambda i: F.xxhash64(F.substring(padded, i, F.lit(SHINGLE)))))
+
+
+def _bands(shingles: Column) -> Column:
+    def least(seed: int) -> Column:
+        return F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, F.lit(seed))))
+
+    return F.array(*(F.struct(F.lit(b).alias("band"), F.xxhash64(*(least(b * ROWS_PER_BAND + r) for r in range(ROWS_PER_BAND))).alias("bucket")) for b in range(BANDS)))
+
+
+def identity_keys(manifest: DataFrame, fvc: DataFrame) -> DataFrame:
+    """``(row_id, kind, key, duration)``, the distinct keys of each row."""
+    m = manifest.select("row_id", cascade_key(F.col("cascade_id")).alias("cascade"), file_key(F.col("file_path")).alias("file"), F.col("duration_sec").cast("double").alias("duration"))
+    videos = fvc.select(cascade_key(F.col("cascade_id")).alias("cascade"), video_key(F.col("video_url")).alias("key")).dropna().distinct()
+    none = F.lit(None).cast("double")
+    cascade = m.filter("cascade is not null").select("row_id", F.lit("cascade").alias("kind"), F.col("cascade").alias("key"), none.alias("duration"))
+    file = m.filter("file is not null and duration is not null and not isnan(duration)").select("row_id", F.lit("file").alias("kind"), F.col("file").alias("key"), "duration")
+    video = m.join(videos, "cascade").select("row_id", F.lit("video").alias("kind"), "key", none.alias("duration"))
+    return cascade.unionByName(file).unionByName(video).distinct()
+
+
+def _bucketed(keys: DataFrame, spread: int) -> DataFrame:
+    """One row for each band; a file also falls into the buckets of the neighbouring durations on one of the sides."""
+    slot = F.floor(F.col("duration") / NEAR_SEC)
+    slots = F.when(F.col("duration").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(slot - spread, slot + spread))
+    banded = keys.withColumn("sh", _shingles(F.col("key"))).select("*", F.explode(_bands(F.col("sh"))).alias("b"), slots.alias("slots"))
+    return banded.select("row_id", "kind", "key", "duration", "sh", "b.band", "b.bucket", F.explode("slots").alias("slot"))
+
+
+def cross_split_pairs(train: DataFrame, evals: DataFrame, fvc: DataFrame, similarity: float = 1.0) -> DataFrame:
+    """``(train_id, eval_id, kinds)`` of each pair of a training and an evaluation row that show the same video.
+
+    ``similarity`` is the least Jaccard similarity of the shingles of two keys; at 1.0 keys must be equal, as a cascade
+    id or a video's own id that differs in one character is another one. A row without a key of a kind (null, blank, or
+    a file without duration) gives no pair of that kind; repeated rows give pairs of their own; empty tables give none.
+    All pairs across the two sides of a bucket come out, as the result demands; pairs within a side never arise.
+    """
+    a = _bucketed(identity_keys(train, fvc), 0)
+    b = _bucketed(identity_keys(evals, fvc), 1)
+    on = ["kind", "band", "bucket", "slot"]
+    pairs = a.withColumnsRenamed({"row_id": "train_id", "key": "ka", "duration": "da", "sh": "sa"}).join(b.withColumnsRenamed({"row_id": "eval_id", "key": "kb", "duration": "db", "sh": "sb"}), on)
+    common = F.size(F.array_intersect("sa", "sb"))
+    jaccard = common / (F.size("sa") + F.size("sb") - common)
+    near = F.col("da").isNull() | (F.round(F.abs(F.col("da") - F.col("db")), 9) < NEAR_SEC)
+    same = F.col("ka") == F.col("kb") if similarity >= 1.0 else F.lit(True)  # different keys can have equal shingle sets
+    ok = pairs.filter(near & (jaccard >= similarity) & same)
+    return ok.groupBy("train_id", "eval_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
