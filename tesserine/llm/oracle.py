@@ -1,3 +1,17 @@
 """SQL of the queries that SQL can express."""
 
-ORACLE: dict[str, str] = {}
+_LINES = r"""
+l AS (
+  SELECT evidence_id, domain, chunk, CAST(i AS INTEGER) AS line_no, string_split(chunk, chr(10))[i] AS line
+  FROM trace_real_evidence, LATERAL (SELECT unnest(generate_series(1, len(string_split(chunk, chr(10))))) AS i)
+  WHERE chunk IS NOT NULL AND domain IS NOT NULL),
+k AS (SELECT *, regexp_replace(lower(line), '[^\p{L}]+', '', 'g') AS k FROM l),
+r AS (SELECT domain, k, count(DISTINCT evidence_id) AS n FROM k WHERE k <> '' GROUP BY ALL HAVING count(DISTINCT evidence_id) >= 8)
+"""
+_P5 = f"WITH {_LINES} SELECT DISTINCT evidence_id, line_no FROM k JOIN r USING (domain, k)"
+_P5_CLEAN = f"""
+WITH {_LINES}, f AS (SELECT evidence_id, list(line_no) AS gone FROM (SELECT DISTINCT evidence_id, line_no FROM k JOIN r USING (domain, k)) GROUP BY 1)
+SELECT evidence_id, CASE WHEN gone IS NULL THEN chunk ELSE coalesce(array_to_string(list_filter(string_split(chunk, chr(10)), lambda x, i: NOT list_contains(gone, i)), chr(10)), '') END AS clean
+FROM trace_real_evidence LEFT JOIN f USING (evidence_id)
+"""
+ORACLE: dict[str, str] = {"p5_found": _P5, "p5_clean": _P5_CLEAN}

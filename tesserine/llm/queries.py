@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm import mojibake
+from tesserine.llm import boilerplate, lines, mojibake
 from tesserine.session import table
 
 
@@ -21,4 +21,27 @@ def p3_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restored_texts(_evidence(spark, d), "evidence_id", "chunk").withColumnRenamed("id", "evidence_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_restored)}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return lines.repeated_lines(_evidence(spark, d), "evidence_id", "domain", "chunk").withColumnRenamed("id", "evidence_id")
+
+
+def p5_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The repeated lines of each domain with their log-likelihood ratio and false-discovery level."""
+    return lines.excess_lines(_evidence(spark, d), "evidence_id", "domain", "chunk")
+
+
+def p5_clean(spark: SparkSession, d: str) -> DataFrame:
+    ev = _evidence(spark, d)
+    return lines.without_lines(ev, "evidence_id", "chunk", lines.repeated_lines(ev, "evidence_id", "domain", "chunk"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.template_lines(_evidence(spark, d), "evidence_id", "domain", "url", "chunk").withColumnRenamed("id", "evidence_id")
+
+
+def p6_body(spark: SparkSession, d: str) -> DataFrame:
+    ev = _evidence(spark, d)
+    return lines.without_lines(ev, "evidence_id", "chunk", boilerplate.template_lines(ev, "evidence_id", "domain", "url", "chunk"), "body")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_restored, p5_found, p5_lines, p5_clean, p6_found, p6_body)}
