@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from tesserine.operators.skew import keyed_join
 from tesserine.session import written
 
-#: A whole line is a template if it stands on so many pages of its host, or on pages of so many hosts.
-LINE_PAGES, LINE_HOSTS = 3, 3
+#: A whole line is a template if it stands on so many pages and at least this share of the pages of its host, or on so
+#: many hosts and at least this share of all their pages together.
+LINE_PAGES, LINE_PAGE_SHARE, LINE_HOSTS, LINE_HOSTS_SHARE = 3, 0.003, 3, 0.015
 #: A frame, if on so many pages and at least this share of the pages of its host, or of so many hosts and this share of all; with so many fillings.
 FRAME_PAGES, FRAME_PAGE_SHARE, FRAME_HOSTS, FRAME_HOST_SHARE, FRAME_FILLINGS = 3, 0.02, 5, 0.02, 3
 #: An item of a menu, if chained by marks on so many pages of its host or on so many hosts.
@@ -39,7 +40,7 @@ _NUMBER = re.compile(r"\s*\d{1,3}[.)]\s+(?=\S)")
 _HEAD = re.compile(r"\s*([^:—–|()\[\]“”\"«»„\d]{2,60}?)\s*(?::|—|–|\s-)\s+(?=\S)")
 _CLOCK = re.compile(r"\s*\(\d+:\d+(?::\d+)?\)\s*[.]?\s*$")
 _NO_LETTER = bytes(b for b in range(128) if not (97 <= b <= 122))
-_QUOTES = dict.fromkeys(map(ord, "’‘“”„«»‹›–—…·•☰|"), None)
+_QUOTES = dict.fromkeys(map(ord, "’‘“”„«»‹›–—…·•☰|\u00a0\u00ad\u2009\u200b\u202f\ufeff"), None)
 _HIGH = re.compile(rb"[\x80-\xff]+")
 
 
@@ -125,7 +126,7 @@ def features(host: str, chunk: str) -> Iterator[tuple[int, int, str, str, int]]:
         if len(items) > 2:
             for w in {k for item in items for w in item.split() if (k := line_key(w))}:
                 yield no, 4, w, "", 1
-        if not items and len(line) <= 120 and line.rstrip()[-1:] not in ".?!”“\"»:":
+        if not items and len(line) <= 120 and (line.rstrip()[-1:] not in ".?!”“\"»:" or line.rstrip().endswith(" .")):
             words = {k for w in line.split() if (k := line_key(w))}
             if 2 <= len(words) <= 14 and not any(c.isdigit() for c in line):
                 for w in words:
@@ -165,9 +166,10 @@ def template_lines(df: DataFrame, id_col: str, domain: str, url: str, text: str)
     support = written(on_pages.unionByName(framed).join(places, ["kind", "t", "host"]), "support")
     hosts = feats.filter("kind = 0").select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
     n_hosts = feats.filter("kind = 0").select("host").distinct().count()
-    over = support.groupBy("kind", "t").agg(F.count(F.lit(1)).alias("hosts"), F.sum("fillings").alias("all_fillings"))
-    s = support.join(over, ["kind", "t"]).join(hosts, "host")
-    line = (F.col("pages") >= LINE_PAGES) | (F.col("hosts") >= LINE_HOSTS)
+    per_host = support.join(hosts, "host")
+    over = per_host.groupBy("kind", "t").agg(F.count(F.lit(1)).alias("hosts"), F.sum("fillings").alias("all_fillings"), (F.sum("pages") / F.sum("host_pages")).alias("share"))
+    s = per_host.join(over, ["kind", "t"])
+    line = (F.col("pages") >= F.greatest(F.lit(LINE_PAGES), F.col("host_pages") * LINE_PAGE_SHARE)) | ((F.col("hosts") >= LINE_HOSTS) & (F.col("share") >= LINE_HOSTS_SHARE))
     own = (F.col("pages") >= F.greatest(F.lit(FRAME_PAGES), F.col("host_pages") * FRAME_PAGE_SHARE)) & (F.col("fillings") >= FRAME_FILLINGS)
     shared = (F.col("hosts") >= max(FRAME_HOSTS, FRAME_HOST_SHARE * n_hosts)) & (F.col("all_fillings") >= FRAME_FILLINGS)
     item = (F.col("pages") >= ITEM_PAGES) | (F.col("hosts") >= ITEM_HOSTS)
