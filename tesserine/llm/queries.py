@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm import boilerplate, lines, mojibake
+from tesserine.llm import boilerplate, lines, mojibake, truncation
 from tesserine.session import table
 
 
@@ -13,6 +13,19 @@ def _evidence(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "trace_real_evidence")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(_evidence(spark, d), "evidence_id", "domain", "url", "chunk").select(F.col("id").alias("evidence_id")).distinct()
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    """Rows with a text, those cut off and their share of each domain and kind of evidence."""
+    ev = _evidence(spark, d)
+    cut = p1_found(spark, d).withColumn("cut", F.lit(1))
+    rows = ev.filter(F.length("chunk") > 0).select("evidence_id", "domain", "evidence_type").join(cut, "evidence_id", "left")
+    agg = rows.groupBy("domain", "evidence_type").agg(F.count(F.lit(1)).alias("n_rows"), F.count("cut").alias("n_cut"))
+    return agg.withColumn("share", F.col("n_cut") / F.col("n_rows"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.garbled_rows(_evidence(spark, d), "evidence_id", "chunk").select(F.col("id").alias("evidence_id")).distinct()
 
@@ -44,4 +57,4 @@ def p6_body(spark: SparkSession, d: str) -> DataFrame:
     return lines.without_lines(ev, "evidence_id", "chunk", boilerplate.template_lines(ev, "evidence_id", "domain", "url", "chunk"), "body")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_restored, p5_found, p5_lines, p5_clean, p6_found, p6_body)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_restored, p5_found, p5_lines, p5_clean, p6_found, p6_body)}
