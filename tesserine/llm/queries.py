@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm import boilerplate, lines, mojibake, truncation
+from tesserine.llm import boilerplate, encode, lines, mojibake, residue, truncation
 from tesserine.session import table
 
 
@@ -57,4 +57,12 @@ def p6_body(spark: SparkSession, d: str) -> DataFrame:
     return lines.without_lines(ev, "evidence_id", "chunk", boilerplate.template_lines(ev, "evidence_id", "domain", "url", "chunk"), "body")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_restored, p5_found, p5_lines, p5_clean, p6_found, p6_body)}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode.token_ids(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_restored, p5_found, p5_lines, p5_clean, p6_found, p6_body, p8_ids, p10_found)}
