@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm import boilerplate, encode, lines, mojibake, residue, truncation
+from tesserine.llm import boilerplate, encode, leak, lines, mojibake, residue, truncation
 from tesserine.session import table
 
 
@@ -61,8 +61,21 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.token_ids(table(spark, d, "documents"), "doc_id", "text")
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leak.leaks(table(spark, d, "documents"), "doc_id", table(spark, d, "eval_items"), "item_id")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """Which items leaked: the number of documents and the greatest coverage."""
+    return _leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("coverage").alias("coverage"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_restored, p5_found, p5_lines, p5_clean, p6_found, p6_body, p8_ids, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_restored, p5_found, p5_lines, p5_clean, p6_found, p6_body, p8_ids, p9_found, p9_items, p10_found)}
