@@ -1 +1 @@
-"""Part of the tesserine engine."""
+"""Readers and writers with explicit schemas, markup and search-result parsing."""

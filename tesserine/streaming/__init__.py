@@ -1 +1 @@
-"""Part of the tesserine engine."""
+"""Structured Streaming variants of the event-time operators."""
