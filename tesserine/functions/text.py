@@ -32,7 +32,7 @@ def excerpt(col: Column, limit: int = 420) -> Column:
 
 
 def sentences(col: Column) -> Column:
-    return F.filter(F.transform(F.split(col, r"(?<=[.!?])\s+|\n+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(col, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def numeric_details(col: Column) -> Column:
@@ -153,5 +153,5 @@ def confidence(col: Column) -> Column:
 
 def reference(col: Column) -> Column:
     """``url | domain | excerpt`` as a struct; missing parts are null."""
-    parts = F.transform(F.split(col, r"\|"), F.trim)
+    parts = F.transform(F.split(col, r"\|"), lambda s: F.trim(s))
     return F.struct(F.get(parts, F.lit(0)).alias("url"), F.get(parts, F.lit(1)).alias("domain"), F.get(parts, F.lit(2)).alias("excerpt"))

@@ -77,8 +77,9 @@ def top_n_per_group(df: DataFrame, groups: list[str], score: str, tie: str, n: i
     if n < 1:
         raise ValueError("n must be at least 1")
     keys = [f"_g{i}" for i in range(len(groups))]
-    slim = df.select(*(F.col(g).alias(k) for g, k in zip(groups, keys)), (F.col(score).cast("double") + F.lit(0.0)).alias("_score"), F.col(tie).cast("long").alias("_tie")).dropna()
-    slim = slim.filter(F.col("_score").isNotNull())
+    slim = df.select(*(F.col(g).alias(k) for g, k in zip(groups, keys)), (F.col(score).cast("double") + F.lit(0.0)).alias("_score"), F.col(tie).cast("long").alias("_tie"))
+    for c in slim.columns:  # dropna would drop NaN too
+        slim = slim.filter(F.col(c).isNotNull())
     schema = T.StructType([*slim.schema.fields, T.StructField("_bound_score", T.DoubleType()), T.StructField("_bound_tie", T.LongType())])
     local = slim.mapInArrow(_survivors(keys, n), schema)
     by = Window.partitionBy(*keys)

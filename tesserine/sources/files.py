@@ -54,7 +54,7 @@ def parse_results(df: DataFrame, text: str) -> DataFrame:
     blocks = df.select("*", F.posexplode(F.split(text, r"(?m)^SOURCE \d+\s*$")).alias("pos", "_b"))
 
     def field(name: str) -> Column:
-        return F.trim(F.regexp_extract("_b", rf"(?ms)^{name}: (.*?)(?=^\w+: |\z)", 1))
+        return F.regexp_replace(F.regexp_extract("_b", rf"(?ms)^{name}: (.*?)(?=^\w+: |\z)", 1), r"^\s+|\s+$", "")
 
     return blocks.select("*", field("Title").alias("title"), field("URL").alias("url"), field("Content").alias("content")).filter("url <> ''").drop("_b", text)
 

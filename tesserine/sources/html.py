@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import PandasUDFType
 
 LEAST_BODY, LEAST_ARTICLE, LEAST_PARAGRAPH, LEAST_TEXT = 200, 300, 25, 180
 _SKIPPED = frozenset(("script", "style", "nav", "footer", "header", "aside", "form", "noscript", "template"))
@@ -98,12 +99,11 @@ def extract(html: str | None) -> tuple[str, str, str, str]:
     return page.title, page.published, text, "ok" if len(text) >= LEAST_TEXT else "thin" if text else "empty"
 
 
-@F.pandas_udf("title string, published string, text string, status string")
-def _extract(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _extracted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for s in batches:
         yield pd.DataFrame([extract(h) for h in s], columns=["title", "published", "text", "status"])
 
 
 def article(html: Column) -> Column:
-    """``struct<title, published, text, status>`` of a page; null and empty pages have the status empty."""
-    return _extract(html)
+    """``struct<title, published, text, status>`` of a page; null and empty pages have the status empty. Needs a session."""
+    return F.pandas_udf(_extracted, "title string, published string, text string, status string", PandasUDFType.SCALAR_ITER)(html)
