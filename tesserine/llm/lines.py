@@ -105,7 +105,8 @@ def without_lines(df: DataFrame, id_col: str, text: str, found: DataFrame, name:
 
     Only ids of texts with such lines are joined; a text of which all lines go becomes empty.
     """
-    gone = found.groupBy("id").agg(F.collect_set("line_no").alias("gone"))
-    kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("gone", i + 1))
-    joined = df.select(F.col(id_col), F.col(text)).join(gone, F.col(id_col) == F.col("id"), "left")
-    return joined.select(id_col, F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(name))
+    gone = found.groupBy(F.col("id").alias("_of")).agg(F.collect_set("line_no").alias("_gone"))
+    rows = df.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    kept = F.filter(F.split("_text", "\n"), lambda _, i: ~F.array_contains("_gone", i + 1))
+    joined = rows.join(gone, F.col("_id") == F.col("_of"), "left")
+    return joined.select(F.col("_id").alias(id_col), F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n")).alias(name))
