@@ -180,6 +180,6 @@ def test_classes(line, kind):
 def test_fillers_and_templates():
     assert residue.filler("Sample text. Sample text. Sample text.") and residue.filler("Lorem ipsum dolor sit amet") and not residue.filler("A poster showed lorem ipsum where the programme should have been.")
     tree = residue.PrefixTree()
-    a = tree.add(residue.masked("Request id 2702a123 failed at noon"))
-    b = tree.add(residue.masked("Request id 99beef12 failed at dusk"))
-    assert a is b and a == ["Request", "id", "<*>", "failed", "at", "<*>"]
+    a = tree.add(residue.masked("Request id 2702a123 was refused by Aby at noon"))
+    b = tree.add(residue.masked("Request id 99beef12 was refused by Bby at noon"))
+    assert a is b and a == ["Request", "id", "<*>", "was", "refused", "by", "<*>", "at", "noon"]
