@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserine.functions import dates, scores, text, tiers, urls
-from tesserine.operators import audit, chunking, evidence, metrics, selection, timeline
+from tesserine.operators import audit, chunking, evidence, media, metrics, selection, timeline
 from tesserine.session import table
 
 STOPWORDS = tuple("the a an and or of to in on at for is are was were be been that this by from with as about into over after before it its he she they not no but if than then so such also will would can may might do does did has had have nor".split())
@@ -308,6 +310,29 @@ def sampled_events(spark, d):
     return timeline.sampled(_events(spark, d), "user_id", "event_id", 15).select("user_id", "event_id")
 
 
+def fused_timeline(spark, d):
+    """Events of even number as speech, of odd number as screen texts."""
+    s, o = _intervals(spark, d)
+    kinds = _events(spark, d).select("event_id", "event_type")
+    s = s.join(kinds.withColumnsRenamed({"event_id": "speech_id", "event_type": "s_text"}), "speech_id")
+    o = o.join(kinds.withColumnsRenamed({"event_id": "o_id", "event_type": "o_text"}), F.col("ocr_id") == F.col("o_id")).drop("ocr_id")
+    return media.fused(s, o, "user_id", JOIN_TOLERANCE * 1e6, JOIN_WIDTH * 1e6)
+
+
+def window_decisions(spark, d):
+    return media.window_decisions(_scored(spark, d).join(_ev(spark, d).select("evidence_id", "claim_id"), "evidence_id"), "claim_id", "p")
+
+
+def folded_labels(spark, d):
+    """Raw and final labels of passages folded to the best of the three."""
+    both = _ev(spark, d).select("evidence_id", F.explode(F.array(F.struct(F.col("nli_label").alias("label"), F.col("nli_score").alias("score")), F.struct(F.col("raw_nli_label").alias("label"), F.col("raw_nli_score").alias("score")))).alias("x"))
+    return media.folded_labels(both.select("evidence_id", "x.label", "x.score"), "evidence_id", "label", "score")
+
+
+def worst_errors(spark, d):
+    return media.errors(_scored(spark, d), "evidence_id", "y", "p", 0.5, "evidence_type")
+
+
 def event_properties(spark, d):
     """Numbers of the flat JSON of events."""
     return table(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
@@ -319,13 +344,30 @@ def claim_profiles(spark, d):
     return table(spark, d, "claims").select("claim_id", F.size(dates.extract_dates(c)).alias("n_dates"), F.size(dates.years(c)).alias("n_years"), F.size(text.keywords(c, STOPWORDS)).alias("n_keywords"), F.size(text.phrases(c, STOPWORDS)).alias("n_phrases"), F.size(text.numeric_details(c)).alias("n_numbers"))
 
 
+#: Columns whose last digits depend on the order of sums, and how many decimals both sides of the check keep.
+DECIMALS = {
+    "agreement": {"agreement_score": 9, "coverage": 9}, "fusion_scores": {"fusion_score": 9}, "class_counts": {"scraped_share": 9}, "evidence_scores": {"score": 12, "capped": 12}, "keyword_coverage": {"coverage": 9}, "near_duplicates": {"jaccard": 9},
+    **{q: dict.fromkeys(("accuracy", "precision", "recall", "f1", "macro_f1", "fpr", "fnr", "balanced_accuracy"), 9) for q in ("confusion", "confusion_by_type", "threshold_sweep")},
+    "best_threshold": {"macro_f1": 9}, "reliability_bins": {"mean_predicted": 9, "observed_rate": 9}, "calibration_error": {"ece": 9}, "auc_by_type": {"auc": 9}, "ensemble_scores": {"p_mean": 9, "p_vote": 9},
+    "class_statistics": {"duration_sec_mean": 6, "duration_sec_median": 6, "duration_sec_std": 6, "file_size_bytes_mean": 3, "file_size_bytes_median": 3, "file_size_bytes_std": 3}, "sliding_means": {"mean": 9}, "window_decisions": {"mean": 9},
+}
+
+
+def _rounded(f):
+    @wraps(f)
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return f(spark, d).withColumns({c: F.round(c, n) for c, n in DECIMALS[f.__name__].items()})
+
+    return query if f.__name__ in DECIMALS else f
+
+
 QUERIES = {
-    f.__name__: f
+    f.__name__: _rounded(f)
     for f in (
         canonical_urls, url_parts, source_tiers, dedup_by_url, diverse_topk, evidence_scores, source_decisions, publisher_decisions, agreement, fusion_scores, best_passages, reconciled, class_counts,
         claim_dates, claim_years, date_agreement, claim_keywords, claim_phrases, keyword_coverage, text_helpers, redacted, case_ids, near_duplicates, text_classes, greedy_dedup, chunks, context_windows, cosine_topk,
         confusion, confusion_by_type, threshold_sweep, best_threshold, reliability_bins, calibration_error, auc_by_type, uncertainty_band, temperature, ensemble_scores, bootstrap_gain,
         duplicate_files, label_conflicts, linked_components, grouped_split, split_leaks, split_precedence, class_statistics, resolution_buckets,
-        gap_islands, merged_observations, interval_join, interval_anti_join, sliding_means, sampled_events, event_properties, claim_profiles,
+        gap_islands, merged_observations, interval_join, interval_anti_join, sliding_means, sampled_events, fused_timeline, window_decisions, folded_labels, worst_errors, event_properties, claim_profiles,
     )
 }

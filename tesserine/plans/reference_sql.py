@@ -1,5 +1,7 @@
 """SQL of the reference queries for the side-by-side check."""
 
+from tesserine.plans.reference import DECIMALS
+
 _CAMPAIGN = "'utm_source','utm_medium','utm_campaign','utm_term','utm_content','fbclid','gclid','dclid','msclkid','mc_cid','mc_eid','igshid','ref','referrer','source','cmpid','spm','yclid','_hsenc','_hsmi','at_medium','at_campaign','ito','ns_campaign','ns_mchannel'"
 _URL = rf"""
 u0 AS (
@@ -174,4 +176,11 @@ SELECT evidence_id, score, least(score, CAST(CASE evidence_class WHEN 'SUPPORT'
     "sliding_means": f"WITH {_E}, x AS (SELECT user_id, value, us / 3600000000.0 AS h FROM e), y AS (SELECT user_id, value, unnest(generate_series(CAST(floor((h - 24) / 6) + 1 AS BIGINT), CAST(floor(h / 6) AS BIGINT))) AS i FROM x) SELECT user_id, i * 6.0 AS window_start, count(value) AS n, avg(value) AS mean FROM y GROUP BY user_id, i",
     "event_properties": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     "sampled_events": "WITH n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, event_id FROM n WHERE n <= 15 OR i IN (SELECT CAST(floor(j * (n.n - 1) / 14.0) AS BIGINT) FROM range(15) t(j))",
+    "fused_timeline": f"WITH {_IV}, t AS (SELECT event_id, event_type FROM events), s2 AS (SELECT sp.*, t.event_type AS x FROM sp JOIN t ON event_id = speech_id), o2 AS (SELECT oc.*, t.event_type AS x FROM oc JOIN t ON event_id = ocr_id), j AS (SELECT s2.user_id, speech_id, string_agg(o2.x, ' | ' ORDER BY o, o2.x) AS screen, bool_or(s2.x = o2.x) AS same FROM s2 JOIN o2 ON s2.user_id = o2.user_id AND o <= b + 3600000000 AND o >= a - 3600000000 GROUP BY 1, 2) SELECT s2.user_id, CASE WHEN same THEN 'both' ELSE 'speech' END AS source, x AS text, a AS \"from\", b AS \"to\", coalesce(screen, '') AS screen FROM s2 LEFT JOIN j USING (user_id, speech_id) UNION ALL SELECT user_id, 'screen', x, o, o, '' FROM o2 WHERE NOT EXISTS (SELECT 1 FROM s2 WHERE s2.user_id = o2.user_id AND o <= b + 3600000000 AND o >= a - 3600000000)",
+    "window_decisions": f"WITH {_SCORED}, g AS (SELECT claim_id, count(p) AS n, avg(p) AS mean FROM sc JOIN trace_real_evidence USING (evidence_id) GROUP BY 1) SELECT *, CASE WHEN mean >= 0.65 THEN 'positive' WHEN mean <= 0.35 THEN 'negative' WHEN mean IS NOT NULL THEN 'uncertain' END AS decision FROM g",
+    "folded_labels": "WITH x AS (SELECT evidence_id, nli_label AS l, nli_score AS s FROM trace_real_evidence UNION ALL SELECT evidence_id, raw_nli_label, raw_nli_score FROM trace_real_evidence), g AS (SELECT evidence_id, coalesce(max(s) FILTER (l = 'entailment'), 0) AS entailment, coalesce(max(s) FILTER (l = 'contradiction'), 0) AS contradiction, coalesce(max(s) FILTER (l = 'neutral' OR l IS NULL), 0) AS neutral FROM x GROUP BY 1) SELECT *, CASE WHEN entailment = greatest(entailment, contradiction, neutral) THEN 'entailment' WHEN contradiction = greatest(entailment, contradiction, neutral) THEN 'contradiction' ELSE 'neutral' END AS best FROM g",
+    "worst_errors": f"WITH {_SCORED}, w AS (SELECT evidence_id, evidence_type, p, CASE WHEN y = 1 THEN 'false_negative' ELSE 'false_positive' END AS kind FROM s WHERE (p >= 0.5) <> (y = 1)), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY evidence_type, kind ORDER BY abs(p - 0.5) DESC, evidence_id) AS INTEGER) AS rank, count(*) OVER (PARTITION BY evidence_type, kind) AS n_errors FROM w) SELECT evidence_id, evidence_type, kind, p, rank, n_errors FROM r WHERE rank <= 10",
 }
+for _q, _columns in DECIMALS.items():
+    _kept = ", ".join(f"round({c}, {n}) AS {c}" for c, n in _columns.items())
+    ORACLE[_q] = f"SELECT * REPLACE ({_kept}) FROM ({ORACLE[_q].strip()}) AS _q"

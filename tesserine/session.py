@@ -44,8 +44,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def clear_written(spark: SparkSession) -> None:
+    """Delete the written tables of all queries so far; only when none of their results is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str = "t") -> DataFrame:
-    """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors, is computed once."""
+    """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors, is computed once.
+
+    The files stay until ``clear_written``, as later reads of a result need them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

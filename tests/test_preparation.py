@@ -118,3 +118,12 @@ def test_cross_split_pairs(spark):
     assert got == {(1, 11): ("cascade",), (2, 11): ("cascade",), (2, 12): ("file",), (3, 14): ("file",), (4, 15): ("video",)}
     assert cross_split_pairs(t.limit(0), e, v).count() == 0
     assert cross_split_pairs(t, e, v.limit(0)).count() == 4
+
+
+def test_written_tables_are_computed_once_and_cleared(spark):
+    from tesserine.session import clear_written, shared_dir, written
+
+    a = written(spark.range(10).withColumn("r", F.rand()), "t")
+    assert rows(a) == rows(a) and shared_dir(spark)
+    clear_written(spark)
+    assert written(spark.range(3), "t").count() == 3
