@@ -66,6 +66,18 @@ def shingles(col: Column, n: int = SHINGLE) -> Column:
     return let(words, lambda w: F.when(F.size(w) >= n, F.array_distinct(ngrams(w, n))).when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(none))
 
 
+def shingle_hashes(col: Column, n: int = SHINGLE) -> Column:
+    """The shingles as distinct 64-bit hashes, sorted: of the hashes of n words, so no strings are put together."""
+    none = F.array().cast("array<bigint>")
+    words = F.transform(F.regexp_extract_all(F.lower(col), F.lit("([a-z0-9]+)"), 1), lambda w: F.xxhash64(w))
+
+    def runs(w: Column) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0)))
+        return F.when(F.size(w) >= n, F.array_sort(F.array_distinct(F.transform(at, lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(n))))))).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(none)
+
+    return let(words, runs)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two sets held as arrays; 0 where one is empty."""
     common = F.size(F.array_intersect(a, b))

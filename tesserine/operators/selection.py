@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserine.functions.text import shingles
+from tesserine.functions.text import shingle_hashes
 from tesserine.session import written
 
 JACCARD = 0.8
@@ -29,9 +29,15 @@ def dedup_merging(df: DataFrame, keys: list[str], label: str, order: list[str])
 
 def text_classes(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """``(id, class_id)``: rows with equal shingle sets share the smallest id; texts without a word have no class."""
-    sets = df.select(F.col(id_col).alias("id"), F.array_sort(shingles(F.col(text))).alias("s")).filter(F.size("s") > 0)
-    keyed = sets.select("id", F.md5(F.array_join("s", "|")).alias("h"))
-    return keyed.join(keyed.groupBy("h").agg(F.min("id").alias("class_id")), "h").select("id", "class_id")
+    keyed = _sets(df, id_col, text).select("id", "h1", "h2")
+    return keyed.join(keyed.groupBy("h1", "h2").agg(F.min("id").alias("class_id")), ["h1", "h2"]).select("id", "class_id")
+
+
+def _sets(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``(id, s, h1, h2)``: sorted shingle hashes of texts with a word, and 128 bits of them. The sets are made once and written."""
+    worded = df.filter(F.lower(text).rlike("[a-z0-9]"))
+    sets = written(worded.select(F.col(id_col).alias("id"), shingle_hashes(F.col(text)).alias("s")), "sets")
+    return sets.select("id", "s", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), "s").alias("h2"))
 
 
 def near_duplicates(df: DataFrame, id_col: str, text: str, threshold: float = JACCARD) -> DataFrame:
@@ -42,8 +48,9 @@ def near_duplicates(df: DataFrame, id_col: str, text: str, threshold: float = JA
     join. All candidates are verified by their whole sets, so no pair is lost and no bucket is capped. Rows with equal
     sets are one class (``text_classes``) and appear by their representative, so copies aren't paired with each other.
     """
-    sets = df.select(F.col(id_col).alias("id"), F.array_sort(F.transform(shingles(F.col(text)), lambda s: F.xxhash64(s))).alias("s")).filter(F.size("s") > 0)
-    reps = written(sets.groupBy("s").agg(F.min("id").alias("id")).withColumn("n", F.size("s")), "sets")
+    sets = _sets(df, id_col, text)
+    first = sets.groupBy("h1", "h2").agg(F.min("id").alias("id"))
+    reps = sets.join(first.select("id"), "id", "left_semi").select("id", "s").withColumn("n", F.size("s"))
     take = (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int")
     prefix = reps.select("id", "n", F.explode(F.slice("s", F.lit(1), take)).alias("h"))
     a, b = prefix.withColumnsRenamed({"id": "id_a", "n": "n_a"}), prefix.withColumnsRenamed({"id": "id_b", "n": "n_b"})

@@ -12,6 +12,7 @@ from tesserine.operators import audit, chunking, evidence, media, metrics, selec
 from tesserine.session import table
 
 STOPWORDS = tuple("the a an and or of to in on at for is are was were be been that this by from with as about into over after before it its he she they not no but if than then so such also will would can may might do does did has had have nor".split())
+DATE_LIST = "array<struct<day: int, month: int, year: int, raw: string, ambiguous: boolean, precision: string>>"
 MERGE_GAP, JOIN_TOLERANCE, JOIN_WIDTH = 1800.0, 3600.0, 14400.0
 
 
@@ -115,8 +116,10 @@ def claim_years(spark, d):
 def date_agreement(spark, d):
     """How the dates of passages agree with the day their claim was entered."""
     j = _ev(spark, d).select("claim_id", "chunk").join(table(spark, d, "claims").select("claim_id", "submission_date"), "claim_id")
-    a = dates.agreement(F.coalesce(dates.extract_dates(F.col("chunk")), F.array().cast("array<struct<day:int,month:int,year:int,raw:string,ambiguous:boolean,precision:string>>")), F.coalesce(dates.years(F.col("chunk")), F.array().cast("array<int>")), F.col("submission_date"))
-    return j.select(a.alias("agreement")).groupBy("agreement").agg(F.count(F.lit(1)).alias("n"))
+    # dates are taken out once, before they are compared
+    found = j.select("submission_date", dates.extract_dates(F.col("chunk")).alias("found"), dates.years(F.col("chunk")).alias("years"))
+    full = found.select("submission_date", F.coalesce("found", F.from_json(F.lit("[]"), DATE_LIST)).alias("found"), F.coalesce("years", F.array().cast("array<int>")).alias("years"))
+    return full.select(dates.agreement(F.col("found"), F.col("years"), F.col("submission_date")).alias("agreement")).groupBy("agreement").agg(F.count(F.lit(1)).alias("n"))
 
 
 def claim_keywords(spark, d):
