@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserine.functions.text import shingle_hashes
-from tesserine.session import written
+from tesserine.session import spread, written
 
 JACCARD = 0.8
 
@@ -35,8 +35,8 @@ def text_classes(df: DataFrame, id_col: str, text: str) -> DataFrame:
 
 def _sets(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """``(id, s, h1, h2)``: sorted shingle hashes of texts with a word, and 128 bits of them. The sets are made once and written."""
-    worded = df.filter(F.lower(text).rlike("[a-z0-9]"))
-    sets = written(worded.select(F.col(id_col).alias("id"), shingle_hashes(F.col(text)).alias("s")), "sets")
+    worded = spread(df.select(F.col(id_col).alias("id"), F.col(text).alias("t"))).filter(F.lower("t").rlike("[a-z0-9]"))
+    sets = written(worded.select("id", shingle_hashes(F.col("t")).alias("s")), "sets")
     return sets.select("id", "s", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), "s").alias("h2"))
 
 

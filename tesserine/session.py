@@ -44,6 +44,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def spread(df: DataFrame, below: int = 16 << 20) -> DataFrame:
+    """A small table, of which one file may be one partition, over all cores; by the planner's estimate, nothing is run.
+
+    Tables of more than ``below`` bytes have partitions enough and aren't shuffled.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < below else df
+
+
 def clear_written(spark: SparkSession) -> None:
     """Delete the written tables of all queries so far; only when none of their results is needed any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables")
