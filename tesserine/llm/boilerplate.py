@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserine.operators.skew import keyed_join
-from tesserine.session import written
+from tesserine.session import spread, written
 
 #: A whole line is a template if it stands on so many pages and at least this share of the pages of its host, or on so
 #: many hosts and at least this share of all their pages together.
@@ -159,7 +159,7 @@ def template_lines(df: DataFrame, id_col: str, domain: str, url: str, text: str)
     map-side combining, and a template that a third of all lines share is found again by a salted join.
     """
     texts = df.filter(F.length(text) > 0).select(F.col(id_col).cast("long"), F.col(domain).cast("string"), F.col(url).cast("string"), F.col(text))
-    feats = written(texts.mapInArrow(_features, _SCHEMA), "features")
+    feats = written(spread(texts).mapInArrow(_features, _SCHEMA), "features")
     on_pages = feats.filter("kind in (0, 2)").select("kind", "t", "host", "page").distinct().groupBy("kind", "t", "host").agg(F.count(F.lit(1)).alias("pages"), F.lit(1).cast("long").alias("fillings"))
     framed = feats.filter("kind = 1").groupBy("kind", "t", "host").agg(F.countDistinct("page").alias("pages"), F.countDistinct("f").alias("fillings"))
     places = feats.filter("kind < 3").groupBy("kind", "t", "host").agg(F.count(F.lit(1)).alias("n"))

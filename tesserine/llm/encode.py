@@ -18,6 +18,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserine.session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-tokenization pattern of the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -86,7 +88,7 @@ class Encoder:
 def token_ids(df: DataFrame, id_col: str, text: str, path: str = VOCABULARY, leaf: int = LEAF) -> DataFrame:
     """``(id_col, ids)`` of each row, repeated rows too; null and empty texts give an empty list, blank ones their ids.
 
-    ``path`` is read by each Python worker once. There is no shuffle; a row's text goes whole through one task.
+    ``path`` is read by each Python worker once. There is no shuffle of any but small tables; a row's text goes whole through one task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,4 +98,4 @@ def token_ids(df: DataFrame, id_col: str, text: str, path: str = VOCABULARY, lea
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
 
     kind = dict(df.select(id_col).dtypes)[id_col]
-    return df.select(F.col(id_col), F.col(text)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return spread(df.select(F.col(id_col), F.col(text))).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserine.operators.skew import BROADCAST_BYTES, keyed_join
-from tesserine.session import written
+from tesserine.session import spread, written
 
 SEED = 3
 LEAST_TILE = 2
@@ -194,7 +194,7 @@ def leaks(documents: DataFrame, doc_id: str, items: DataFrame, item_id: str, tex
                         rows += [(d, pool[k][0], 1.0, 1.0) for k in {k for p, w in enumerate(doc) for k in short.get(w, ()) if doc[p : p + len(pool[k][1])] == pool[k][1]}]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.float64())], names=["doc_id", "item_id", "coverage", "loose"])
 
-        found = docs.mapInArrow(scan, "doc_id long, item_id long, coverage double, loose double")
+        found = spread(docs).mapInArrow(scan, "doc_id long, item_id long, coverage double, loose double")
     else:
         seeds = written(its.mapInPandas(_item_seeds, "item_id long, h long"), "seeds")
         counted = written(seeds.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "seed_counts")

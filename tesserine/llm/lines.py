@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserine.operators.skew import keyed_join
-from tesserine.session import written
+from tesserine.session import spread, written
 
 MIN_ROWS = 8
 FDR = 0.01
@@ -28,7 +28,8 @@ def letters(line: Column) -> Column:
 
 def _keyed_lines(df: DataFrame, id_col: str, source: str, text: str) -> DataFrame:
     """``(id, line_no, h1, h2, g1, g2)``: 128 bits of source and letters, and of the letters alone; lines with letters."""
-    lines = df.filter(F.col(source).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(source).cast("string").alias("s"), F.posexplode(F.split(text, "\n")).alias("p", "line"))
+    rows = spread(df.filter(F.col(source).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(source).cast("string").alias("s"), F.col(text).alias("t")))
+    lines = rows.select("id", "s", F.posexplode(F.split("t", "\n")).alias("p", "line"))
     keyed = lines.select("id", (F.col("p") + 1).alias("line_no"), "s", letters(F.col("line")).alias("k")).filter("k <> ''")
     return keyed.select("id", "line_no", F.xxhash64("s", "k").alias("h1"), F.xxhash64("k", F.lit(7), "s").alias("h2"), "k", "s")
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserine.operators.skew import keyed_join
-from tesserine.session import written
+from tesserine.session import spread, written
 
 # Code pages that texts are read in by mistake, and those they were written in.
 READ_AS = ("cp1252", "latin_1", "cp437", "cp850", "mac_roman", "cp1250", "iso8859_2", "cp1251", "koi8_r", "cp866", "mac_cyrillic", "iso8859_15", "cp1254")
@@ -155,9 +155,9 @@ _JUDGED = "word string, n long, core string, fixed string, fixed_core string, ch
 
 def suspect_words(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """``(id, word)``: each distinct word of a row that has a character beyond ASCII; words part at ASCII white space."""
-    ascii_only = F.length(text) == F.octet_length(text)
-    words = F.array_distinct(F.filter(F.split(text, r"\s+"), lambda w: F.length(w) != F.octet_length(w)))
-    return df.filter(F.col(text).isNotNull() & ~ascii_only).select(F.col(id_col).alias("id"), F.explode(words).alias("word"))
+    beyond = df.filter(F.col(text).isNotNull() & (F.length(text) != F.octet_length(text))).select(F.col(id_col).alias("id"), F.col(text).alias("t"))
+    words = F.array_distinct(F.filter(F.split("t", r"\s+"), lambda w: F.length(w) != F.octet_length(w)))
+    return spread(beyond).select("id", F.explode(words).alias("word"))
 
 
 def garbled_words(words: DataFrame) -> DataFrame:

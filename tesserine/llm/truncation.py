@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserine.llm.boilerplate import template_lines
-from tesserine.session import written
+from tesserine.session import spread, written
 
 #: Share of a source's inner paragraphs that must end in a terminator for a missing one to count, and the weight in
 #: paragraphs of the share over all sources, for sources with few.
@@ -106,7 +106,7 @@ def truncated(df: DataFrame, id_col: str, source: str, url: str, text: str) -> D
     Rows repeated come out each; an empty table gives no row. Texts are read whole and once.
     """
     texts = df.filter(F.length(text) > 0).select(F.col(id_col).cast("long").alias("id"), F.col(source).cast("string").alias("source"), F.col(url).cast("string").alias("url"), F.col(text).alias("t"))
-    rows = written(texts.mapInArrow(_judged, "id long, source string, url string, state int, last string, ends string, n_inner int, n_ended int"), "judged")
+    rows = written(spread(texts).mapInArrow(_judged, "id long, source string, url string, state int, last string, ends string, n_inner int, n_ended int"), "judged")
     per_source = rows.groupBy("source").agg(F.sum("n_inner").alias("n"), F.sum("n_ended").alias("e"))
     n, e = per_source.agg(F.sum("n"), F.sum("e")).first()
     share = (e or 0) / n if n else 1.0
