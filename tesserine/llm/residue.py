@@ -25,8 +25,10 @@ from tesserine.session import spread, written
 DEPTH, SIMILAR = 4, 0.6
 #: A text of residue has at most so many words besides, its first line aside, as that may be a heading or claim that was kept.
 REST_WORDS, FIRST_WORDS = 14, 60
-#: Templates keep so many words of a longer line; fillers are told from the whole line.
-TEMPLATE_WORDS = 48
+#: Of a line with more words than these a message further on counts only if the rest of the line is no real text.
+HEAD_WORDS = 48
+#: A message wrapped over lines reaches at most so many words past its first line; running text has so many words in lower case on end.
+WINDOW_WORDS, RUN_WORDS = 16, 5
 
 # Names of HTML elements that are mark-up and not placeholders.
 _TAGS = re.compile(r"</?(?:html|head|title|body|h[1-6]|p|div|span|br|hr|a|b|i|em|strong|ul|ol|li|pre|code|table|t[rdh]|section|article|header|footer|nav|main|img|meta|link|script|style)\b[^<>]*>", re.I)
@@ -83,6 +85,8 @@ _WRAPPER = re.compile(r"^\W*(?:©.*|(?:request|ray|trace|incident|reference)\s?(
 _DIGIT = re.compile(r"\d")
 _WORD = re.compile(r"[^\W\d_]+")
 _STOP = re.compile(r"[.!?]+")
+_ENDED = re.compile(r"[.!?…][”“»\"'’)\]]*$")
+_SENTENCES = re.compile(r"(?<=[.!?…])\s+")
 # Parts of words one of which each message that holds anywhere, or output, has; patterns are tried only on lines with one.
 _MESSAGE_KEYS = ("human", "traffic", "browser", "captcha", "robot", "timed out", "expired", "page", "followed", "went wrong", "please", "script", "cookies")
 _OUTPUT_KEYS = ("traceback", "exception", "error", "fatal", "parse", "notice", "warning", "deprecated", "sqlstate", "ora-", "segmentation", "core dumped", "panic:", "stack", "connection", "pointer", "message", "code", "status", " = ", "^")
@@ -114,7 +118,7 @@ def masked(line: str) -> list[str]:
     if "/" in line:
         line = re.sub(r"(?:/[\w.-]+){2,}", "<path>", line)
     # hexadecimal strings have a digit, as masked words do
-    return ["<*>" if _DIGIT.search(w) else w for w in line.split(None, TEMPLATE_WORDS)[:TEMPLATE_WORDS]]
+    return ["<*>" if _DIGIT.search(w) else w for w in line.split()]
 
 
 class PrefixTree:
@@ -152,8 +156,7 @@ def filler(line: str) -> bool:
     return n <= 8 and bool(_FILLER.search(line)) and not any(c in line for c in "“”„»«\"")
 
 
-def classify(template: str) -> str:
-    """message, output, value, todo, wrapper or content."""
+def _head_class(template: str, ends: bool = True) -> str:
     if len(template) <= 60 and _VALUES.match(template):
         return "value"
     if _TODO.match(template):
@@ -163,12 +166,69 @@ def classify(template: str) -> str:
     low = template.lower()
     if (any(k in low for k in _OUTPUT_KEYS) or low.startswith(("at ", 'file "'))) and _OUTPUT.search(template):
         return "output"
-    m = _STARTS.match(template) or _ENDS.search(template, max(0, len(template) - 60)) or (any(k in low for k in _MESSAGE_KEYS) and _ANYWHERE.search(template)) or None
+    m = _STARTS.match(template) or (ends and _ENDS.search(template, max(0, len(template) - 60))) or (any(k in low for k in _MESSAGE_KEYS) and _ANYWHERE.search(template)) or None
     if m and template.count("“", 0, m.start() + 1) <= template.count("”", 0, m.start() + 1) and not (m.start() and template[m.start() - 1] in _OPENERS):
         return "message"
     return "content"
 
 
+def _running(words: list[str]) -> int:
+    """Words that stand in runs of running text, that is in lower case on end."""
+    total = run = 0
+    for w in [*words, ""]:
+        if w[:1].islower():
+            run += 1
+            continue
+        total += run if run >= RUN_WORDS else 0
+        run = 0
+    return total
+
+
+def classify(template: str) -> str:
+    """message, output, value, todo, wrapper or content.
+
+    A long line is judged by its first words and then sentence by sentence over its whole length: what follows the
+    first words makes it a message or output if next to nothing else in it is running text.
+    """
+    words = template.split()
+    if len(words) <= HEAD_WORDS:
+        return _head_class(template)
+    if (kind := _head_class(" ".join(words[:HEAD_WORDS]), ends=False)) != "content":
+        return kind
+    found, rest = "", 0
+    for sentence in _SENTENCES.split(template):
+        kind = _head_class(sentence)
+        said = sentence.split()
+        if kind not in ("message", "output"):
+            rest += len(said) if kind == "content" else 0
+        else:
+            found = found or kind
+            if len(said) > HEAD_WORDS:
+                # its last words may be the message's own
+                rest += max(0, _running(said) - WINDOW_WORDS)
+        if rest > REST_WORDS:
+            return "content"
+    return found or "content"
+
+
+def wrapped_lines(lines: list[str]) -> set[int]:
+    """Numbers of the neighbouring lines that only together are a message or output, over the whole text."""
+    out: set[int] = set()
+    for i, line in enumerate(lines[:-1]):
+        past, j = 0, i + 1
+        while j < len(lines) and past < WINDOW_WORDS and not _ENDED.search(lines[j - 1]):
+            past += len(lines[j].split())
+            kind = classify(" ".join(masked(" ".join(lines[i : j + 1]))))
+            if kind in ("message", "output"):
+                # the least window only: none of its lines tells by itself, nor do they without the first one
+                alone = [lines[j], " ".join(lines[i + 1 : j + 1]), line]
+                if not any(classify(" ".join(masked(x))) in ("message", "output") for x in alone):
+                    out.update(range(i, j + 1))
+                break
+            j += 1
+    return out
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     h = xxhash.xxh64_intdigest
     for b in batches:
@@ -177,13 +237,14 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rid, text in zip(*(c.to_pylist() for c in b.columns)):
             slot = bool(slots(text))
             lines = lines_of(text)
-            # a short text is also seen as one line, as its lines may be wrapped
+            # a short text is also seen as one line, as its lines may be wrapped; in a longer one neighbouring lines are
             whole = " ".join(lines)
-            wrapped = len(lines) > 1 and len(whole.split()) <= TEMPLATE_WORDS
-            for line in [*lines, *([whole] if wrapped else [])]:
+            wrapped = len(lines) > 1 and len(whole.split()) <= HEAD_WORDS
+            joined = wrapped_lines(lines) if len(lines) > 1 and not wrapped else ()
+            for no, line in enumerate([*lines, *([whole] if wrapped else [])]):
                 words = _WORD.findall(line)
-                fill = filler(line)
                 one = line is whole and wrapped
+                fill = no in joined or filler(line)
                 first = not one and line == lines[0] and len(words) <= FIRST_WORDS
                 rows.append((rid, one, slot, fill, 0 if first else len(words), tree.add(masked(line))))
         names = [" ".join(r[5]) if len(r[5]) > 0 else "" for r in rows]

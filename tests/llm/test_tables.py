@@ -112,3 +112,11 @@ def test_residue(spark):
     df = spark.createDataFrame([(*r, "k") for r in docs], "doc_id long, text string, id string")
     assert sorted({r["id"] for r in residue.residue(df, "doc_id", "text").collect()}) == [1, 3, 8, 9]
     assert residue.residue(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_residue_in_long_lines_and_wrapped_in_long_texts(spark):
+    nav = "Home News Sport Weather Culture Money Travel Opinion Video Podcasts Archive Contact Privacy Imprint Shop " * 5
+    menu = "Home | News | Sport | Weather\n" * 15
+    docs = [(1, nav + "Please enable JavaScript and cookies to continue"), (2, menu + "Please turn on\nJavaScript in your browser"), (3, nav + "All of it in one place.")]
+    got = residue.residue(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text").collect()
+    assert sorted(r["id"] for r in got) == [1, 2]

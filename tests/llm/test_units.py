@@ -183,3 +183,23 @@ def test_fillers_and_templates():
     a = tree.add(residue.masked("Request id 2702a123 was refused by Aby at noon"))
     b = tree.add(residue.masked("Request id 99beef12 was refused by Bby at noon"))
     assert a is b and a == ["Request", "id", "<*>", "was", "refused", "by", "<*>", "at", "noon"]
+
+
+NAVIGATION = "Home News Sport Weather Culture Money Travel Opinion Video Podcasts Archive Contact Privacy Imprint Shop " * 5
+
+
+def test_messages_after_many_words_of_a_line():
+    def kind(line):
+        return residue.classify(" ".join(residue.masked(line)))
+
+    assert kind(NAVIGATION + "Please enable JavaScript and cookies to continue") == kind(NAVIGATION + "500 Internal Server Error") == "message"
+    assert kind("The council met at noon and counted the boats. The clerk wrote it all down. " * 5 + "Then readers had to enable JavaScript to see it.") == "content"
+    assert kind("the boats came in and the clerk counted them all " * 8 + "and then something went wrong with the ferry") == "content"
+
+
+def test_messages_wrapped_over_lines_of_a_long_text():
+    menu = ["Home | News | Sport | Weather"] * 15
+    assert residue.wrapped_lines([*menu, "Flood in Aby", "Please turn on", "JavaScript in your browser"]) == {16, 17}
+    assert residue.wrapped_lines([*menu, "The council met at noon.", "JavaScript Weekly came out on Monday."]) == set()
+    # no message ends where the first words of a line do
+    assert residue.classify("The board said at length that it had no word of it. " * 3 + "For many days all the archive ever answered was 404 Not Found and then nothing at all") == "content"
