@@ -1,9 +1,11 @@
 """Template residue and error pages in place of content.
 
 Lines are reduced to message templates by a prefix tree of fixed depth: one level for the number of words, then one for
-each of the first words and the last one, numbers, hexadecimal strings and paths masked; lines of a leaf that agree in most words share a
-template, with wildcards where they differ. Each distinct template of the corpus is classified once and its verdict goes
-back to all lines. Unfilled slots are looked for in all lines apart from that. A text is residue if it has a slot, or if
+each of the first words and the last one, numbers, hexadecimal strings and paths masked; lines of a leaf that agree in
+most words share a template, with wildcards where they differ. The tree is that of the whole corpus, leaf by leaf over
+its distinct lines in their order, whatever the batches and partitions. Each distinct masked line is classified once,
+and its template where it tells nothing, so no wildcard hides a word the verdict rests on; verdicts go back to all lines.
+Unfilled slots are looked for in all lines apart from that. A text is residue if it has a slot, or if
 it has lines of residue and next to nothing else.
 """
 
@@ -43,6 +45,7 @@ _SLOTS = re.compile(
 )
 _UPPER_SLOT = re.compile(r"<([A-Z][A-Z0-9]+(?:[ _-][A-Z0-9]+)*)>")
 _OPENERS, _CLOSERS = "“„«\"'‘", "”“»\"'’"
+_QUOTES = frozenset("“”„«»\"")
 # Words of the usual filler text.
 _LOREM = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
@@ -121,21 +124,25 @@ def masked(line: str) -> list[str]:
     return ["<*>" if _DIGIT.search(w) else w for w in line.split()]
 
 
+def leaf_of(words: list[str]) -> tuple:
+    """Where the tree keeps the words: by their number, the first ``DEPTH`` ones and the last one."""
+    return (len(words), *words[:DEPTH], *words[-1:])
+
+
 class PrefixTree:
-    """Message templates of lines: levels for the number of words, the first ``DEPTH`` words and the last one, then leaves."""
+    """Message templates of lines, in leaves by ``leaf_of``."""
 
     def __init__(self) -> None:
         self.leaves: dict[tuple, list[list[str]]] = {}
 
     def add(self, words: list[str]) -> list[str]:
-        """The leaf's template for the words, changed in place as lines differ."""
-        leaf = self.leaves.setdefault((len(words), *words[:DEPTH], *words[-1:]), [])
+        """The leaf's template for the words, changed in place as lines differ; words with a quotation mark must agree."""
+        leaf = self.leaves.setdefault(leaf_of(words), [])
         for t in leaf:
-            same = sum(a == b for a, b in zip(t, words))
-            if same >= SIMILAR * len(words):
-                for i, (a, b) in enumerate(zip(t, words)):
-                    if a != b:
-                        t[i] = "<*>"
+            differ = [i for i, (a, b) in enumerate(zip(t, words)) if a != b]
+            if len(words) - len(differ) >= SIMILAR * len(words) and not any(c in _QUOTES for i in differ for c in t[i] + words[i]):
+                for i in differ:
+                    t[i] = "<*>"
                 return t
         leaf.append(list(words))
         return leaf[-1]
@@ -232,7 +239,6 @@ def wrapped_lines(lines: list[str]) -> set[int]:
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     h = xxhash.xxh64_intdigest
     for b in batches:
-        tree = PrefixTree()
         rows: list[tuple] = []
         for rid, text in zip(*(c.to_pylist() for c in b.columns)):
             slot = bool(slots(text))
@@ -246,33 +252,57 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 one = line is whole and wrapped
                 fill = no in joined or filler(line)
                 first = not one and line == lines[0] and len(words) <= FIRST_WORDS
-                rows.append((rid, one, slot, fill, 0 if first else len(words), tree.add(masked(line))))
-        names = [" ".join(r[5]) if len(r[5]) > 0 else "" for r in rows]
-        # a template is kept as the lines of the batch left it; numbers stay masked as words that mean something to the classes
+                rows.append((rid, one, slot, fill, 0 if first else len(words), masked(line)))
+        names = [" ".join(r[5]) for r in rows]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.bool_()), pa.array([r[3] for r in rows], pa.bool_()), pa.array([r[4] for r in rows], pa.int32()), pa.array([h(x) for x in names], pa.uint64()).cast(pa.int64(), safe=False), pa.array(names, pa.string())],
-            names=["id", "whole", "slot", "fill", "words", "t", "template"],
+            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.bool_()), pa.array([r[3] for r in rows], pa.bool_()), pa.array([r[4] for r in rows], pa.int32()), pa.array([h(x) for x in names], pa.uint64()).cast(pa.int64(), safe=False), pa.array([h(" ".join(map(str, leaf_of(r[5])))) for r in rows], pa.uint64()).cast(pa.int64(), safe=False), pa.array(names, pa.string())],
+            names=["id", "whole", "slot", "fill", "words", "t", "leaf", "line"],
         )
 
 
+def _verdicts(lines: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """``(t, n, kind)`` of the lines ``(t, n, masked line)`` of one leaf that aren't content by themselves or their template."""
+    kinds = [classify(x) for _, _, x in lines]
+    if len(lines) > 1 and "content" in kinds:
+        tree = PrefixTree()
+        templates = [tree.add(x.split(" ")) for _, _, x in lines]
+        # the templates as all lines of the leaf left them, each classified once
+        told = {id(t): "" for t in templates}
+        for i, (t, k) in enumerate(zip(templates, kinds)):
+            if k == "content":
+                told[id(t)] = told[id(t)] or classify(" ".join(t))
+                kinds[i] = told[id(t)]
+    return [(t, n, k) for (t, n, _), k in zip(lines, kinds) if k != "content"]
+
+
 def _classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Leaf by leaf; a leaf may reach over batches."""
+    columns, leaf, lines = ["t", "n", "kind"], None, []
     for b in batches:
-        b = b.assign(kind=[classify(x) for x in b["template"]])
-        yield b.loc[b["kind"] != "content", ["t", "n", "kind"]]
+        out = []
+        for f, t, n, line in zip(b["leaf"], b["t"], b["n"], b["line"]):
+            if f != leaf:
+                out += _verdicts(lines)
+                leaf, lines = f, []
+            lines.append((t, n, line))
+        yield pd.DataFrame(out, columns=columns)
+    yield pd.DataFrame(_verdicts(lines), columns=columns)
 
 
 def residue(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """``(id, slot, n_residue, rest_words)`` of each text that is, or still holds, template residue or stands for an error.
 
     Null, empty and blank texts are none, nor are odd characters and markers of tokenizers. Whole texts are read, once;
-    templates are counted with map-side combining, so one that a third of all lines share costs a row a task, and its
+    distinct lines are counted with map-side combining, so one that a third of all lines share costs a row a task, and its
     verdict comes back by a broadcast of checked size or a salted join. Rows repeated come out once for each id.
     """
     texts = df.filter(F.length(text) > 0).select(F.col(id_col).cast("long"), F.col(text))
-    lines = written(spread(texts).mapInArrow(_lines, "id long, whole boolean, slot boolean, fill boolean, words int, t long, template string"), "messages")
-    templates = lines.groupBy("t", "template").agg(F.count(F.lit(1)).alias("n"))
-    verdicts = written(templates.mapInPandas(_classes, "t long, n long, kind string"), "verdicts")
-    seen = keyed_join(lines.drop("template"), verdicts, ["t"], "n", F.col("id"), row_bytes=48, how="left")
+    lines = written(spread(texts).mapInArrow(_lines, "id long, whole boolean, slot boolean, fill boolean, words int, t long, leaf long, line string"), "messages")
+    distinct = lines.groupBy("t", "leaf", "line").agg(F.count(F.lit(1)).alias("n"))
+    # each leaf whole and in order, so templates don't hang on how lines came
+    leaves = distinct.repartition("leaf").sortWithinPartitions("leaf", "line")
+    verdicts = written(leaves.mapInPandas(_classes, "t long, n long, kind string"), "verdicts")
+    seen = keyed_join(lines.drop("leaf", "line"), verdicts, ["t"], "n", F.col("id"), row_bytes=48, how="left")
     bad = F.col("fill") | F.coalesce(F.col("kind") != "wrapper", F.lit(False))
     per = seen.groupBy("id").agg(
         F.max("slot").alias("slot"),

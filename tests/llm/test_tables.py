@@ -120,3 +120,17 @@ def test_residue_in_long_lines_and_wrapped_in_long_texts(spark):
     docs = [(1, nav + "Please enable JavaScript and cookies to continue"), (2, menu + "Please turn on\nJavaScript in your browser"), (3, nav + "All of it in one place.")]
     got = residue.residue(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text").collect()
     assert sorted(r["id"] for r in got) == [1, 2]
+
+
+def test_residue_does_not_hang_on_batches(spark):
+    docs = [(1, "The requested page was not found."), (2, "The requested page was never found."), (3, "The requested page was soon found.")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = []
+    # all in one partition and batch, in both orders, and each line in a batch of its own
+    for rows_a_batch, order in ((100, "doc_id"), (100, "-doc_id"), (1, "doc_id")):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
+        one = df.selectExpr("*", f"{order} AS o").coalesce(1).sortWithinPartitions("o").drop("o")
+        got.append(sorted(r["id"] for r in residue.residue(one, "doc_id", "text").collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert got[0] == got[1] == got[2] and 1 in got[0]

@@ -203,3 +203,10 @@ def test_messages_wrapped_over_lines_of_a_long_text():
     assert residue.wrapped_lines([*menu, "The council met at noon.", "JavaScript Weekly came out on Monday."]) == set()
     # no message ends where the first words of a line do
     assert residue.classify("The board said at length that it had no word of it. " * 3 + "For many days all the archive ever answered was 404 Not Found and then nothing at all") == "content"
+
+
+def test_templates_hide_no_telling_word():
+    lines = ["The requested page was never found.", "The requested page was not found."]
+    assert residue._verdicts([(i, 1, x) for i, x in enumerate(lines)])[-1] == (1, 1, "message")
+    tree = residue.PrefixTree()
+    assert tree.add("a b c d “e f g h i j".split()) is not tree.add("a b c d e f g h i j".split())
