@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -26,6 +27,9 @@ from tesserine.session import spread, written
 LINE_PAGES, LINE_PAGE_SHARE, LINE_HOSTS, LINE_HOSTS_SHARE = 3, 0.003, 3, 0.015
 #: A frame, if on so many pages and at least this share of the pages of its host, or of so many hosts and this share of all; with so many fillings.
 FRAME_PAGES, FRAME_PAGE_SHARE, FRAME_HOSTS, FRAME_HOST_SHARE, FRAME_FILLINGS = 3, 0.02, 5, 0.02, 3
+#: Below these shares the numbers alone do, if the line or frame is no chance filling of a slot: it has so many times the
+#: pages (hosts) that those have on average which differ from it in names and numbers only.
+STAND_OUT = 10
 #: An item of a menu, if chained by marks on so many pages of its host or on so many hosts.
 ITEM_PAGES, ITEM_HOSTS = 2, 2
 FRAME_WORDS = 5
@@ -102,52 +106,77 @@ def frames(line: str) -> list[tuple[str, str]]:
     return out
 
 
-def features(host: str, chunk: str) -> Iterator[tuple[int, int, str, str, int]]:
-    """``(line_no, kind, template, filling, of)`` of each line.
+@lru_cache(maxsize=1 << 15)
+def family(fixed: str) -> str:
+    """A line or the fixed part of a frame without names, that is capitals within it; fillings of one slot share it.
 
-    Kind 0: the whole line; 1: a frame; 2: an item of a chain; 3: a word of a short line without marks; 4: a word of an
-    item. ``of``: how many items or words the line has.
+    Of words all in capitals the first two are kept; a lone word may be a name, so all of these are one family.
+    """
+    words = [w for w in fixed.split() if line_key(w)]
+    if len(words) == 1:
+        return "*"
+    caps = fixed.upper() == fixed
+    return line_key(" ".join(w for i, w in enumerate(words) if i < 1 + caps or not w.lstrip("“„«\"'(")[:1].isupper()))
+
+
+def _fixed(frame: str, line: str) -> str:
+    """The words of a frame as they stand in the line."""
+    if frame[-1] == "*" and (m := _HEAD.match(line[:90])):
+        return m.group(1)
+    return line.rpartition("|")[2] if frame[0] == "*" and "|" in line else ""
+
+
+def features(host: str, chunk: str) -> Iterator[tuple[int, int, str, str, int, str]]:
+    """``(line_no, kind, template, filling, of, family)`` of each line.
+
+    Kind 0: the whole line, with its neighbours as filling; 1: a frame; 2: an item of a chain; 3: a word of a short line without marks; 4: a word of an
+    item. ``of``: how many items or words the line has, or letters the family.
     """
     site = site_key(host)
 
     def own(k: str) -> str:
         return k.replace(site, "@") if len(site) > 3 else k
 
-    for no, line in enumerate(chunk.split("\n"), 1):
-        key = line_key(line)
-        if not key:
-            continue
-        yield no, 0, own(key), "", 1
+    texts = chunk.split("\n")
+    keys = [line_key(line) for line in texts]
+    filled = [i for i, key in enumerate(keys) if key]
+    for at, i in enumerate(filled):
+        no, line, key = i + 1, texts[i], keys[i]
+        beside = (keys[filled[at - 1]][-40:] if at else "") + "\n" + (keys[filled[at + 1]][:40] if at + 1 < len(filled) else "")
+        # a slot of a long line isn't filled alike by chance
+        fam = own(family(line) if len(line) <= 120 else key)
+        yield no, 0, own(key), beside, len(fam), fam
         for f, filling in frames(line):
-            yield no, 1, own(f), filling, 1
+            fam = own(family(_fixed(f, line)) or f)
+            yield no, 1, own(f), filling, len(fam), fam
         items = menu_items(line)
         for item in items:
-            yield no, 2, line_key(item), "", len(items)
+            yield no, 2, line_key(item), "", len(items), ""
         if len(items) > 2:
             for w in {k for item in items for w in item.split() if (k := line_key(w))}:
-                yield no, 4, w, "", 1
+                yield no, 4, w, "", 1, ""
         if not items and len(line) <= 120 and (line.rstrip()[-1:] not in ".?!”“\"»:" or line.rstrip().endswith(" .")):
             words = {k for w in line.split() if (k := line_key(w))}
             if 2 <= len(words) <= 14 and not any(c.isdigit() for c in line):
                 for w in words:
-                    yield no, 3, w, "", len(words)
+                    yield no, 3, w, "", len(words), ""
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     h = xxhash.xxh64_intdigest
     for b in batches:
-        cols: list[list[int]] = [[] for _ in range(8)]
+        cols: list[list[int]] = [[] for _ in range(9)]
         for rid, domain, url, chunk in zip(*(c.to_pylist() for c in b.columns)):
             host = host_of(domain, url)
             hh, page = h(host), h(page_of(url, chunk))
-            for no, kind, template, filling, of in features(host, chunk):
-                for col, v in zip(cols, (rid, no, kind, hh, page, h(template, min(kind, 3)), h(filling) if filling else 0, of)):
+            for no, kind, template, filling, of, fam in features(host, chunk):
+                for col, v in zip(cols, (rid, no, kind, hh, page, h(template, min(kind, 3)), h(filling) if filling else 0, of, h(fam) if fam else 0)):
                     col.append(v)
-        n = [pa.array(c, pa.uint64()).cast(pa.int64(), safe=False) if i in (3, 4, 5, 6) else pa.array(c, pa.int64() if i == 0 else pa.int32()) for i, c in enumerate(cols)]
-        yield pa.RecordBatch.from_arrays(n, names=["id", "line_no", "kind", "host", "page", "t", "f", "of"])
+        n = [pa.array(c, pa.uint64()).cast(pa.int64(), safe=False) if i in (3, 4, 5, 6, 8) else pa.array(c, pa.int64() if i == 0 else pa.int32()) for i, c in enumerate(cols)]
+        yield pa.RecordBatch.from_arrays(n, names=["id", "line_no", "kind", "host", "page", "t", "f", "of", "fam"])
 
 
-_SCHEMA = "id long, line_no int, kind int, host long, page long, t long, f long, of int"
+_SCHEMA = "id long, line_no int, kind int, host long, page long, t long, f long, of int, fam long"
 
 
 def template_lines(df: DataFrame, id_col: str, domain: str, url: str, text: str) -> DataFrame:
@@ -162,7 +191,7 @@ def template_lines(df: DataFrame, id_col: str, domain: str, url: str, text: str)
     feats = written(spread(texts).mapInArrow(_features, _SCHEMA), "features")
     on_pages = feats.filter("kind in (0, 2)").select("kind", "t", "host", "page").distinct().groupBy("kind", "t", "host").agg(F.count(F.lit(1)).alias("pages"), F.lit(1).cast("long").alias("fillings"))
     framed = feats.filter("kind = 1").groupBy("kind", "t", "host").agg(F.countDistinct("page").alias("pages"), F.countDistinct("f").alias("fillings"))
-    places = feats.filter("kind < 3").groupBy("kind", "t", "host").agg(F.count(F.lit(1)).alias("n"))
+    places = feats.filter("kind < 3").groupBy("kind", "t", "host").agg(F.count(F.lit(1)).alias("n"), F.min_by("fam", F.struct("of", "fam")).alias("fam"))
     support = written(on_pages.unionByName(framed).join(places, ["kind", "t", "host"]), "support")
     hosts = feats.filter("kind = 0").select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
     n_hosts = feats.filter("kind = 0").select("host").distinct().count()
@@ -174,7 +203,8 @@ def template_lines(df: DataFrame, id_col: str, domain: str, url: str, text: str)
     shared = (F.col("hosts") >= max(FRAME_HOSTS, FRAME_HOST_SHARE * n_hosts)) & (F.col("all_fillings") >= FRAME_FILLINGS)
     item = (F.col("pages") >= ITEM_PAGES) | (F.col("hosts") >= ITEM_HOSTS)
     valid = s.filter(F.when(F.col("kind") == 0, line).when(F.col("kind") == 1, own | shared).otherwise(item))
-    valid = written(valid.select("kind", "t", "host", "n"), "valid")
+    few = written(s.filter(F.when(F.col("kind") == 0, ~line & (F.col("pages") >= LINE_PAGES)).when(F.col("kind") == 1, ~(own | shared) & (((F.col("pages") >= FRAME_PAGES) & (F.col("fillings") >= FRAME_FILLINGS)) | ((F.col("hosts") >= FRAME_HOSTS) & (F.col("all_fillings") >= FRAME_FILLINGS)))).otherwise(F.lit(False))), "few")
+    valid = written(valid.select("kind", "t", "host", "n").unionByName(_standing_out(few, support, feats)), "valid")
     hit = keyed_join(feats.filter("kind < 3"), valid, ["kind", "t", "host"], "n", F.col("id"), row_bytes=40)
     whole = hit.filter("kind < 2").select("id", "line_no")
     chained = hit.filter("kind = 2").groupBy("id", "line_no").agg(F.count(F.lit(1)).alias("n"), F.max("of").alias("of")).filter(F.col("n") >= ITEM_SHARE * F.col("of")).select("id", "line_no")
@@ -183,3 +213,20 @@ def template_lines(df: DataFrame, id_col: str, domain: str, url: str, text: str)
     spelt = keyed_join(feats.filter("kind = 3"), written(words, "words"), ["t"], "n", F.col("id"), row_bytes=24)
     unmarked = spelt.groupBy("id", "line_no").agg(F.count(F.lit(1)).alias("n"), F.max("of").alias("of")).filter("n = of").select("id", "line_no")
     return whole.unionByName(chained).unionByName(unmarked).distinct()
+
+
+def _standing_out(few: DataFrame, support: DataFrame, feats: DataFrame) -> DataFrame:
+    """``(kind, t, host, n)`` of those with a small share of pages or hosts that don't recur as fillings of a slot do.
+
+    A line or frame is held against the others of its family on its own host, a frame of several hosts against the
+    others of its family by their hosts; a line must have different neighbours, as copied passages have not. Shares of unrelated pages and hosts have no part in it.
+    """
+    kin = support.filter("kind < 2").groupBy("kind", "fam", "host").agg(F.count(F.lit(1)).alias("kin"), F.sum("pages").alias("kin_pages"))
+    wide = support.filter("kind = 1").groupBy("fam", "t").agg(F.count(F.lit(1)).alias("m")).groupBy("fam").agg(F.count(F.lit(1)).alias("wide"), F.sum("m").alias("wide_hosts"))
+    lines = few.filter("kind = 0").select("t", "host")
+    beside = feats.filter("kind = 0").join(lines, ["t", "host"], "left_semi").groupBy("t", "host").agg(F.countDistinct("f").alias("beside")).withColumn("kind", F.lit(0))
+    x = few.join(beside, ["kind", "t", "host"], "left").join(kin, ["kind", "fam", "host"]).join(wide.withColumn("kind", F.lit(1)), ["kind", "fam"], "left")
+    enough = F.when(F.col("kind") == 0, F.col("beside") >= LINE_PAGES).otherwise((F.col("pages") >= FRAME_PAGES) & (F.col("fillings") >= FRAME_FILLINGS))
+    by_pages = enough & (F.col("pages") * (F.col("kin") - 1) >= STAND_OUT * (F.col("kin_pages") - F.col("pages")))
+    by_hosts = (F.col("kind") == 1) & (F.col("hosts") >= FRAME_HOSTS) & (F.col("all_fillings") >= FRAME_FILLINGS) & (F.col("hosts") * (F.col("wide") - 1) >= STAND_OUT * (F.col("wide_hosts") - F.col("hosts")))
+    return x.filter(by_pages | by_hosts).select("kind", "t", "host", "n")

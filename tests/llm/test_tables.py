@@ -134,3 +134,17 @@ def test_residue_does_not_hang_on_batches(spark):
         got.append(sorted(r["id"] for r in residue.residue(one, "doc_id", "text").collect()))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     assert got[0] == got[1] == got[2] and 1 in got[0]
+
+
+def test_a_template_stays_found_as_its_host_and_the_input_grow(spark):
+    def name(i):
+        return "".join(chr(97 + i // 26**k % 26) for k in range(4))
+
+    # a notice and a frame of one host's own pages, and a slot filled alike by chance
+    data = [(i, "a.example", f"https://a.example/{i}", f"The {name(i)} council met.\nListed for {name(i % 500).title()}:" + ("\nTap to unmute the player" if i < 5 else "") + (f"\nRead on: the {name(i + 7)} files" if i < 5 else "")) for i in range(2000)]
+    got = set(rows(boilerplate.template_lines(ev(spark, data), "evidence_id", "domain", "url", "chunk")))
+    assert got == {(i, n) for i in range(5) for n in (3, 4)}
+    # a frame on hosts of which each has two of its pages
+    data = [(i, f"h{name(i // 2)}.example", f"https://h/{i}", f"The {name(i)} council met.\n" + (f"Read on: the {name(i + 7)} files" if i < 12 else "No more.")) for i in range(1400)]
+    got = set(rows(boilerplate.template_lines(ev(spark, data), "evidence_id", "domain", "url", "chunk")))
+    assert {(i, 2) for i in range(12)} <= got
