@@ -28,3 +28,20 @@ def keyed_join(rows: DataFrame, keyed: DataFrame, on: list[str], weight: str, sp
     left = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))).drop("_hot")
     right = keyed.withColumn("_salt", F.explode(F.when(F.col(weight) * HOT_SHARE >= F.lit(total), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
+def salted_join(a: DataFrame, b: DataFrame, on: list[str], spread: Column) -> DataFrame:
+    """Inner join of two long tables on columns without nulls that may have keys which hold much of ``a``.
+
+    ``a`` is counted by key with map-side combining, so it should be a written table or cheap to read; keys with at
+    least 1/200 of its rows, of which there are 200 at most, are spread over tasks by ``spread``, a Column of ``a``,
+    and their rows of ``b`` go to each of them. All pairs come out.
+    """
+    counts = a.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    total = a.count()
+    hot = F.broadcast(counts.filter(F.col("_n") * HOT_SHARE >= F.lit(max(total, 1))).select(*on, F.lit(True).alias("_hot")))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = a.join(hot, on, "left").withColumn("_salt", salt).drop("_hot")
+    right = b.join(hot, on, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return left.join(right, [*on, "_salt"]).drop("_salt")
