@@ -4,17 +4,20 @@ An element is a text with its ids; two neighbours are joined by encoding anew a
 window grows on both sides until it ends where a letter, digit or mark of ASCII meets a blank. No word of the
 tokenizer's pre-tokenization reaches across such a place, whatever stands around it, so the tokens outside the window
 are those of the joined text. Joining is therefore associative, and a text of any length is encoded by halves.
+Decoding is the other monoid of the tree: the bytes of two halves of the ids are concatenated on the way up.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 import tiktoken
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,17 +88,55 @@ class Encoder:
         return self.element(text)[1] if text else []
 
 
+    def bytes_of(self, ids: list[int]) -> bytes:
+        if len(ids) <= self.leaf:
+            return b"".join(map(self.encoding.decode_single_token_bytes, ids))
+        half = len(ids) // 2
+        return self.bytes_of(ids[:half]) + self.bytes_of(ids[half:])
+
+    def decode(self, ids: list[int] | None) -> str:
+        """The text of the ids; a character is only read from its whole bytes, those that make up none become U+FFFD."""
+        return self.bytes_of(ids).decode("utf-8", "replace") if ids else ""
+
+
+def local_path(path: str) -> str:
+    """Where this worker finds the vocabulary: shipped with ``SparkContext.addFile``, or under the path itself."""
+    try:
+        shipped = SparkFiles.get(os.path.basename(path))
+    except Exception:  # outside of Spark
+        return path
+    return shipped if os.path.exists(shipped) else path
+
+
 def token_ids(df: DataFrame, id_col: str, text: str, path: str = VOCABULARY, leaf: int = LEAF) -> DataFrame:
     """``(id_col, ids)`` of each row, repeated rows too; null and empty texts give an empty list, blank ones their ids.
 
-    ``path`` is read by each Python worker once. There is no shuffle of any but small tables; a row's text goes whole through one task.
+    ``path`` is the vocabulary on the driver; it is shipped to the executors and read by each Python worker once. There is no shuffle of any but small tables; a row's text goes whole through one task.
     """
 
+    df.sparkSession.sparkContext.addFile(path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, leaf)
+        encoder = Encoder(local_path(path), leaf)
         for b in batches:
             ids = [encoder.encode(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
 
     kind = dict(df.select(id_col).dtypes)[id_col]
     return spread(df.select(F.col(id_col), F.col(text))).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+
+
+def decoded_texts(df: DataFrame, id_col: str, ids: str = "ids", path: str = VOCABULARY, leaf: int = LEAF) -> DataFrame:
+    """``(id_col, text)`` of each row of token ids; null and empty lists give an empty text, repeated rows come again.
+
+    Ids outside the vocabulary are an error. No shuffle of any but small tables.
+    """
+    df.sparkSession.sparkContext.addFile(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(local_path(path), leaf)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([encoder.decode(x) for x in b.column(1).to_pylist()], pa.string())], names=[id_col, "text"])
+
+    kind = dict(df.select(id_col).dtypes)[id_col]
+    return spread(df.select(F.col(id_col), F.col(ids))).mapInArrow(run, f"`{id_col}` {kind}, text string")

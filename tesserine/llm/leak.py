@@ -11,20 +11,23 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserine.operators.skew import BROADCAST_BYTES, keyed_join
+from tesserine.operators.skew import BROADCAST_BYTES, keyed_join, salted_join
 from tesserine.session import spread, written
 
 SEED = 3
 LEAST_TILE = 2
-#: Least share of an item's words. The limit asked for is a half; words that part at hyphens or apostrophes move it a little.
-COVERAGE = 0.46
+#: Least share of an item's words, with those that were changed or dropped between tiles.
+COVERAGE = 0.5
+#: So many words of the item in a row may be changed or dropped, or other words put in, between two tiles of a passage.
+GAP_WORDS = 2
 #: Stretches are tiled where they hold at least this share of an item's seeds: half of an item with every sixth word of it
 #: changed keeps more.
 DENSITY = 0.15
@@ -63,32 +66,55 @@ def _rolling(ids: list[int], n: int) -> Iterator[tuple[int, int]]:
 
 
 def tiles(a: list[str], b: list[str], least: int = LEAST_TILE) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: ``(start in a, start in b, words)`` of the longest equal runs, marked without overlap."""
+    """Greedy string tiling: ``(start in a, start in b, words)`` of the longest equal runs, marked without overlap.
+
+    Runs are sought by rolling hashes of a length that halves, and extended as far as they go; the longest one is always
+    marked first, of equal ones that with the smaller starts. What is left of a run that was marked in part waits for
+    its turn, so the order is that of greedy tiling word by word.
+    """
     number: dict[str, int] = {}
     x, y = ([number.setdefault(w, len(number) + 1) for w in t] for t in (a, b))
     free_a, free_b = [True] * len(x), [True] * len(y)
-    out = []
-    n = min(len(x), len(y))
-    while n >= least:
+    out: list[tuple[int, int, int]] = []
+    size = least
+    while size * 2 <= min(len(x), len(y)):
+        size *= 2
+    while size >= least:
         at = defaultdict(list)
-        for i, h in _rolling(x, n):
-            if all(free_a[i : i + n]):
+        for i, h in _rolling(x, size):
+            if all(free_a[i : i + size]):
                 at[h].append(i)
-        longest = 0
-        found = []
-        for j, h in _rolling(y, n):
-            if h in at and all(free_b[j : j + n]):
-                for i in at[h]:
-                    if x[i : i + n] == y[j : j + n]:
-                        found.append((i, j, n))
-                        longest = n
-        for i, j, m in found:
-            if all(free_a[i : i + m]) and all(free_b[j : j + m]):
-                free_a[i : i + m] = [False] * m
-                free_b[j : j + m] = [False] * m
-                out.append((i, j, m))
-        # runs shorter than the longest left can't be longer than it
-        n = n - 1 if longest or n <= 8 else max(8, n * 3 // 4)
+        runs: list[tuple[int, int, int]] = []
+        for j, h in _rolling(y, size) if at else ():
+            if h not in at or not all(free_b[j : j + size]):
+                continue
+            for i in at[h]:
+                # a run that goes on to the left was found from there
+                if i and j and x[i - 1] == y[j - 1] and free_a[i - 1] and free_b[j - 1]:
+                    continue
+                n = 0
+                while i + n < len(x) and j + n < len(y) and x[i + n] == y[j + n] and free_a[i + n] and free_b[j + n]:
+                    n += 1
+                if n >= size:
+                    runs.append((-n, i, j))
+        heapify(runs)
+        while runs:
+            n, i, j = heappop(runs)
+            from_ = 0
+            rest = []
+            for k in range(-n + 1):
+                if k == -n or not (free_a[i + k] and free_b[j + k]):
+                    if k - from_ >= size:
+                        rest.append((from_ - k, i + from_, j + from_))
+                    from_ = k + 1
+            if rest == [(n, i, j)]:
+                free_a[i : i - n] = [False] * -n
+                free_b[j : j - n] = [False] * -n
+                out.append((i, j, -n))
+            else:
+                for r in rest:
+                    heappush(runs, r)
+        size = size // 2 if size > least else 0
     return out
 
 
@@ -112,6 +138,11 @@ def dense(spots: list[tuple[int, int]], span: int, need: int) -> list[tuple[int,
     return out
 
 
+def _bridged(item_gap: int, doc_gap: int) -> int:
+    """Words of the item between two tiles that count as held, as they were but changed or dropped."""
+    return item_gap if item_gap <= GAP_WORDS and doc_gap <= GAP_WORDS else 0
+
+
 def coverage(item: list[str], doc: list[str], spots: list[tuple[int, int]]) -> tuple[float, float]:
     """Share of the item's words in tiles that are in order within one stretch of the document, and in tiles at all.
 
@@ -120,7 +151,7 @@ def coverage(item: list[str], doc: list[str], spots: list[tuple[int, int]]) -> t
     m = len(item)
     span = int(STRETCH * m) + STRETCH_WORDS
     best = loose = 0.0
-    for first, last in dense(spots, span, max(1, round(DENSITY * (m - SEED + 1)))):
+    for first, last in dense(spots, span, _least_seeds(m)):
         from_, to = max(0, first - m // 2), min(len(doc), last + SEED + m // 2)
         ts = sorted(tiles(item, doc[from_:to]), key=lambda t: t[1])
         loose = max(loose, sum(t[2] for t in ts) / m)
@@ -128,13 +159,12 @@ def coverage(item: list[str], doc: list[str], spots: list[tuple[int, int]]) -> t
         for s in range(len(ts)):
             chain: list[tuple[int, int, int, int]] = []  # weight, end in item, end in document, start in item
             for i, j, n in ts[s:]:
-                before = max((c for c in chain if c[1] <= i), default=None)
-                w = n + (before[0] if before else 0)
+                before = max(((c[0] + _bridged(i - c[1], j - c[2]), c[3]) for c in chain if c[1] <= i), default=None)
                 if chain and before is None:
                     continue
-                chain.append((w, i + n, j + n, before[3] if before else i))
-                part = i + n - (before[3] if before else i)
-                if j + n - ts[s][1] <= STRETCH * max(part, w) + STRETCH_WORDS:
+                w, from_item = (n + before[0], before[1]) if before else (n, i)
+                chain.append((w, i + n, j + n, from_item))
+                if j + n - ts[s][1] <= STRETCH * max(i + n - from_item, w) + STRETCH_WORDS:
                     best = max(best, w / m)
     return best, loose
 
@@ -165,8 +195,8 @@ def _matches(doc: list[str], items: list[tuple[int, list[str]]], at: dict[int, l
 def leaks(documents: DataFrame, doc_id: str, items: DataFrame, item_id: str, text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``(doc_id, item_id, coverage, loose)`` of each document that holds at least half of an item's words.
 
-    The words must stand in the item's order within one stretch; other words in between, changed or dropped ones count
-    as uncovered. Null, empty and blank texts hold and are nothing; items of fewer than three words are found only
+    The words must stand in the item's order within one stretch; up to two of the item's words in a row between two
+    tiles count as held, as they were changed or dropped, more don't. Null, empty and blank texts hold and are nothing; items of fewer than three words are found only
     whole, as one seed of all their words. Repeated documents come out once for each id. Items go to all executors while their
     size, which is counted, stays under ``broadcast_bytes``; beyond that seeds of both sides are joined by a shuffle.
     Whole texts are read.
@@ -196,24 +226,45 @@ def leaks(documents: DataFrame, doc_id: str, items: DataFrame, item_id: str, tex
 
         found = spread(docs).mapInArrow(scan, "doc_id long, item_id long, coverage double, loose double")
     else:
-        seeds = written(its.mapInPandas(_item_seeds, "item_id long, h long"), "seeds")
-        counted = written(seeds.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "seed_counts")
-        # documents are brought to items by the seeds that items have
-        hits = keyed_join(docs.mapInPandas(_doc_seeds, "doc_id long, h long"), counted, ["h"], "n", F.col("doc_id"), row_bytes=16).select("doc_id", "h").distinct()
-        pairs = hits.join(seeds, "h").select("doc_id", "item_id").distinct()
-        texts = pairs.join(docs, "doc_id").join(its.withColumnRenamed("text", "item_text"), "item_id").select("doc_id", "item_id", "text", "item_text")
-        found = texts.mapInPandas(_tiled, "doc_id long, item_id long, coverage double, loose double")
+        found = _by_seeds(docs, its)
     return found.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.max("loose").alias("loose"))
 
 
-def _pad(words: list[str]) -> list[int]:
-    return seed_hashes(words) if len(words) >= SEED else [xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63)]
+def _least_seeds(m: int) -> int:
+    """Different seeds that a stretch must share with an item of m words."""
+    return max(1, round(DENSITY * (m - SEED + 1)))
+
+
+def _by_seeds(docs: DataFrame, its: DataFrame) -> DataFrame:
+    """The same by shuffles of seeds, for items of any size.
+
+    A document that shares ``need`` of an item's n seeds shares one of its n - need + 1 that are rarest among the
+    documents, so only these make candidates; their shared seeds are counted by all of the item's seeds, and texts go
+    only to pairs that reach the number. Seeds that hold much of a side are salted.
+    """
+    seeds = written(its.mapInPandas(_item_seeds, "item_id long, h long, need int"), "seeds")
+    counted = written(seeds.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "seed_counts")
+    hits = written(keyed_join(docs.mapInPandas(_doc_seeds, "doc_id long, h long"), counted, ["h"], "n", F.col("doc_id"), row_bytes=16).select("doc_id", "h"), "hits")
+    held = hits.groupBy("h").agg(F.count(F.lit(1)).alias("docs"))
+    by_rarity = Window.partitionBy("item_id").orderBy("docs", "h")
+    ranked = seeds.join(held, "h").withColumn("at", F.row_number().over(by_rarity)).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("item_id")))
+    rare = written(ranked.filter("at <= of - need + 1").select("item_id", "h"), "rare")
+    pairs = salted_join(hits, rare, ["h"], F.col("doc_id")).select("doc_id", "item_id").distinct()
+    # pairs are held against all of the item's seeds by their documents' own
+    near = salted_join(pairs, seeds, ["item_id"], F.col("doc_id")).join(hits, ["doc_id", "h"]).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).filter("n >= need").select("doc_id", "item_id")
+    near = written(near, "near")
+    texts = salted_join(near, docs.distinct(), ["doc_id"], F.col("item_id")).join(its.withColumnRenamed("text", "item_text"), "item_id").select("doc_id", "item_id", "text", "item_text")
+    return texts.mapInPandas(_tiled, "doc_id long, item_id long, coverage double, loose double")
 
 
 def _item_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = [(i, h) for i, t in zip(b["item_id"], b["text"]) if (w := words_of(t)) for h in set(_pad(w))]
-        yield pd.DataFrame(rows, columns=["item_id", "h"])
+        rows = []
+        for i, t in zip(b["item_id"], b["text"]):
+            if w := words_of(t):
+                own = seed_hashes(w) if len(w) >= SEED else [xxhash.xxh64_intdigest(" ".join(w)) - (1 << 63)]
+                rows += [(i, h, _least_seeds(max(len(w), SEED))) for h in set(own)]
+        yield pd.DataFrame(rows, columns=["item_id", "h", "need"])
 
 
 def _doc_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

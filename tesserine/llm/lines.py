@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserine.operators.skew import keyed_join
@@ -78,14 +78,21 @@ def excess_lines(df: DataFrame, id_col: str, source: str, text: str, min_rows: i
     """``(source, letters, n_rows, n_outside, llr, q, excess)`` of each line in at least ``min_rows`` rows of a source.
 
     ``llr`` compares its share of the rows within the source with that outside; ``q`` is the Benjamini-Hochberg level
-    over these lines, from p-values counted in bins; ``excess``: more frequent within and ``q`` at most ``fdr``.
+    over all lines of all sources, from p-values counted in bins: lines in fewer rows are tests too, of which none is
+    taken to be more significant. ``excess``: more frequent within and ``q`` at most ``fdr``. Lines are counted and
+    joined by hashes; the letters of those that come out are read from the texts once more. Rows with a null source or text have no part;
+    rows repeated under one id count once; an empty table gives no row.
     """
-    keyed = _keyed_lines(_once(df, id_col, source, text), id_col, source, text).select("id", "s", "k").distinct()
-    within = written(keyed.groupBy("s", "k").agg(F.count(F.lit(1)).alias("a")).withColumn("one", F.lit(1)), "within")
-    everywhere = within.groupBy("k").agg(F.sum("a").alias("t"))
-    sizes = df.filter(F.col(source).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(source).cast("string").alias("s")).agg(F.countDistinct(id_col).alias("m"))
+    once = _once(df, id_col, source, text)
+    keyed = _keyed_lines(once, id_col, source, text).select("id", F.xxhash64("s").alias("s"), F.xxhash64("k").alias("k"), "h1", "h2")
+    within = written(keyed.distinct().groupBy("h1", "h2", "s", "k").agg(F.count(F.lit(1)).alias("a")), "within")
+    everywhere = written(within.groupBy("k").agg(F.sum("a").alias("t"), F.count(F.lit(1)).alias("sources")), "everywhere")
+    sizes = df.filter(F.col(source).isNotNull() & F.col(text).isNotNull()).groupBy(F.xxhash64(F.col(source).cast("string")).alias("s")).agg(F.countDistinct(id_col).alias("m"))
     total = sizes.agg(F.sum("m")).first()[0] or 0
-    x = within.filter(F.col("a") >= min_rows).join(everywhere, "k").join(sizes, "s").withColumn("b", F.col("t") - F.col("a")).withColumn("o", F.lit(total) - F.col("m"))
+    tests = within.count()
+    often = within.filter(F.col("a") >= min_rows)
+    sized = keyed_join(often, written(sizes, "sizes"), ["s"], "m", F.col("k"), row_bytes=24)
+    x = keyed_join(sized, everywhere, ["k"], "sources", F.col("s"), row_bytes=32).withColumn("b", F.col("t") - F.col("a")).withColumn("o", F.lit(total) - F.col("m"))
 
     def part(seen: Column, of: Column, rate: Column) -> Column:
         return F.when(seen > 0, seen * F.log(seen / (of * rate))).otherwise(0.0)
@@ -93,12 +100,17 @@ def excess_lines(df: DataFrame, id_col: str, source: str, text: str, min_rows: i
     rate = F.col("t") / F.lit(float(max(total, 1)))
     g = 2 * (part(F.col("a"), F.col("m"), rate) + part(F.col("b"), F.col("o"), rate) + part(F.col("m") - F.col("a"), F.col("m"), 1 - rate) + part(F.col("o") - F.col("b"), F.col("o"), 1 - rate))
     scored = written(x.withColumn("llr", F.greatest(g, F.lit(0.0))).withColumn("lp", F.pandas_udf(_log10_p, "double")("llr")).withColumn("bin", F.least(F.floor(F.col("lp") / BIN), F.lit(BINS)).cast("int")), "scored")
-    bins = scored.groupBy("bin").count()
-    tests = max(scored.count(), 1)
-    above = bins.alias("x").join(bins.alias("y"), F.col("y.bin") >= F.col("x.bin")).groupBy(F.col("x.bin").alias("bin")).agg(F.sum("y.count").alias("n_above"))
-    q = F.least(F.lit(1.0), F.pow(F.lit(10.0), -F.col("bin") * BIN) * tests / F.col("n_above"))
+    # one row a bin, of which there are BINS at most, so the windows without groups are small
+    bins = scored.groupBy("bin").agg(F.count(F.lit(1)).alias("in_bin"))
+    above = bins.withColumn("n_above", F.sum("in_bin").over(Window.orderBy(F.desc("bin"))))
+    raw = F.least(F.lit(1.0), F.pow(F.lit(10.0), -F.col("bin") * BIN) * float(max(tests, 1)) / F.col("n_above"))
+    # the least of the levels of all p-values that are as great or greater
+    level = above.withColumn("q", F.min(raw).over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).select("bin", "q")
     more = F.col("a") * F.col("o") > F.col("b") * F.col("m")
-    return scored.join(F.broadcast(above), "bin").withColumn("q", q).select(F.col("s").alias("source"), F.col("k").alias("letters"), F.col("a").alias("n_rows"), F.col("b").alias("n_outside"), "llr", "q", (more & (F.col("q") <= fdr)).alias("excess"))
+    judged = written(scored.join(F.broadcast(level), "bin").select("h1", "h2", "a", "b", "llr", "q", (more & (F.col("q") <= fdr)).alias("excess")), "judged_lines")
+    words = keyed_join(_keyed_lines(once, id_col, source, text), judged, ["h1", "h2"], "a", F.col("id"), row_bytes=64)
+    said = words.groupBy("h1", "h2").agg(F.first("s").alias("source"), F.first("k").alias("letters"), *(F.first(c).alias(c) for c in ("a", "b", "llr", "q", "excess")))
+    return said.select("source", "letters", F.col("a").alias("n_rows"), F.col("b").alias("n_outside"), "llr", "q", "excess")
 
 
 def without_lines(df: DataFrame, id_col: str, text: str, found: DataFrame, name: str = "clean") -> DataFrame:

@@ -43,6 +43,11 @@ def p5_lines(spark: SparkSession, d: str) -> DataFrame:
     return lines.excess_lines(_evidence(spark, d), "evidence_id", "domain", "chunk")
 
 
+def p5_ratios(spark: SparkSession, d: str) -> DataFrame:
+    """Rows within and outside, and the ratio, of the same lines."""
+    return p5_lines(spark, d).select("source", "letters", "n_rows", "n_outside", F.round("llr", 6).alias("llr"))
+
+
 def p5_clean(spark: SparkSession, d: str) -> DataFrame:
     ev = _evidence(spark, d)
     return lines.without_lines(ev, "evidence_id", "chunk", lines.repeated_lines(ev, "evidence_id", "domain", "chunk"))
@@ -61,6 +66,11 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.token_ids(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p8_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The texts won back from the ids of the whole corpus."""
+    return encode.decoded_texts(p8_ids(spark, d), "doc_id")
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leak.leaks(table(spark, d, "documents"), "doc_id", table(spark, d, "eval_items"), "item_id")
 
@@ -70,12 +80,12 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_items(spark: SparkSession, d: str) -> DataFrame:
-    """Which items leaked: the number of documents and the greatest coverage."""
-    return _leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("coverage").alias("coverage"))
+    """Which items leaked: the number of documents and the greatest coverage, in order and in any order."""
+    return _leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("coverage").alias("coverage"), F.max("loose").alias("loose"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_restored, p5_found, p5_lines, p5_clean, p6_found, p6_body, p8_ids, p9_found, p9_items, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_restored, p5_found, p5_lines, p5_ratios, p5_clean, p6_found, p6_body, p8_ids, p8_texts, p9_found, p9_items, p10_found)}

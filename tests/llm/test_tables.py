@@ -1,6 +1,7 @@
 """The operators on small tables: edge cases, repeated rows, clashing columns, both ways of joining."""
 
 import hashlib
+import math
 
 import pytest
 
@@ -40,6 +41,19 @@ def test_llr_is_small_for_lines_common_everywhere(spark):
     assert not x["h0.example", "commonline"]["excess"] and x["h0.example", "onlyhere"]["excess"]
 
 
+def test_levels_are_those_of_benjamini_and_hochberg(spark):
+    data = [(i, f"h{i % 5}.example", "u", "\n".join(w for j, w in enumerate(("alpha", "beta", "gamma", "delta", "epsilon")) if (i * (j + 3) + i // 7) % (2 + j) == 0 or i % 5 == j) or "none") for i in range(300)]
+    got = lines.excess_lines(ev(spark, data), "evidence_id", "domain", "chunk").collect()
+    tests = len({(s, k) for _, s, _, c in data for k in c.split("\n")})
+    p = sorted((math.erfc(math.sqrt(r["llr"] / 2)), r["q"]) for r in got)
+    want, least = [], 1.0
+    for rank in range(len(p), 0, -1):
+        least = min(least, p[rank - 1][0] * tests / rank)
+        want.append(least)
+    assert len(p) > 5 and all(q == pytest.approx(w, rel=0.2, abs=1e-12) for (_, q), w in zip(p, reversed(want)))
+    assert [q for _, q in p] == sorted(q for _, q in p)
+
+
 def pages():
     body = "The council of Aby{n} met on day {n} and counted {n} boats near quay {n}, the clerk wrote{w}."
     out = []
@@ -90,6 +104,9 @@ def test_token_ids(spark):
     got = encode.token_ids(df, "doc_id", "text", leaf=64).collect()
     assert [len(r["ids"]) for r in got[:3]] == [0, 0, 1] and 50256 not in got[3]["ids"] and len(got) == 6
     assert encode.token_ids(df.limit(0), "doc_id", "text").count() == 0
+    back = [r["text"] for r in encode.decoded_texts(encode.token_ids(df, "doc_id", "text"), "doc_id").collect()]
+    assert sorted(back) == sorted(r["text"] or "" for r in df.collect())
+    assert encode.decoded_texts(spark.createDataFrame([(1, None), (2, [])], "i int, ids array<int>"), "i").collect() == [(1, ""), (2, "")]
 
 
 DOC = "doc_id long, text string, item_id string, coverage string"

@@ -97,6 +97,7 @@ def test_pieces_join_to_the_ids_of_the_whole(parts, leaf, window):
     e = encode.Encoder(leaf=leaf, window=window)
     whole = e.encoding.encode_ordinary(text)
     assert e.encode(text) == whole
+    assert e.decode(whole) == text
     assert b"".join(e.encoding.decode_single_token_bytes(i) for i in whole).decode() == text
 
 
@@ -136,6 +137,37 @@ def test_tiles_dont_overlap_and_match(a, b):
         ub |= set(range(j, j + n))
 
 
+def plain_tiles(a, b):
+    free_a, free_b, out = [True] * len(a), [True] * len(b), []
+    while True:
+        best = None
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and free_a[i + n] and free_b[j + n]:
+                    n += 1
+                if n >= leak.LEAST_TILE and (best is None or (-n, i, j) < best):
+                    best = (-n, i, j)
+        if best is None:
+            return sorted(out)
+        n, i, j = -best[0], best[1], best[2]
+        free_a[i : i + n], free_b[j : j + n] = [False] * n, [False] * n
+        out.append((i, j, n))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 6), max_size=40), st.lists(st.integers(0, 6), max_size=50))
+def test_tiles_are_those_of_greedy_tiling(a, b):
+    a, b = [f"w{x}" for x in a], [f"w{x}" for x in b]
+    assert sorted(leak.tiles(a, b)) == plain_tiles(a, b)
+
+
+def test_whole_runs_are_tiled():
+    words = [f"w{i}" for i in range(40)]
+    for n in range(2, 41):
+        assert leak.tiles(words, words[:n]) == [(0, 0, n)]
+
+
 ITEM = "the old tide tables outlast spoken pledges while kiln receipts undercut a forged stamp near the quiet harbour wall at dusk"
 
 
