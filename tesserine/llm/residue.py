@@ -2,9 +2,10 @@
 
 Lines are reduced to message templates by a prefix tree of fixed depth: one level for the number of words, then one for
 each of the first words and the last one, numbers, hexadecimal strings and paths masked; lines of a leaf that agree in
-most words share a template, with wildcards where they differ. The tree is that of the whole corpus, leaf by leaf over
-its distinct lines in their order, whatever the batches and partitions. Each distinct masked line is classified once,
-and its template where it tells nothing, so no wildcard hides a word the verdict rests on; verdicts go back to all lines.
+most words share a template, with wildcards where they differ; telling words, that is those the classes rest on, are
+never made wildcards, so lines that differ in one stay apart. The tree is that of the whole corpus, leaf by leaf over
+its distinct lines in their order, whatever the batches and partitions. Each template is classified once, over its whole
+length, by the first of its lines, and the verdict goes back to all lines of it.
 Unfilled slots are looked for in all lines apart from that. A text is residue if it has a slot, or if
 it has lines of residue and next to nothing else.
 """
@@ -29,6 +30,9 @@ DEPTH, SIMILAR = 4, 0.6
 REST_WORDS, FIRST_WORDS = 14, 60
 #: Of a line with more words than these a message further on counts only if the rest of the line is no real text.
 HEAD_WORDS = 48
+#: Filler words that make a line filler if at most ``REST_WORDS`` others stand beside; words beside a phrase of fillers.
+FILLER_WORDS, FILLER_REST = 12, 6
+WILDCARD = "<*>"
 #: A message wrapped over lines reaches at most so many words past its first line; running text has so many words in lower case on end.
 WINDOW_WORDS, RUN_WORDS = 16, 5
 
@@ -37,15 +41,15 @@ _TAGS = re.compile(r"</?(?:html|head|title|body|h[1-6]|p|div|span|br|hr|a|b|i|em
 # Marker strings of tokenizers, which are no placeholders.
 _MARKERS = frozenset("PAD UNK BOS EOS CLS SEP MASK S EOT EOD SOS NUL".split())
 _SLOTS = re.compile(
-    r"\{\{[^{}\n]{1,80}\}\}|\{%[^{}\n]{1,80}%\}|<%[^<>\n]{1,80}%>|[$#]\{[A-Za-z_][\w. -]{0,60}\}|%\([A-Za-z_]\w{0,60}\)[sdrfi]"
-    r"|(?<![\w$#{%\\])\{[A-Za-z_][a-z0-9_]{1,60}\}(?![}\w])|__[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)*__|@@[A-Za-z]\w{0,60}@@|%%[A-Za-z]\w{0,60}%%|(?<!\w)%[A-Z][A-Z0-9_]{2,60}%(?!\w)"
-    r"|<([A-Z][A-Z0-9]+(?:[ _-][A-Z0-9]+)*)>|\[\[[A-Za-z_][\w -]{0,60}\]\]"
-    r"|\[\s*(?:insert|enter|add|your|put|replace|fill in|tbd|tbc|todo)\b[^\]\[\n]{0,60}\]|\[[^\]\[\n]{1,60}\s(?:goes\s)?here\s*\]",
+    r"\{\{[^{}\n]+\}\}|\{%[^{}\n]+%\}|<%[^<>\n]+%>|[$#]\{[A-Za-z_][\w. -]*\}|%\([A-Za-z_]\w*\)[sdrfi]"
+    r"|(?<![\w$#{%\\])\{[A-Za-z_][a-z0-9_]+\}(?![}\w])|__[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)*__|@@[A-Za-z]\w*@@|%%[A-Za-z]\w*%%|(?<!\w)%[A-Z][A-Z0-9_]{2,}%(?!\w)"
+    r"|<([A-Z][A-Z0-9]+(?:[ _-][A-Z0-9]+)*)>|\[\[[A-Za-z_][\w -]*\]\]"
+    r"|\[\s*(?:insert|enter|add|your|put|replace|fill in|tbd|tbc|todo)\b[^\]\[\n]*\]|\[[^\]\[\n]+\s(?:goes\s)?here\s*\]",
     re.I,
 )
 _UPPER_SLOT = re.compile(r"<([A-Z][A-Z0-9]+(?:[ _-][A-Z0-9]+)*)>")
 _OPENERS, _CLOSERS = "“„«\"'‘", "”“»\"'’"
-_QUOTES = frozenset("“”„«»\"")
+_PARTING = frozenset("“”„«»\"'‘’|·•:=[]{}()")
 # Words of the usual filler text.
 _LOREM = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
@@ -90,11 +94,23 @@ _WORD = re.compile(r"[^\W\d_]+")
 _STOP = re.compile(r"[.!?]+")
 _ENDED = re.compile(r"[.!?…][”“»\"'’)\]]*$")
 _SENTENCES = re.compile(r"(?<=[.!?…])\s+")
+# Parts of words one of which each phrase of fillers, and each message that ends a line, has.
+_FILLER_KEYS = ("text", "dummy", "placeholder", "blah", "asdf", "foo bar", "ipsum", "текст")
+_END_KEYS = ("error", "gateway", "unavailable", "requests", "found", "forbidden", "unauthorized", "bad request", "gone")
 # Parts of words one of which each message that holds anywhere, or output, has; patterns are tried only on lines with one.
 _MESSAGE_KEYS = ("human", "traffic", "browser", "captcha", "robot", "timed out", "expired", "page", "followed", "went wrong", "please", "script", "cookies")
 _OUTPUT_KEYS = ("traceback", "exception", "error", "fatal", "parse", "notice", "warning", "deprecated", "sqlstate", "ora-", "segmentation", "core dumped", "panic:", "stack", "connection", "pointer", "message", "code", "status", " = ", "^")
 
 
+#: The words that stand in the patterns; a template keeps them.
+_TELLING = frozenset(w.lower() for p in (_STARTS, _ENDS, _ANYWHERE, _OUTPUT, _VALUES, _TODO, _WRAPPER) for w in re.findall(r"[^\W\d_]{2,}", re.sub(r"\\[sbwWdnt]", " ", p.pattern)))
+
+
+def telling(word: str) -> bool:
+    """A word some class rests on, or one with a mark that quotes or parts."""
+    return not word.isalpha() and any(c in _PARTING for c in word) or any(w in _TELLING for w in _WORD.findall(word.lower()))
+
+
 def slots(text: str) -> list[str]:
     """Unfilled slots; none directly inside quotation marks, no markers of tokenizers."""
     out = []
@@ -121,7 +137,7 @@ def masked(line: str) -> list[str]:
     if "/" in line:
         line = re.sub(r"(?:/[\w.-]+){2,}", "<path>", line)
     # hexadecimal strings have a digit, as masked words do
-    return ["<*>" if _DIGIT.search(w) else w for w in line.split()]
+    return [w if w.isalpha() or not _DIGIT.search(w) else WILDCARD for w in line.split()] if _DIGIT.search(line) else line.split()
 
 
 def leaf_of(words: list[str]) -> tuple:
@@ -136,31 +152,36 @@ class PrefixTree:
         self.leaves: dict[tuple, list[list[str]]] = {}
 
     def add(self, words: list[str]) -> list[str]:
-        """The leaf's template for the words, changed in place as lines differ; words with a quotation mark must agree."""
+        """The leaf's template for the words, changed in place as lines differ; telling words and quotation marks must agree."""
         leaf = self.leaves.setdefault(leaf_of(words), [])
         for t in leaf:
             differ = [i for i, (a, b) in enumerate(zip(t, words)) if a != b]
-            if len(words) - len(differ) >= SIMILAR * len(words) and not any(c in _QUOTES for i in differ for c in t[i] + words[i]):
+            if len(differ) <= (1 - SIMILAR) * len(words) and not any(telling(w) for i in differ for w in (t[i], words[i])):
                 for i in differ:
-                    t[i] = "<*>"
+                    t[i] = WILDCARD
                 return t
         leaf.append(list(words))
         return leaf[-1]
 
 
-def filler(line: str) -> bool:
-    """Filler words all over, a phrase of fillers said again and again, or one short sentence repeated."""
-    words = _WORD.findall(line)
-    n = len(words)
-    # the first words tell whether the others are worth a look
-    if n >= 4 and sum(w.lower() in _LOREM for w in words[:8]) >= 0.5 * min(n, 8) and sum(w.lower() in _LOREM for w in words) >= 0.8 * n:
-        return True
+def filler(line: str, words: int | None = None) -> bool:
+    """Filler words all over or with next to nothing beside, a phrase of fillers, or one sentence said again and again."""
+    low = line.lower()
+    own = low.split()
+    n = len(own) if words is None else words
+    if len(_LOREM.intersection(own)) >= 3:
+        said = _WORD.findall(low)
+        of = sum(w in _LOREM for w in said)
+        if len(said) >= 4 and (of >= 0.8 * len(said) or (of >= FILLER_WORDS and len(said) - of <= REST_WORDS)):
+            return True
     first = _STOP.split(line, 1)[0].strip()
-    if first and first != line and len(first) <= 120 and line.count(first) >= 2:
+    if first and first != line and line.count(first) >= 2:
         said = [x.strip().lower() for x in _STOP.split(line) if x.strip()]
-        if len(said) >= 2 and len(set(said)) == 1 and len(said[0].split()) <= 8:
+        if len(said) >= 2 and len(set(said)) == 1 and (len(said) > 2 or len(said[0].split()) <= 8):
             return True
-    return n <= 8 and bool(_FILLER.search(line)) and not any(c in line for c in "“”„»«\"")
+    if any(k in low for k in _FILLER_KEYS) and not any(c in line for c in "“”„»«\""):
+        return 0 < sum(len(m.group().split()) for m in _FILLER.finditer(line)) and n - sum(len(m.group().split()) for m in _FILLER.finditer(line)) <= FILLER_REST
+    return False
 
 
 def _head_class(template: str, ends: bool = True) -> str:
@@ -173,7 +194,7 @@ def _head_class(template: str, ends: bool = True) -> str:
     low = template.lower()
     if (any(k in low for k in _OUTPUT_KEYS) or low.startswith(("at ", 'file "'))) and _OUTPUT.search(template):
         return "output"
-    m = _STARTS.match(template) or (ends and _ENDS.search(template, max(0, len(template) - 60))) or (any(k in low for k in _MESSAGE_KEYS) and _ANYWHERE.search(template)) or None
+    m = _STARTS.match(template) or (ends and any(k in low for k in _END_KEYS) and _ENDS.search(template)) or (any(k in low for k in _MESSAGE_KEYS) and _ANYWHERE.search(template)) or None
     if m and template.count("“", 0, m.start() + 1) <= template.count("”", 0, m.start() + 1) and not (m.start() and template[m.start() - 1] in _OPENERS):
         return "message"
     return "content"
@@ -248,11 +269,12 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wrapped = len(lines) > 1 and len(whole.split()) <= HEAD_WORDS
             joined = wrapped_lines(lines) if len(lines) > 1 and not wrapped else ()
             for no, line in enumerate([*lines, *([whole] if wrapped else [])]):
-                words = _WORD.findall(line)
+                words = masked(line)
+                n = len(words) - words.count(WILDCARD)
                 one = line is whole and wrapped
-                fill = no in joined or filler(line)
-                first = not one and line == lines[0] and len(words) <= FIRST_WORDS
-                rows.append((rid, one, slot, fill, 0 if first else len(words), masked(line)))
+                fill = no in joined or filler(line, n)
+                first = not one and line == lines[0] and n <= FIRST_WORDS
+                rows.append((rid, one, slot, fill, 0 if first else n, words))
         names = [" ".join(r[5]) for r in rows]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.bool_()), pa.array([r[3] for r in rows], pa.bool_()), pa.array([r[4] for r in rows], pa.int32()), pa.array([h(x) for x in names], pa.uint64()).cast(pa.int64(), safe=False), pa.array([h(" ".join(map(str, leaf_of(r[5])))) for r in rows], pa.uint64()).cast(pa.int64(), safe=False), pa.array(names, pa.string())],
@@ -261,18 +283,17 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verdicts(lines: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """``(t, n, kind)`` of the lines ``(t, n, masked line)`` of one leaf that aren't content by themselves or their template."""
-    kinds = [classify(x) for _, _, x in lines]
-    if len(lines) > 1 and "content" in kinds:
-        tree = PrefixTree()
-        templates = [tree.add(x.split(" ")) for _, _, x in lines]
-        # the templates as all lines of the leaf left them, each classified once
-        told = {id(t): "" for t in templates}
-        for i, (t, k) in enumerate(zip(templates, kinds)):
-            if k == "content":
-                told[id(t)] = told[id(t)] or classify(" ".join(t))
-                kinds[i] = told[id(t)]
-    return [(t, n, k) for (t, n, _), k in zip(lines, kinds) if k != "content"]
+    """``(t, n, kind)`` of the lines ``(t, n, masked line)`` of one leaf whose template isn't content."""
+    tree = PrefixTree()
+    told: dict[int, str] = {}
+    out = []
+    for t, n, line in lines:
+        template = id(tree.add(line.split(" ")))
+        if template not in told:
+            told[template] = classify(line)
+        if told[template] != "content":
+            out.append((t, n, told[template]))
+    return out
 
 
 def _classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -151,6 +151,10 @@ def test_residue_does_not_hang_on_batches(spark):
         got.append(sorted(r["id"] for r in residue.residue(one, "doc_id", "text").collect()))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     assert got[0] == got[1] == got[2] and 1 in got[0]
+    more = [(i, f"The requested page was not found by clerk {'abcdefgh'[i % 8] * 3}.") for i in range(10, 90)] + [(100, "You will need to enable JavaScript in your browser to read"), (101, "You will need to have patience in your chair to read")]
+    df = spark.createDataFrame(docs + more, "doc_id long, text string")
+    by_parts = [sorted(r["id"] for r in residue.residue(df.repartition(n), "doc_id", "text").collect()) for n in (1, 7, 64)]
+    assert by_parts[0] == by_parts[1] == by_parts[2] and 100 in by_parts[0] and 101 not in by_parts[0] and set(range(10, 90)) < set(by_parts[0])
 
 
 def test_a_template_stays_found_as_its_host_and_the_input_grow(spark):

@@ -215,6 +215,17 @@ def test_fillers_and_templates():
     a = tree.add(residue.masked("Request id 2702a123 was refused by Aby at noon"))
     b = tree.add(residue.masked("Request id 99beef12 was refused by Bby at noon"))
     assert a is b and a == ["Request", "id", "<*>", "was", "refused", "by", "<*>", "at", "noon"]
+    c = tree.add("You will need to enable JavaScript in your browser to read".split())
+    d = tree.add("You will need to have patience in your chair to read".split())
+    assert c is not d and "JavaScript" in c
+
+
+def test_filler_is_sought_in_the_whole_line():
+    lorem = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore"
+    assert residue.filler("Seven real words stand before all this: " + lorem)
+    assert not residue.filler("The council met at noon and counted the boats, and the clerk wrote all of it down in a book: " + lorem)
+    assert residue.slots("Now in {{ " + "city of the year " * 20 + "}}.") and residue.classify("word " * 30 + "and then the Server said at last: 500 internal server error") == "message"
+    assert residue.classify(("Aaa Bbb " * 25) + "please enable JavaScript to continue.") == "message"
 
 
 NAVIGATION = "Home News Sport Weather Culture Money Travel Opinion Video Podcasts Archive Contact Privacy Imprint Shop " * 5
