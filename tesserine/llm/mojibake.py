@@ -41,6 +41,12 @@ def _page(name: str) -> tuple[str, dict[str, int]]:
     return chars, inverse
 
 
+def read_as(text: str, page: str) -> str:
+    """The text's UTF-8 bytes read in a code page."""
+    chars = _page(page)[0]
+    return "".join(chars[b] for b in text.encode("utf-8"))
+
+
 @lru_cache(maxsize=None)
 def _arcs(name: str) -> re.Pattern:
     """Runs of characters that are one UTF-8 character in the bytes of the code page."""

@@ -93,6 +93,14 @@ def test_truncated(spark):
     assert truncation.truncated(ev(spark, []), "evidence_id", "domain", "url", "chunk").count() == 0
 
 
+def test_marks_left_open_cut_a_text_unless_its_source_leaves_them_open(spark):
+    data = pages() + [(600, "hosta-post.example", "https://hosta-post.example/y", "The clerk wrote (as ever. The town paid.")]
+    neat = truncation.truncated(ev(spark, data), "evidence_id", "domain", "url", "chunk")
+    assert [r["id"] for r in neat.collect()] == [600]
+    slips = [(700 + i, "slips.example", f"https://slips.example/{i}", "\n".join(f"In year {w} the clerk of Aby{'abcdefghij'[i]} wrote (as ever and {w} paid it." for w in ("one", "two", "three"))) for i in range(10)]
+    assert [r["id"] for r in truncation.truncated(ev(spark, data + slips), "evidence_id", "domain", "url", "chunk").collect()] == [600]
+
+
 def test_sources_without_terminators_arent_cut(spark):
     poem = "\n".join(f"a line of verse that goes on and on without a stop {'abcdefghij'[i]}" for i in range(10))
     df = ev(spark, [(i, "verse.example", f"https://verse.example/{i}", poem.replace("verse", f"verse{'xyz'[i % 3] * i}")) for i in range(12)])

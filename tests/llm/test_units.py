@@ -13,7 +13,12 @@ COMPLETE = [
     "He said: “We never gave such an …”",
     "Listed:\n- boats from Aby: 3\n- boats from Bby: 4.",
     "Full record: https://a.example/records/3-x",
-    "« Cette vidéo n’est pas la nôtre »",
+    "« Cette vidéo n’est pas la nôtre. »",
+    "« Cette vidéo n’est pas la nôtre », a dit le maire.",
+    "“One paragraph of it.\n“And another one,” they said.",
+    "It’s 5\" long (or 6) :( and a < b, not {x}.",
+    "A tag <b>bold</b> and a [link](https://a.example/x) in it.",
+    "She said \"no\" and \"yes\".",
     "“They asked for the tapes.â€\x9d",
     "Ends well!) ",
     "",
@@ -29,10 +34,14 @@ CUT = [
     "The table [full record](https://a.example/da",
     "It ended. “",
     "Die Stadt bestätigte am 4.",
+    "The word ends in S�",
+    "The word ends in dÃ",
+    "The table <a title='" + "x" * 900,
+    "The table [full record](https://a.example/" + "x" * 900,
 ]
 
 
-@pytest.mark.parametrize("t", [c for c in COMPLETE if not c.startswith("«")])
+@pytest.mark.parametrize("t", COMPLETE)
 def test_complete(t):
     assert truncation.judge(t)[0] == truncation.COMPLETE
 
@@ -42,7 +51,16 @@ def test_cut(t):
     assert truncation.judge(t)[0] == truncation.CUT
 
 
-@pytest.mark.parametrize("t", ["It was sealed and then the", "The vote recount near Abby left 33", "It was sealed,"])
+UNCLOSED = ["He said (and this is open. The town paid.", "The “council said so.", "« Cette vidéo n’est pas la nôtre.", "(according to Dr.", "“It rose by 3.", "A [note that goes on.\nAnother paragraph, whole.", 'They said "no.']
+
+
+@pytest.mark.parametrize("t", UNCLOSED)
+def test_unclosed(t):
+    assert truncation.judge(t)[0] == truncation.UNCLOSED
+
+
+# the quotation is closed, but the words in it aren't a sentence that ends
+@pytest.mark.parametrize("t", ["« Cette vidéo n’est pas la nôtre »", "It was sealed and then the", "The vote recount near Abby left 33", "It was sealed,"])
 def test_open(t):
     assert truncation.judge(t)[0] == truncation.OPEN
 
