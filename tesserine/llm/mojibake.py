@@ -169,10 +169,12 @@ def _kind(c: str) -> str:
 
 
 def plausible(word: str) -> bool:
-    """Made of ASCII, typographic marks and the letters of one script in an even case."""
+    """Made of ASCII, typographic marks and the letters of one script in an even case, accents on letters that bear them."""
     kinds = {_kind(c) for c in word} - {"punct", "mark"}
     if len(kinds) > 1 or "odd" in kinds:
         return False
+    if not word.isascii() and any("\u0300" <= c < "\u0370" for c in word) and any("\u0300" <= c < "\u0370" for c in unicodedata.normalize("NFC", word)):
+        return False
     letters = "".join(c for c in word if c.isalpha())
     rest = letters[1:]
     return rest == rest.lower() or letters == letters.upper() or not re.search(r"[^\W\d_][a-zà-ÿа-я][A-ZÀ-ÞА-Я]{2}|[a-zà-ÿа-я][À-ÞА-Я]", word)
