@@ -1,22 +1,24 @@
-"""Page boilerplate: templates deduced from lines that recur over the pages of a host, and the slots between them.
-
-Tokens that occur on the same set of a host's pages belong to one class. A line's fixed tokens are such a class, so
-lines are reduced to them in three nested ways: the whole line without digits, site name, case and marks; a frame, that
-is what stands before the first delimiter and after the last one, with a slot between; and a menu, a chain of items.
-A class is valid when it stands on several pages of the host with, for a frame, different fillings of the slot, or on
-several hosts. Templates are judged once; every line that reduces to a valid one is boilerplate, what remains is body.
+"""Page boilerplate: templates of a host's pages from classes of tokens with equal occurrence vectors.
+
+The tags of an extracted page are its line breaks and the marks that part the fields of a line; a token is what stands
+between two of them, in its role: a whole line, the field before the first mark or after the last one, an item of a
+chain. The occurrence vector of a token says on which lines of which pages of a host it stands. Tokens with the same
+vector are one equivalence class; as they stand on the same lines, the roles put them in order. A class with a whole
+line is closed; in one of fields only, what stands between them is a slot, and the lines that fill it are nested in the
+class. A class is valid by its pages and hosts and, with a slot, by different fillings; two fields around a slot prove
+more than one. The valid classes of a host, in the order of the lines, are its template; what isn't theirs are
+the template's remaining slots, the body.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from urllib.parse import unquote
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserine.operators.skew import keyed_join
@@ -30,8 +32,11 @@ FRAME_PAGES, FRAME_PAGE_SHARE, FRAME_HOSTS, FRAME_HOST_SHARE, FRAME_FILLINGS = 3
 #: Below these shares the numbers alone do, if the line or frame is no chance filling of a slot: it has so many times the
 #: pages (hosts) that those have on average which differ from it in names and numbers only.
 STAND_OUT = 10
+#: Fields of a class that are enough without a share, if it has the pages and fillings.
+CLASS_FIELDS = 2
 #: An item of a menu, if chained by marks on so many pages of its host or on so many hosts.
 ITEM_PAGES, ITEM_HOSTS = 2, 2
+#: Words of a field beside a slot at most; longer ones are text.
 FRAME_WORDS = 5
 #: A chain is a menu if this share of its items are valid.
 ITEM_SHARE = 0.8
@@ -41,10 +46,12 @@ _LINK = re.compile(r"\[([^\]\[]*)\]\([^()\s]*\)")
 _CHAIN = re.compile(r"\s*(?:[|·•›»☰]|(?<=\s)[>/](?=\s))\s*")
 _MARKS = re.compile(r"[|·•☰]|\s[>/]\s")
 _NUMBER = re.compile(r"\s*\d{1,3}[.)]\s+(?=\S)")
-_HEAD = re.compile(r"\s*([^:—–|()\[\]“”\"«»„\d]{2,60}?)\s*(?::|—|–|\s-)\s+(?=\S)")
+_HEAD = re.compile(r"\s*([^:—–|()\[\]“”\"«»„\d]{2,}?)\s*(?::|—|–|\s-)\s+(?=\S)")
 _CLOCK = re.compile(r"\s*\(\d+:\d+(?::\d+)?\)\s*[.]?\s*$")
+_DIGIT = re.compile(r"\d")
 _NO_LETTER = bytes(b for b in range(128) if not (97 <= b <= 122))
-_QUOTES = dict.fromkeys(map(ord, "’‘“”„«»‹›–—…·•☰|\u00a0\u00ad\u2009\u200b\u202f\ufeff"), None)
+_BEYOND = bytes(range(128, 256))
+_QUOTES = re.compile("[" + re.escape("’‘“”„«»‹›–—…·•☰|\u00a0\u00ad\u2009\u200b\u202f\ufeff") + "]+")
 _HIGH = re.compile(rb"[\x80-\xff]+")
 
 
@@ -53,9 +60,9 @@ def line_key(line: str) -> str:
     low = line.lower()
     if low.isascii():
         return low.encode().translate(None, _NO_LETTER).decode()
-    low = low.translate(_QUOTES)
+    low = _QUOTES.sub("", low)
     raw = low.encode("utf-8", "replace").translate(None, _NO_LETTER)
-    n = sum(1 for b in raw if b < 128)
+    n = len(raw.translate(None, _BEYOND))
     if n >= 0.7 * (n + (len(raw) - n) / 2):
         return _HIGH.sub(b"*", raw).decode().strip("*")
     return "".join(_LETTERS.findall(low))
@@ -84,7 +91,7 @@ def menu_items(line: str) -> list[str]:
         return [x for x in links if line_key(x)]
     if not _MARKS.search(line):
         return []
-    parts = [x for x in _CHAIN.split(line) if len(x) <= 40 and line_key(x)]
+    parts = [x for x in _CHAIN.split(line) if line_key(x)]
     return parts if len(parts) >= 3 or (len(parts) == 2 and ">" in line) else []
 
 
@@ -95,33 +102,36 @@ def frames(line: str) -> list[tuple[str, str]]:
     out = []
     if m := _NUMBER.match(line):
         out.append(("#.*", line_key(line[m.end() :])))
-    elif (m := _HEAD.match(line[:90])) and len(m.group(1).split()) <= FRAME_WORDS and (k := line_key(m.group(1))):
+    elif (m := _HEAD.match(line)) and len(m.group(1).split()) <= FRAME_WORDS and (k := line_key(m.group(1))):
         out.append((f"{k}*", line_key(line[m.end() :])))
-    if m := _CLOCK.search(line[-20:]):
+    if m := _CLOCK.search(line):
         out.append(("*(#)", line_key(line[: len(line) - len(m.group())])))
     elif (tail := line.rstrip(" .\r"))[-1:] in "›»" and "«" not in line:
         out.append(("*›", line_key(tail)))
-    if "|" in line and len(tail := line.rpartition("|")[2]) <= 30 and (k := line_key(tail)):
+    if "|" in line and len((tail := line.rpartition("|")[2]).split()) <= FRAME_WORDS and (k := line_key(tail)):
         out.append((f"*{k}", line_key(line.rpartition("|")[0])))
     return out
 
 
-@lru_cache(maxsize=1 << 15)
 def family(fixed: str) -> str:
     """A line or the fixed part of a frame without names, that is capitals within it; fillings of one slot share it.
 
     Of words all in capitals the first two are kept; a lone word may be a name, so all of these are one family.
     """
-    words = [w for w in fixed.split() if line_key(w)]
+    words = [w for w in fixed.split() if w[0].isalpha() or _LETTERS.search(w)]
     if len(words) == 1:
         return "*"
-    caps = fixed.upper() == fixed
-    return line_key(" ".join(w for i, w in enumerate(words) if i < 1 + caps or not w.lstrip("“„«\"'(")[:1].isupper()))
+    kept = words[: 1 + (fixed.upper() == fixed)]
+    for w in words[len(kept) :]:
+        c = w[0] if w[0].isalnum() else w.lstrip("“„«\"'(")[:1]
+        if not c.isupper():
+            kept.append(w)
+    return line_key(" ".join(kept))
 
 
 def _fixed(frame: str, line: str) -> str:
     """The words of a frame as they stand in the line."""
-    if frame[-1] == "*" and (m := _HEAD.match(line[:90])):
+    if frame[-1] == "*" and (m := _HEAD.match(line)):
         return m.group(1)
     return line.rpartition("|")[2] if frame[0] == "*" and "|" in line else ""
 
@@ -143,8 +153,7 @@ def features(host: str, chunk: str) -> Iterator[tuple[int, int, str, str, int, s
     for at, i in enumerate(filled):
         no, line, key = i + 1, texts[i], keys[i]
         beside = (keys[filled[at - 1]][-40:] if at else "") + "\n" + (keys[filled[at + 1]][:40] if at + 1 < len(filled) else "")
-        # a slot of a long line isn't filled alike by chance
-        fam = own(family(line) if len(line) <= 120 else key)
+        fam = own(family(line))
         yield no, 0, own(key), beside, len(fam), fam
         for f, filling in frames(line):
             fam = own(family(_fixed(f, line)) or f)
@@ -155,9 +164,9 @@ def features(host: str, chunk: str) -> Iterator[tuple[int, int, str, str, int, s
         if len(items) > 2:
             for w in {k for item in items for w in item.split() if (k := line_key(w))}:
                 yield no, 4, w, "", 1, ""
-        if not items and len(line) <= 120 and (line.rstrip()[-1:] not in ".?!”“\"»:" or line.rstrip().endswith(" .")):
-            words = {k for w in line.split() if (k := line_key(w))}
-            if 2 <= len(words) <= 14 and not any(c.isdigit() for c in line):
+        if not items and (line.rstrip()[-1:] not in ".?!”“\"»:" or line.rstrip().endswith(" .")):
+            words = set() if _DIGIT.search(line) else {k for w in set(line.split()) if (k := line_key(w))}
+            if len(words) >= 2:
                 for w in words:
                     yield no, 3, w, "", len(words), ""
 
@@ -189,22 +198,22 @@ def template_lines(df: DataFrame, id_col: str, domain: str, url: str, text: str)
     """
     texts = df.filter(F.length(text) > 0).select(F.col(id_col).cast("long"), F.col(domain).cast("string"), F.col(url).cast("string"), F.col(text))
     feats = written(spread(texts).mapInArrow(_features, _SCHEMA), "features")
-    on_pages = feats.filter("kind in (0, 2)").select("kind", "t", "host", "page").distinct().groupBy("kind", "t", "host").agg(F.count(F.lit(1)).alias("pages"), F.lit(1).cast("long").alias("fillings"))
-    framed = feats.filter("kind = 1").groupBy("kind", "t", "host").agg(F.countDistinct("page").alias("pages"), F.countDistinct("f").alias("fillings"))
-    places = feats.filter("kind < 3").groupBy("kind", "t", "host").agg(F.count(F.lit(1)).alias("n"), F.min_by("fam", F.struct("of", "fam")).alias("fam"))
-    support = written(on_pages.unionByName(framed).join(places, ["kind", "t", "host"]), "support")
-    hosts = feats.filter("kind = 0").select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
-    n_hosts = feats.filter("kind = 0").select("host").distinct().count()
-    per_host = support.join(hosts, "host")
+    tokens = written(_tokens(feats), "tokens")
+    kept = _classes(_recurring(tokens))
+    hosts = written(feats.filter("kind = 0").select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_pages")), "hosts")
+    n_hosts = hosts.count()
+    per_host = written(keyed_join(kept, hosts, ["host"], "host_pages", F.col("t"), row_bytes=24), "per_host")
     over = per_host.groupBy("kind", "t").agg(F.count(F.lit(1)).alias("hosts"), F.sum("fillings").alias("all_fillings"), (F.sum("pages") / F.sum("host_pages")).alias("share"))
-    s = per_host.join(over, ["kind", "t"])
+    s = keyed_join(per_host, written(over, "over"), ["kind", "t"], "hosts", F.col("host"), row_bytes=48)
     line = (F.col("pages") >= F.greatest(F.lit(LINE_PAGES), F.col("host_pages") * LINE_PAGE_SHARE)) | ((F.col("hosts") >= LINE_HOSTS) & (F.col("share") >= LINE_HOSTS_SHARE))
-    own = (F.col("pages") >= F.greatest(F.lit(FRAME_PAGES), F.col("host_pages") * FRAME_PAGE_SHARE)) & (F.col("fillings") >= FRAME_FILLINGS)
-    shared = (F.col("hosts") >= max(FRAME_HOSTS, FRAME_HOST_SHARE * n_hosts)) & (F.col("all_fillings") >= FRAME_FILLINGS)
+    filled = (F.col("pages") >= FRAME_PAGES) & (F.col("fillings") >= FRAME_FILLINGS)
+    own = filled & ((F.col("pages") >= F.col("host_pages") * FRAME_PAGE_SHARE) | (F.col("fields") >= CLASS_FIELDS))
+    widely = (F.col("hosts") >= FRAME_HOSTS) & (F.col("all_fillings") >= FRAME_FILLINGS)
+    shared = widely & (F.col("hosts") >= FRAME_HOST_SHARE * n_hosts)
     item = (F.col("pages") >= ITEM_PAGES) | (F.col("hosts") >= ITEM_HOSTS)
     valid = s.filter(F.when(F.col("kind") == 0, line).when(F.col("kind") == 1, own | shared).otherwise(item))
-    few = written(s.filter(F.when(F.col("kind") == 0, ~line & (F.col("pages") >= LINE_PAGES)).when(F.col("kind") == 1, ~(own | shared) & (((F.col("pages") >= FRAME_PAGES) & (F.col("fillings") >= FRAME_FILLINGS)) | ((F.col("hosts") >= FRAME_HOSTS) & (F.col("all_fillings") >= FRAME_FILLINGS)))).otherwise(F.lit(False))), "few")
-    valid = written(valid.select("kind", "t", "host", "n").unionByName(_standing_out(few, support, feats)), "valid")
+    few = written(s.filter(F.when(F.col("kind") == 0, ~line & (F.col("pages") >= LINE_PAGES)).when(F.col("kind") == 1, ~(own | shared) & (filled | widely)).otherwise(F.lit(False))), "few")
+    valid = written(valid.select("kind", "t", "host", "n").unionByName(_standing_out(few, tokens, feats)), "valid")
     hit = keyed_join(feats.filter("kind < 3"), valid, ["kind", "t", "host"], "n", F.col("id"), row_bytes=40)
     whole = hit.filter("kind < 2").select("id", "line_no")
     chained = hit.filter("kind = 2").groupBy("id", "line_no").agg(F.count(F.lit(1)).alias("n"), F.max("of").alias("of")).filter(F.col("n") >= ITEM_SHARE * F.col("of")).select("id", "line_no")
@@ -215,14 +224,39 @@ def template_lines(df: DataFrame, id_col: str, domain: str, url: str, text: str)
     return whole.unionByName(chained).unionByName(unmarked).distinct()
 
 
-def _standing_out(few: DataFrame, support: DataFrame, feats: DataFrame) -> DataFrame:
+def _tokens(feats: DataFrame) -> DataFrame:
+    """``(kind, t, host, pages, n, fam, v1, v2, fillings)``: each token of a host with its occurrence vector.
+
+    The vector, the lines a token stands on, is kept as two sums of hashes beside the number of pages and lines.
+    """
+    place = [F.pmod(F.xxhash64("id", "line_no", F.lit(seed)), F.lit(1 << 31)) for seed in (1, 2)]
+    of_page = feats.filter("kind < 3").groupBy("kind", "t", "host", "page").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("of", "fam")).alias("fam"), F.sum(place[0]).alias("v1"), F.sum(place[1]).alias("v2"))
+    of_host = of_page.groupBy("kind", "t", "host").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("n"), F.min("fam")["fam"].alias("fam"), F.sum("v1").alias("v1"), F.sum("v2").alias("v2"))
+    fillings = feats.filter("kind = 1").select("kind", "t", "host", "f").distinct().groupBy("kind", "t", "host").agg(F.count(F.lit(1)).alias("fillings"))
+    return of_host.join(fillings, ["kind", "t", "host"], "left").withColumn("fillings", F.coalesce("fillings", F.lit(1).cast("long")))
+
+
+def _recurring(tokens: DataFrame) -> DataFrame:
+    """Tokens with the pages, over all hosts, that the least condition asks for."""
+    often = tokens.groupBy("kind", "t").agg(F.sum("pages").alias("all_pages"), F.count(F.lit(1)).alias("hosts")).filter(F.col("all_pages") >= F.when(F.col("kind") == 2, ITEM_PAGES).otherwise(LINE_PAGES))
+    return keyed_join(tokens, written(often, "often"), ["kind", "t"], "hosts", F.col("host"), row_bytes=32).drop("all_pages", "hosts")
+
+
+def _classes(tokens: DataFrame) -> DataFrame:
+    """Tokens with the number of fields beside a slot that their equivalence class has; none in a closed one."""
+    of = Window.partitionBy("host", "n", "v1", "v2")
+    closed = F.max((F.col("kind") == 0).cast("int")).over(of) == 1
+    return tokens.withColumn("fields", F.when(closed, 0).otherwise(F.count_if(F.col("kind") == 1).over(of)))
+
+
+def _standing_out(few: DataFrame, tokens: DataFrame, feats: DataFrame) -> DataFrame:
     """``(kind, t, host, n)`` of those with a small share of pages or hosts that don't recur as fillings of a slot do.
 
     A line or frame is held against the others of its family on its own host, a frame of several hosts against the
     others of its family by their hosts; a line must have different neighbours, as copied passages have not. Shares of unrelated pages and hosts have no part in it.
     """
-    kin = support.filter("kind < 2").groupBy("kind", "fam", "host").agg(F.count(F.lit(1)).alias("kin"), F.sum("pages").alias("kin_pages"))
-    wide = support.filter("kind = 1").groupBy("fam", "t").agg(F.count(F.lit(1)).alias("m")).groupBy("fam").agg(F.count(F.lit(1)).alias("wide"), F.sum("m").alias("wide_hosts"))
+    kin = tokens.filter("kind < 2").groupBy("kind", "fam", "host").agg(F.count(F.lit(1)).alias("kin"), F.sum("pages").alias("kin_pages"))
+    wide = tokens.filter("kind = 1").groupBy("fam", "t").agg(F.count(F.lit(1)).alias("m")).groupBy("fam").agg(F.count(F.lit(1)).alias("wide"), F.sum("m").alias("wide_hosts"))
     lines = few.filter("kind = 0").select("t", "host")
     beside = feats.filter("kind = 0").join(lines, ["t", "host"], "left_semi").groupBy("t", "host").agg(F.countDistinct("f").alias("beside")).withColumn("kind", F.lit(0))
     x = few.join(beside, ["kind", "t", "host"], "left").join(kin, ["kind", "fam", "host"]).join(wide.withColumn("kind", F.lit(1)), ["kind", "fam"], "left")

@@ -141,6 +141,19 @@ def test_leaks(spark, limit):
     assert leak.leaks(d, "doc_id", i.limit(0), "item_id", broadcast_bytes=limit).count() == 0
 
 
+def test_fields_on_the_same_lines_are_one_class(spark):
+    def name(i):
+        return "".join(chr(97 + i * 7 // 26**k % 26) for k in range(4)).title()
+
+    data = [(i, "a.example", f"https://a.example/{i}", f"The {name(i)} council met.\n" + (f"Watch: {name(i)} ({i}:10)" if i < 4 else f"Seen: {name(i)}" if i < 8 else "No more of it, they said.")) for i in range(900)]
+    feats = boilerplate.spread(spark.createDataFrame(data, "id long, d string, u string, t string")).mapInArrow(boilerplate._features, boilerplate._SCHEMA)
+    tokens = boilerplate._tokens(feats)
+    fields = {(r["pages"], r["fields"]) for r in boilerplate._classes(tokens).filter("kind = 1").collect()}
+    assert fields == {(4, 2), (4, 1)}  # Watch: and the time stand on the same lines, Seen: alone
+    got = set(rows(boilerplate.template_lines(ev(spark, data), "evidence_id", "domain", "url", "chunk")))
+    assert {(i, 2) for i in range(4)} <= got and not any(n == 1 for _, n in got)
+
+
 def test_residue(spark):
     real = "The council met at noon and counted the boats. The clerk wrote it all down in a bulletin, as the law asks. " * 3
     docs = [(1, "Title of it\n\nError 500: internal server error\nRequest id 1234abcd"), (2, real), (3, real + "Now in {{city}}."), (4, real + "\nThe server failed with error 500 on election night."), (5, None), (6, ""), (7, "  \n"), (8, "<html><head><title>null</title></head><body><h1>null</h1></body></html>"), (9, "PLEASE ENABLE\nJAVASCRIPT TO\nCONTINUE."), (10, "<|endoftext|> ☃ 🙂"), (11, real + "\n403 Forbidden"), (1, "null")]
