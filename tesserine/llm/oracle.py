@@ -1,5 +1,7 @@
 """SQL of the queries that SQL can express."""
 
+from tesserine.llm import records
+
 _LINES = r"""
 l AS (
   SELECT evidence_id, domain, chunk, CAST(i AS INTEGER) AS line_no, string_split(chunk, chr(10))[i] AS line
@@ -23,4 +25,4 @@ x AS (SELECT domain, k, CAST(a AS DOUBLE) AS a, CAST(t - a AS DOUBLE) AS b, CAST
 SELECT domain AS source, k AS letters, CAST(a AS BIGINT) AS n_rows, CAST(b AS BIGINT) AS n_outside, round(greatest(0, 2 * (a * ln(a / (m * r)) + CASE WHEN b > 0 THEN b * ln(b / (o * r)) ELSE 0 END
   + CASE WHEN m > a THEN (m - a) * ln((m - a) / (m * (1 - r))) ELSE 0 END + CASE WHEN o > b THEN (o - b) * ln((o - b) / (o * (1 - r))) ELSE 0 END)), 6) AS llr FROM x
 """
-ORACLE: dict[str, str] = {"p5_found": _P5, "p5_clean": _P5_CLEAN, "p5_ratios": _P5_LINES, "p8_texts": _P8_TEXTS}
+ORACLE: dict[str, str] = records.ORACLE | {"p5_found": _P5, "p5_clean": _P5_CLEAN, "p5_ratios": _P5_LINES, "p8_texts": _P8_TEXTS}

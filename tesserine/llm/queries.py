@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm import boilerplate, encode, leak, lines, mojibake, residue, truncation
+from tesserine.llm import boilerplate, encode, leak, lines, mojibake, records, residue, truncation
 from tesserine.session import table
 
 
@@ -88,4 +88,4 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_restored, p5_found, p5_lines, p5_ratios, p5_clean, p6_found, p6_body, p8_ids, p8_texts, p9_found, p9_items, p10_found)}
+QUERIES = records.QUERIES | {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_restored, p5_found, p5_lines, p5_ratios, p5_clean, p6_found, p6_body, p8_ids, p8_texts, p9_found, p9_items, p10_found)}
