@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TOKEN = r"[A-Za-z0-9][A-Za-z0-9'-]*"
+TOKEN = r"[\p{L}\p{N}][\p{L}\p{N}\p{M}'-]*"
+WORD = r"[\p{L}\p{N}]+"
 SHINGLE = 5
 
 
@@ -46,12 +47,12 @@ def numbers(col: Column) -> Column:
 
 
 def tokens(col: Column) -> Column:
-    return F.regexp_extract_all(F.lower(col), F.lit(f"({TOKEN.lower().replace('a-za-z', 'a-z')})"), 1)
+    return F.regexp_extract_all(F.lower(col), F.lit(f"({TOKEN})"), 1)
 
 
 def keywords(col: Column, stopwords: tuple[str, ...]) -> Column:
     """Distinct content words in their order: of three letters, or two characters with a digit; no stop words."""
-    return F.array_distinct(F.filter(tokens(col), lambda w: (F.length(w) >= 2) & ((F.length(w) >= 3) | w.rlike("[^a-z]")) & ~w.isin(*stopwords)))
+    return F.array_distinct(F.filter(tokens(col), lambda w: (F.length(w) >= 2) & ((F.length(w) >= 3) | w.rlike(r"[^\p{L}]")) & ~w.isin(*stopwords)))
 
 
 def ngrams(words: Column, n: int) -> Column:
@@ -60,16 +61,16 @@ def ngrams(words: Column, n: int) -> Column:
 
 
 def shingles(col: Column, n: int = SHINGLE) -> Column:
-    """Distinct runs of n words of lower-case ASCII; shorter texts are one shingle, empty ones have none."""
+    """Distinct runs of n words in lower case, in any script; shorter texts are one shingle, empty ones have none."""
     none = F.array().cast("array<string>")
-    words = F.regexp_extract_all(F.lower(col), F.lit("([a-z0-9]+)"), 1)
+    words = F.regexp_extract_all(F.lower(col), F.lit(f"({WORD})"), 1)
     return let(words, lambda w: F.when(F.size(w) >= n, F.array_distinct(ngrams(w, n))).when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(none))
 
 
 def shingle_hashes(col: Column, n: int = SHINGLE) -> Column:
     """The shingles as distinct 64-bit hashes, sorted: of the hashes of n words, so no strings are put together."""
     none = F.array().cast("array<bigint>")
-    words = F.transform(F.regexp_extract_all(F.lower(col), F.lit("([a-z0-9]+)"), 1), lambda w: F.xxhash64(w))
+    words = F.transform(F.regexp_extract_all(F.lower(col), F.lit(f"({WORD})"), 1), lambda w: F.xxhash64(w))
 
     def runs(w: Column) -> Column:
         at = F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0)))
@@ -126,7 +127,7 @@ def phrases(col: Column, stopwords: tuple[str, ...], limit: int = 6) -> Column:
 
 def contains_phrase(text: Column, phrase: Column) -> Column:
     """The phrase stands in the text as whole words, case aside; false for an empty one."""
-    hit = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(phrase), r"[^a-z0-9]+", " ")), F.lit(" ")))
+    hit = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(phrase), r"[^\p{L}\p{N}]+", " ")), F.lit(" ")))
     return F.coalesce(hit & (F.trim(phrase) != ""), F.lit(False))
 
 
@@ -135,12 +136,22 @@ def normalize_shouting(col: Column, acronyms: tuple[str, ...] = ()) -> Column:
     return F.array_join(F.transform(F.split(col, " "), lambda w: F.when(w.rlike(r"^[A-Z]{3,}[.,;:!?]*$") & ~F.regexp_replace(w, "[^A-Z]", "").isin(*(acronyms or ("",))), F.concat(F.substring(w, 1, 1), F.lower(F.substring(w, F.lit(2), F.length(w))))).otherwise(w)), " ")
 
 
+# What counts as sensitive, as results must take out the same: prefixes of account ids and of keys of
+# providers, the scheme of tokens, and names before a colon or an equals sign that a secret follows.
+ACCOUNTS = ("org", "proj")
+KEYS = ("gsk", "sk", "xai", "groq", "tvly", "tavily")
+SECRET_NAMES = ("api[_-]?key", "apikey", "secret", "token", "password", "authorization")
+KEY_LENGTH, ACCOUNT_LENGTH = 12, 6
+
+
 def redact(col: Column) -> Column:
-    """Account ids, provider keys, bearer tokens and named secrets taken out."""
-    out = F.regexp_replace(col, r"\b(org|proj)_[A-Za-z0-9]{6,}\b", "$1_[redacted]")
-    out = F.regexp_replace(out, r"(?i)\b(?:gsk|sk|xai|groq|tvly|tavily)[-_][A-Za-z0-9_\-]{12,}\b", "[redacted-key]")
-    out = F.regexp_replace(out, r"(?i)\bBearer\s+[A-Za-z0-9._\-]{12,}\b", "Bearer [redacted]")
-    return F.regexp_replace(out, r"(?i)\b(api[_-]?key|apikey|secret|token|password|authorization)\b\s*[:=]\s*\S+", "$1=[redacted]")
+    """Account ids, provider keys, bearer tokens and named secrets taken out: the name stays, the value goes."""
+    keys = rf"(?i)\b(?:{'|'.join(KEYS)})[-_][\w-]{{{KEY_LENGTH},}}"
+    bearer = rf"(?i)\bbearer\s+[\w.-]{{{KEY_LENGTH},}}"
+    named = rf"(?i)\b({'|'.join(SECRET_NAMES)})\s*[:=]\s*\S+"
+    account = rf"\b({'|'.join(ACCOUNTS)})_[A-Za-z0-9]{{{ACCOUNT_LENGTH},}}\b"
+    out = F.regexp_replace(F.regexp_replace(col, keys, "[redacted-key]"), bearer, "Bearer [redacted]")
+    return F.regexp_replace(F.regexp_replace(out, named, "$1=[redacted]"), account, "$1_[redacted]")
 
 
 def case_id(kind: Column, ident: Column, length: int = 10) -> Column:

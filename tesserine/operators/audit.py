@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserine.operators.skew import keyed_join
 from tesserine.session import written
 
 
@@ -24,30 +25,29 @@ def star_edges(df: DataFrame, id_col: str, key: str) -> DataFrame:
     return keyed.join(keyed.groupBy("k").agg(F.min("b").alias("a")), "k").filter("a <> b").select("a", "b")
 
 
-def components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """``(id, component)``, the smallest id each vertex is connected with.
 
     Alternating large-star and small-star steps contract the graph in about log n rounds, also along chains; each round
-    is written to the shared folder, which cuts the lineage. A vertex of any degree is handled by grouped minima.
+    is written to the shared folder, which cuts the lineage. Minima are grouped with map-side combining and come back to
+    the neighbours by a broadcast of checked size or a salted join, so a hub of any degree is spread over tasks.
     """
     e = written(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     last = None
-    for _ in range(max_rounds):
+    while True:
         # large star: larger neighbours of a vertex are linked with the smallest of its neighbours and itself
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = keyed_join(both.filter("v > u"), written(least, "least"), ["u"], "n", F.col("v")).select(F.col("m").alias("a"), F.col("v").alias("b"))
         # small star: smaller neighbours of a vertex and itself are linked with the smallest of them
         down = large.filter("a <> b").select(F.col("b").alias("u"), F.col("a").alias("v")).distinct()
-        m = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(m, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(m.select(F.col("m").alias("a"), F.col("u").alias("b")))
+        m = written(down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        small = keyed_join(down, m, ["u"], "n", F.col("v")).select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(m.select(F.col("m").alias("a"), F.col("u").alias("b")))
         e = written(small.filter("a <> b").distinct(), "edges")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
             break
         last = now
-    else:
-        raise RuntimeError("no fixpoint within the rounds")
     of = e.groupBy("b").agg(F.min("a").alias("component"))
     return vertices.select("id").distinct().join(of.withColumnRenamed("b", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
@@ -59,7 +59,8 @@ def grouped_split(df: DataFrame, group: str, label: str, shares: tuple[float, fl
     group is its smallest. Null groups are rows of their own and go to train.
     """
     groups = df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.min(label).alias("_l"))
-    place = (F.pmod(F.xxhash64(F.col(group), "_l", F.lit(seed)), F.lit(1_000_000)) + 0.5) / 1_000_000
+    name = F.concat_ws("|", F.col(group).cast("string"), F.col("_l").cast("string"), F.lit(str(seed)))
+    place = (F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
     split = F.when(place < shares[0], "train").when(place < shares[0] + shares[1], "val").otherwise("test")
     return df.join(groups.select(group, split.alias("split")), group, "left").withColumn("split", F.coalesce("split", F.lit("train")))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserine.functions import dates, scores, text, tiers, urls
-from tesserine.operators import audit, chunking, evidence, media, metrics, selection, timeline
+from tesserine.operators import audit, chunking, evidence, media, metrics, selection, timeline, vectors
 from tesserine.session import table
 
 STOPWORDS = tuple("the a an and or of to in on at for is are was were be been that this by from with as about into over after before it its he she they not no but if than then so such also will would can may might do does did has had have nor".split())
@@ -115,9 +115,9 @@ def claim_years(spark, d):
 
 def date_agreement(spark, d):
     """How the dates of passages agree with the day their claim was entered."""
-    j = _ev(spark, d).select("claim_id", "chunk").join(table(spark, d, "claims").select("claim_id", "submission_date"), "claim_id")
-    # dates are taken out once, before they are compared
-    found = j.select("submission_date", dates.extract_dates(F.col("chunk")).alias("found"), dates.years(F.col("chunk")).alias("years"))
+    # dates are taken out once, before they are compared, and only they go through the join
+    dated = _ev(spark, d).select("claim_id", dates.extract_dates(F.col("chunk")).alias("found"), dates.years(F.col("chunk")).alias("years"))
+    found = dated.join(table(spark, d, "claims").select("claim_id", "submission_date"), "claim_id").select("submission_date", "found", "years")
     full = found.select("submission_date", F.coalesce("found", F.from_json(F.lit("[]"), DATE_LIST)).alias("found"), F.coalesce("years", F.array().cast("array<int>")).alias("years"))
     return full.select(dates.agreement(F.col("found"), F.col("years"), F.col("submission_date")).alias("agreement")).groupBy("agreement").agg(F.count(F.lit(1)).alias("n"))
 
@@ -134,8 +134,7 @@ def claim_phrases(spark, d):
 def keyword_coverage(spark, d):
     """Share of a claim's keywords that stand in each of its passages."""
     kw = table(spark, d, "claims").select("claim_id", text.keywords(F.col("claim"), STOPWORDS).alias("kw"))
-    words = F.regexp_extract_all(F.lower("chunk"), F.lit("([a-z0-9][a-z0-9'-]*)"), 1)
-    j = _ev(spark, d).filter("chunk is not null").select("evidence_id", "claim_id", words.alias("words")).join(kw, "claim_id")
+    j = _ev(spark, d).filter("chunk is not null").select("evidence_id", "claim_id", text.tokens(F.col("chunk")).alias("words")).join(kw, "claim_id")
     return j.select("evidence_id", F.size(F.array_intersect("kw", "words")).alias("n_hits"), F.try_divide(F.size(F.array_intersect("kw", "words")).cast("double"), F.size("kw")).alias("coverage"))
 
 
@@ -157,6 +156,16 @@ def near_duplicates(spark, d):
     return selection.near_duplicates(table(spark, d, "documents"), "doc_id", "text").select("id_a", "id_b", "overlap", "jaccard")
 
 
+def contained_texts(spark, d):
+    return selection.contained_texts(table(spark, d, "documents"), "doc_id", "text")
+
+
+def best_by_url(spark, d):
+    """The passage of greatest score of each claim and address, with the kinds of evidence of all of them."""
+    rows = _ev(spark, d).select("claim_id", urls.canonical_url(F.col("url")).alias("canonical"), "evidence_id", "evidence_score", "evidence_type").filter("canonical <> ''")
+    return selection.dedup_best(rows, ["claim_id", "canonical"], "evidence_score", "evidence_id", ["evidence_type"])
+
+
 def text_classes(spark, d):
     return selection.text_classes(table(spark, d, "documents"), "doc_id", "text")
 
@@ -177,19 +186,9 @@ def context_windows(spark, d):
 
 
 def cosine_topk(spark, d):
-    """The five vectors nearest to each query vector (ids divisible by 20), against all, in blocks.
-
-    The stated query set is a twentieth of the rows and is held against all rows by blocks of a hash of the vectors, so
-    each task scores a block of rows against a block of queries and keeps its best five of each.
-    """
-    v = table(spark, d, "embeddings").select("vec_id", "embedding").filter("embedding is not null")
-    blocks = F.pmod(F.xxhash64("vec_id"), F.lit(8))
-    q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))))
-    j = v.withColumn("block", blocks).join(q, "block").filter("vec_id <> query_id")
-    s = j.select("query_id", "vec_id", F.round(scores.cosine(F.col("q"), F.col("embedding")), 6).alias("cosine"))
-    from tesserine.operators.topn import top_n_per_group
-
-    return top_n_per_group(s, ["query_id"], "cosine", "vec_id", 5).select("query_id", "vec_id", "rank")
+    """The five vectors nearest to each query vector (ids divisible by 20), against all, in blocks."""
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return vectors.cosine_top(v, "vec_id", "embedding", v.filter("vec_id % 20 = 0"), 5).select("query_id", F.col("id").alias("vec_id"), "rank")
 
 
 def confusion(spark, d):
@@ -247,13 +246,12 @@ def label_conflicts(spark, d):
 
 
 def linked_components(spark, d):
-    """Manifest rows linked by cascade, file or video: the smallest row id of each component."""
-    from tesserine.operators.cross_split import identity_keys
-
+    """Manifest rows linked by cascade, address or content (size and duration): the smallest row id of each component."""
     m = _manifests(spark, d)
-    keys = identity_keys(m, table(spark, d, "fvc"))
-    named = keys.withColumn("k", F.concat_ws("|", "kind", "key", F.col("duration").cast("string")))
-    return audit.components(m.select(F.col("row_id").alias("id")), audit.star_edges(named, "row_id", "k"))
+    bare = F.regexp_replace(F.lower("cascade_id"), r"[^\p{L}\p{N}]+", "")
+    kinds = {"c": F.when(bare != "", bare), "u": F.col("actual_url"), "f": F.when(F.col("file_size_bytes").isNotNull() & F.col("duration_sec").isNotNull(), F.concat_ws("|", F.col("file_size_bytes").cast("string"), F.round(F.col("duration_sec") * 1000).cast("long").cast("string")))}
+    keyed = m.select("row_id", F.explode(F.array(*(F.concat(F.lit(k), v) for k, v in kinds.items()))).alias("k"))
+    return audit.components(m.select(F.col("row_id").alias("id")), audit.star_edges(keyed, "row_id", "k"))
 
 
 def grouped_split(spark, d):
@@ -349,7 +347,7 @@ def claim_profiles(spark, d):
 
 #: Columns whose last digits depend on the order of sums, and how many decimals both sides of the check keep.
 DECIMALS = {
-    "agreement": {"agreement_score": 9, "coverage": 9}, "fusion_scores": {"fusion_score": 9}, "class_counts": {"scraped_share": 9}, "evidence_scores": {"score": 12, "capped": 12}, "keyword_coverage": {"coverage": 9}, "near_duplicates": {"jaccard": 9},
+    "agreement": {"agreement_score": 9, "coverage": 9}, "fusion_scores": {"fusion_score": 9}, "class_counts": {"scraped_share": 9}, "evidence_scores": {"score": 12, "capped": 12}, "keyword_coverage": {"coverage": 9}, "near_duplicates": {"jaccard": 9}, "contained_texts": {"containment": 9},
     **{q: dict.fromkeys(("accuracy", "precision", "recall", "f1", "macro_f1", "fpr", "fnr", "balanced_accuracy"), 9) for q in ("confusion", "confusion_by_type", "threshold_sweep")},
     "best_threshold": {"macro_f1": 9}, "reliability_bins": {"mean_predicted": 9, "observed_rate": 9}, "calibration_error": {"ece": 9}, "auc_by_type": {"auc": 9}, "ensemble_scores": {"p_mean": 9, "p_vote": 9},
     "class_statistics": {"duration_sec_mean": 6, "duration_sec_median": 6, "duration_sec_std": 6, "file_size_bytes_mean": 3, "file_size_bytes_median": 3, "file_size_bytes_std": 3}, "sliding_means": {"mean": 9}, "window_decisions": {"mean": 9},
@@ -368,7 +366,7 @@ QUERIES = {
     f.__name__: _rounded(f)
     for f in (
         canonical_urls, url_parts, source_tiers, dedup_by_url, diverse_topk, evidence_scores, source_decisions, publisher_decisions, agreement, fusion_scores, best_passages, reconciled, class_counts,
-        claim_dates, claim_years, date_agreement, claim_keywords, claim_phrases, keyword_coverage, text_helpers, redacted, case_ids, near_duplicates, text_classes, greedy_dedup, chunks, context_windows, cosine_topk,
+        claim_dates, claim_years, date_agreement, claim_keywords, claim_phrases, keyword_coverage, text_helpers, redacted, case_ids, near_duplicates, contained_texts, best_by_url, text_classes, greedy_dedup, chunks, context_windows, cosine_topk,
         confusion, confusion_by_type, threshold_sweep, best_threshold, reliability_bins, calibration_error, auc_by_type, uncertainty_band, temperature, ensemble_scores, bootstrap_gain,
         duplicate_files, label_conflicts, linked_components, grouped_split, split_leaks, split_precedence, class_statistics, resolution_buckets,
         gap_islands, merged_observations, interval_join, interval_anti_join, sliding_means, sampled_events, fused_timeline, window_decisions, folded_labels, worst_errors, event_properties, claim_profiles,

@@ -115,14 +115,14 @@ _IV = f"""
 {_E}, sp AS (SELECT user_id, event_id AS speech_id, us AS a, us + 600000000 AS b FROM e WHERE event_id % 2 = 0), oc AS (SELECT user_id, event_id AS ocr_id, us AS o FROM e WHERE event_id % 2 = 1)
 """
 _STOP = "'" + "','".join("the a an and or of to in on at for is are was were be been that this by from with as about into over after before it its he she they not no but if than then so such also will would can may might do does did has had have nor".split()) + "'"
-_KW = f"""
-w AS (SELECT claim_id, claim, regexp_extract_all(lower(claim), '[a-z0-9][a-z0-9''-]*') AS t FROM claims),
+_KW = rf"""
+w AS (SELECT claim_id, claim, regexp_extract_all(lower(claim), '[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}\p{{M}}''-]*') AS t FROM claims),
 i AS (SELECT claim_id, unnest(t) AS k, unnest(generate_series(1, len(t))) AS p FROM w),
-f AS (SELECT claim_id, k, min(p) AS p FROM i WHERE length(k) >= 2 AND (length(k) >= 3 OR regexp_matches(k, '[^a-z]')) AND k NOT IN ({_STOP}) GROUP BY 1, 2),
+f AS (SELECT claim_id, k, min(p) AS p FROM i WHERE length(k) >= 2 AND (length(k) >= 3 OR regexp_matches(k, '[^\p{{L}}]')) AND k NOT IN ({_STOP}) GROUP BY 1, 2),
 kw AS (SELECT claim_id, CAST(row_number() OVER (PARTITION BY claim_id ORDER BY p) - 1 AS INTEGER) AS pos, k AS keyword FROM f)
 """
 _SH = r"""
-t AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 sh AS (SELECT id, CASE WHEN len(w) >= 5 THEN list_sort(list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i+4], ' ')))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM t),
 x AS (SELECT * FROM sh WHERE len(s) > 0), c AS (SELECT id, s, min(id) OVER (PARTITION BY s) AS class_id FROM x)
 """
@@ -151,10 +151,12 @@ c AS (SELECT *, greatest(0, least(1, CASE WHEN lower(trim(coalesce(nli_label, 'n
 SELECT evidence_id, score, least(score, CAST(CASE evidence_class WHEN 'SUPPORT' THEN 0.95 WHEN 'CONTRADICTION' THEN 0.95 WHEN 'RELATED_CONTEXT' THEN 0.25 WHEN 'NON_EVIDENCE' THEN 0.02 ELSE 0.5 END AS DOUBLE), CAST(CASE evidence_type WHEN 'search_extract' THEN 0.8 WHEN 'search_snippet' THEN 0.45 ELSE 1 END AS DOUBLE)) AS capped,
   CASE WHEN score >= 0.75 THEN 'Strong' WHEN score >= 0.5 THEN 'Moderate' WHEN score > 0 THEN 'Weak' ELSE 'None' END AS strength FROM c""",
     "claim_years": r"SELECT claim_id, array_to_string(list_sort(list_distinct(regexp_extract_all(claim, '\b((?:19|20)\d{2})\b', 1))), ',') AS years, CAST(submission_date - INTERVAL 3 DAY AS DATE) AS from_day, CAST(submission_date + INTERVAL 45 DAY AS DATE) AS to_day FROM claims",
-    "keyword_coverage": f"WITH {_KW}, k2 AS (SELECT claims.claim_id, coalesce(list(keyword) FILTER (keyword IS NOT NULL), []) AS kw FROM claims LEFT JOIN kw USING (claim_id) GROUP BY 1), j AS (SELECT evidence_id, len(list_intersect(kw, regexp_extract_all(lower(chunk), '[a-z0-9][a-z0-9''-]*'))) AS h, len(kw) AS n FROM trace_real_evidence JOIN k2 USING (claim_id) WHERE chunk IS NOT NULL) SELECT evidence_id, CAST(h AS INTEGER) AS n_hits, CASE WHEN n = 0 THEN NULL ELSE CAST(h AS DOUBLE) / n END AS coverage FROM j",
+    "keyword_coverage": f"WITH {_KW}, k2 AS (SELECT claims.claim_id, coalesce(list(keyword) FILTER (keyword IS NOT NULL), []) AS kw FROM claims LEFT JOIN kw USING (claim_id) GROUP BY 1), j AS (SELECT evidence_id, len(list_intersect(kw, regexp_extract_all(lower(chunk), '[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}\\p{{M}}''-]*'))) AS h, len(kw) AS n FROM trace_real_evidence JOIN k2 USING (claim_id) WHERE chunk IS NOT NULL) SELECT evidence_id, CAST(h AS INTEGER) AS n_hits, CASE WHEN n = 0 THEN NULL ELSE CAST(h AS DOUBLE) / n END AS coverage FROM j",
     "case_ids": "SELECT claim_id, 'TL-' || upper(substr(sha256('text:' || claim), 1, 10)) AS case_id FROM claims",
     "text_classes": f"WITH {_SH} SELECT id, class_id FROM c",
     "near_duplicates": f"WITH {_SH}, r AS (SELECT id, s, len(s) AS n FROM c WHERE id = class_id), z AS (SELECT id, n, unnest(s) AS g FROM r), p AS (SELECT a.id AS id_a, b.id AS id_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS overlap FROM z a JOIN z b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2) SELECT id_a, id_b, CAST(overlap AS INTEGER) AS overlap, overlap / (na + nb - overlap) AS jaccard FROM p WHERE overlap / (na + nb - overlap) >= 0.8",
+    "contained_texts": f"WITH {_SH}, r AS (SELECT id, s, len(s) AS n FROM c WHERE id = class_id), z AS (SELECT id, n, unnest(s) AS g FROM r), p AS (SELECT a.id AS small_id, b.id AS large_id, any_value(a.n) AS na, count(*) AS overlap FROM z a JOIN z b ON a.g = b.g AND (a.n < b.n OR (a.n = b.n AND a.id < b.id)) WHERE a.n >= 4 GROUP BY 1, 2) SELECT small_id, large_id, CAST(overlap AS INTEGER) AS overlap, overlap / na AS containment FROM p WHERE overlap / na >= 0.9",
+    "best_by_url": f"WITH {_URL}, b AS (SELECT claim_id, canonical, evidence_id, evidence_score, row_number() OVER (PARTITION BY claim_id, canonical ORDER BY evidence_score DESC NULLS LAST, evidence_id) AS rn, count(*) OVER (PARTITION BY claim_id, canonical) AS n FROM ev WHERE canonical <> ''), t AS (SELECT claim_id, canonical, array_to_string(list_sort(list(DISTINCT evidence_type)), '|') AS evidence_type FROM ev WHERE canonical <> '' GROUP BY 1, 2) SELECT claim_id, canonical, evidence_id, evidence_score, n, evidence_type FROM b JOIN t USING (claim_id, canonical) WHERE rn = 1",
     "cosine_topk": "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), j AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS s FROM v q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS INTEGER) AS rank FROM j) SELECT query_id, vec_id, rank FROM r WHERE rank <= 5",
     "confusion": f"WITH {_SCORED}, c AS (SELECT count(*) AS n_total, CAST(0 AS BIGINT) AS n_uncertain, count(*) FILTER (p >= 0.5 AND y = 1) AS tp, count(*) FILTER (p >= 0.5 AND y <> 1) AS fp, count(*) FILTER (p < 0.5 AND y <> 1) AS tn, count(*) FILTER (p < 0.5 AND y = 1) AS fn FROM s) SELECT *, {_rates()} FROM c",
     "confusion_by_type": f"WITH {_SCORED}, c AS (SELECT evidence_type, count(*) AS n_total, count(*) FILTER (u) AS n_uncertain, count(*) FILTER (NOT u AND p >= 0.5 AND y = 1) AS tp, count(*) FILTER (NOT u AND p >= 0.5 AND y <> 1) AS fp, count(*) FILTER (NOT u AND p < 0.5 AND y <> 1) AS tn, count(*) FILTER (NOT u AND p < 0.5 AND y = 1) AS fn FROM (SELECT *, p > 0.4 AND p < 0.6 AS u FROM s) GROUP BY 1) SELECT *, {_rates()} FROM c",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -34,11 +35,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of this machine where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset and the master is local (tests), a folder
+    of this machine. On a cluster without the setting this is an error, as executors couldn't read each other's files."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = getattr(spark, "_tesserine_dir", None)
         if named is None:
+            master = spark.conf.get("spark.master", "")
+            if not re.fullmatch(r"local(?:\[.*\])?", master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             named = "file://" + tempfile.mkdtemp(prefix="tesserine-")
             spark._tesserine_dir = named
     return named.rstrip("/")
