@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -106,3 +108,58 @@ def agreement(found: Column, year_list: Column, claim: Column) -> Column:
     exact = F.exists(found, lambda d: (d["day"] == F.dayofmonth(claim)) & (d["month"] == F.month(claim)) & (d["year"] == F.year(claim)))
     same = F.array_contains(year_list, F.year(claim)) | F.exists(found, lambda d: d["year"] == F.year(claim))
     return F.when(claim.isNull(), F.lit(None)).when(exact, "exact").when(same, "same_year").when((F.size(found) > 0) | (F.size(year_list) > 0), "different").otherwise("absent")
+
+
+def compatibility(found: Column, year_list: Column, claim: Column, claim_years: Column, source_found: Column | None = None, source_years: Column | None = None, published: Column | None = None) -> Column:
+    """match, same_day_published, same_year, different or unknown: the dates of a passage against the date of a claim.
+
+    ``claim``: a date struct of ``extract_dates``, of a day or a month, or null; ``claim_years``: the years the claim
+    names. ``source_found`` and ``source_years`` are those of the whole source, which a passage inherits, but only the
+    passage's own dates match a day. Dates are compared in the fields both have. A date of another year counts only
+    where the claimed year stands nowhere.
+    """
+    none = F.array().cast("array<int>")
+    own, own_years, named = F.coalesce(found, F.filter(found, lambda d: F.lit(False))), F.coalesce(year_list, none), F.coalesce(claim_years, none)
+    every = own if source_found is None else F.concat(own, F.coalesce(source_found, F.filter(own, lambda d: F.lit(False))))
+    all_years = own_years if source_years is None else F.array_union(own_years, F.coalesce(source_years, none))
+    year_stands = F.arrays_overlap(named, all_years)
+
+    def of_month(d: Column) -> Column:
+        return (d["year"] == claim["year"]) & (d["month"] == claim["month"])
+
+    def differs(d: Column) -> Column:
+        other_day = (d["month"] != claim["month"]) | F.coalesce(d["day"] != claim["day"], F.lit(False))
+        return F.when(d["year"] == claim["year"], other_day).otherwise(~year_stands)
+
+    nothing = (claim.isNull() & (F.size(named) == 0)) | ((F.size(every) == 0) & (F.size(all_years) == 0))
+    by_month = F.when(F.exists(every, of_month), "match").when(F.exists(every, lambda d: (d["year"] == claim["year"]) & (d["month"] != claim["month"])), "different")
+    same_day = F.lit(False) if published is None else F.coalesce((F.dayofmonth(published) == claim["day"]) & (F.month(published) == claim["month"]) & (F.year(published) == claim["year"]), F.lit(False))
+    by_day = F.when(F.exists(own, lambda d: of_month(d) & F.coalesce(d["day"] == claim["day"], F.lit(False))), "match").when(F.exists(every, differs), "different").when(same_day, "same_day_published")
+    by_date = F.when(claim.isNotNull(), F.when(claim["day"].isNull(), by_month).otherwise(by_day))
+    by_year = F.when(year_stands, "same_year").when(((F.size(named) > 0) & (F.size(all_years) > 0)) | (claim.isNotNull() & claim["day"].isNull()), "different")
+    return F.when(nothing, "unknown").otherwise(F.coalesce(by_date, by_year, F.lit("unknown")))
+
+
+def event_conflicts(sentence_list: Column, claim: Column, stems: Column, stem: Callable[[Column], Column]) -> Column:
+    """``struct<clear, soft>``: sentences that speak of the claim's event and date it otherwise.
+
+    A sentence speaks of the event if a word of it has one of the claim's ``stems``; its dates of another month or year
+    are clear conflicts where the claim has no day or the day is the same, soft ones otherwise. Only sentences with a
+    year are looked at; without a claim's date or stems there is no conflict.
+    """
+    dated = F.filter(sentence_list, lambda s: s.rlike(r"\d{4}"))
+
+    def of(s: Column) -> Column:
+        words = F.transform(F.regexp_extract_all(F.lower(s), F.lit("([a-z]+)"), 1), stem)
+        other = F.filter(extract_dates(s), lambda d: ~((d["month"] == claim["month"]) & (d["year"] == claim["year"])))
+        speaks = F.arrays_overlap(words, stems)
+        same_day = F.exists(other, lambda d: claim["day"].isNull() | F.coalesce(d["day"] == claim["day"], F.lit(False)))
+        another = F.exists(other, lambda d: claim["day"].isNotNull() & ~F.coalesce(d["day"] == claim["day"], F.lit(False)))
+        return F.struct((speaks & same_day).alias("clear"), (speaks & another).alias("soft"))
+
+    judged = F.transform(dated, of)
+
+    def any_of(x: Column, name: str) -> Column:
+        return F.coalesce(F.exists(x, lambda r: F.coalesce(r[name], F.lit(False))), F.lit(False))
+
+    return let(judged, lambda x: F.struct(any_of(x, "clear").alias("clear"), any_of(x, "soft").alias("soft")))

@@ -1,66 +1,58 @@
-"""Reliability tiers of hosts: the first rule that fits, over lists that are parameters."""
+"""Reliability tiers of hosts by a lexicon table, and the scores that follow from them."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserine.functions import urls
 
-# The score of each tier, and those that count as primary reporting.
+# The score of each tier, those that count as primary reporting, and the order in which rules are tried.
 TIER_SCORES = {"official": 0.95, "established_wire": 0.92, "major_outlet": 0.82, "regional/general_news": 0.68, "aggregator_portal": 0.45, "weak/blog": 0.32, "user_generated": 0.15, "unknown": 0.55}
 PRIMARY = ("official", "established_wire", "major_outlet", "regional/general_news")
+ORDER = ("user_generated", "aggregator_portal", "established_wire", "official", "major_outlet", "regional/general_news", "weak/blog")
+LEXICON = "kind string, value string, tier string"
+#: Marks and path hints are compared with each host, so there can be so many at most; host names and suffixes are joined.
+MOST_MARKS = 500
 
 
-@dataclass(frozen=True)
-class Lists:
-    """Hosts and marks of each tier. Fixed values in natural order; all can be given anew."""
-
-    official_suffixes: tuple[str, ...] = (".gov", ".gov.in", ".gov.uk", ".mil", ".int", ".police")
-    official: tuple[str, ...] = ("who.int", "un.org", "unesco.org", "imf.org", "worldbank.org", "europa.eu", "unhcr.org", "icrc.org", "wto.org", "oecd.org", "iata.org", "iapws.org")
-    wire: tuple[str, ...] = ("reuters.com", "apnews.com", "afp.com", "bloomberg.com", "upi.com", "anadoluagency.com", "prnewswire.com", "businesswire.com")
-    major: tuple[str, ...] = (
-        "bbc.com", "bbc.co.uk", "theguardian.com", "nytimes.com", "washingtonpost.com", "wsj.com", "cnn.com", "nbcnews.com", "abcnews.go.com", "cbsnews.com", "npr.org",
-        "aljazeera.com", "dw.com", "france24.com", "euronews.com", "ndtv.com", "indiatoday.in", "indianexpress.com", "hindustantimes.com", "thehindu.com", "usatoday.com",
-        "latimes.com", "forbes.com", "politico.com", "propublica.org", "telegraph.co.uk", "independent.co.uk", "britannica.com", "sciencedirect.com", "si.edu",
-    )
-    aggregators: tuple[str, ...] = ("news.google.com", "news.yahoo.com", "msn.com", "wikipedia.org", "wikinews.org", "wikiwand.com", "dbpedia.org", "archive.org", "web.archive.org", "archive.ph", "newsbreak.com")
-    user_hosts: tuple[str, ...] = (
-        "facebook.com", "instagram.com", "twitter.com", "x.com", "tiktok.com", "youtube.com", "youtu.be", "reddit.com", "linkedin.com", "threads.net", "quora.com", "medium.com",
-        "substack.com", "t.me", "pinterest.com", "tumblr.com", "flickr.com", "vk.com", "weibo.com", "nextdoor.com", "mastodon.social", "bsky.app",
-    )
-    weak_marks: tuple[str, ...] = (
-        "blog", "wordpress", "wixsite.com", "weebly.com", "hubpages.com", "wikihow.com", "answers.com", "top10", "listicle", "clickbait", "viral", "news-", "prweb", "guestpost",
-        "sponsored", "newsfeed", "fakenews", ".site", ".info", ".top", ".xyz", ".buzz", ".live", "listing", "classified", "directory", "coupon", "deals",
-    )
-
-
-def _in(host: Column, names: tuple[str, ...]) -> Column:
-    """The host is one of the names or below it: its last labels are compared, so there is no scan of the list."""
+def _tails(host: Column) -> Column:
+    """The host and what is left of it after each of its first dots."""
     parts = F.split(host, r"\.")
-    tails = F.array(*(F.array_join(F.slice(parts, F.greatest(F.lit(1), F.size(parts) - k), F.lit(k + 1)), ".") for k in range(1, 5)))
-    return F.arrays_overlap(tails, F.array(*map(F.lit, names)))
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
 
 
-def tier(url: Column, lists: Lists = Lists()) -> Column:
-    """User platforms, then aggregators, wires, official hosts, outlets, weak marks; unknown otherwise and without a host.
+def with_tiers(df: DataFrame, url: str, lexicon: DataFrame) -> DataFrame:
+    """``df`` with ``tier`` and ``tier_reason``, the entry of the lexicon that decided.
 
-    Names hold for whole labels: notbbc.com is not bbc.com.
+    ``lexicon`` (kind, value, tier): a ``host`` or ``suffix`` holds for whole labels at the end of a host, so notbbc.com
+    is not bbc.com; a ``mark`` stands anywhere in the host; a ``path`` anywhere in the address. Of several entries that
+    hold, the tier that comes first in ``ORDER`` decides, then the longest value. Hosts are judged once each; only
+    addresses with a path hint are judged by themselves. No host, or no entry: unknown. Null addresses are unknown.
     """
-    h = urls.host(url)
-    bare = F.regexp_replace(h, r"^www\.", "")
-    weak = F.lit(False)
-    for m in lists.weak_marks:
-        weak = weak | bare.contains(m)
-    official = _in(h, lists.official)
-    for s in lists.official_suffixes:
-        official = official | h.endswith(s)
-    return (
-        F.when(h == "", "unknown").when(_in(bare, lists.user_hosts), "user_generated").when(_in(bare, lists.aggregators), "aggregator_portal").when(_in(bare, lists.wire), "established_wire")
-        .when(official, "official").when(_in(bare, lists.major), "major_outlet").when(weak, "weak/blog").otherwise("unknown")
-    )
+    lex = lexicon.select("kind", F.lower("value").alias("value"), "tier").distinct()
+    marks = [tuple(r) for r in lex.filter("kind in ('mark', 'path')").orderBy("kind", "value").limit(MOST_MARKS + 1).collect()]
+    if len(marks) > MOST_MARKS:
+        raise ValueError(f"more than {MOST_MARKS} marks")
+    host = F.regexp_replace(urls.host(F.col(url)), r"^www\.", "")
+    rows = df.withColumn("_host", F.coalesce(host, F.lit("")))
+    hosts = rows.select("_host").distinct().filter("_host <> ''")
+
+    def rank(t: Column) -> Column:
+        return F.array_position(F.array(*map(F.lit, ORDER)), t)
+
+    named = lex.filter("kind in ('host', 'suffix')").select(F.regexp_replace("value", r"^\.+", "").alias("_tail"), "value", "tier")
+    by_name = hosts.select("_host", F.explode(_tails(F.col("_host"))).alias("_tail")).join(named, "_tail").select("_host", F.struct((-rank(F.col("tier"))).alias("r"), F.length("value").alias("l"), "value", "tier").alias("e"))
+    by_mark = [F.when(F.col("_host").contains(v), F.struct((-rank(F.lit(t))).alias("r"), F.lit(len(v)).alias("l"), F.lit(v).alias("value"), F.lit(t).alias("tier"))) for k, v, t in marks if k == "mark"]
+    found = by_name
+    if by_mark:
+        found = found.unionByName(hosts.select("_host", F.explode(F.array_compact(F.array(*by_mark))).alias("e")))
+    judged = found.groupBy("_host").agg(F.max("e").alias("_by_host"))
+    by_path = [F.when(F.lower(url).contains(v), F.struct((-rank(F.lit(t))).alias("r"), F.lit(len(v)).alias("l"), F.lit(v).alias("value"), F.lit(t).alias("tier"))) for k, v, t in marks if k == "path"]
+    best = F.greatest(F.col("_by_host"), F.array_max(F.array_compact(F.array(*by_path)))) if by_path else F.col("_by_host")
+    # by_path is none where the address has no host
+    out = rows.join(judged, "_host", "left").withColumn("_best", F.when(F.col("_host") != "", best))
+    return out.withColumn("tier", F.coalesce("_best.tier", F.lit("unknown"))).withColumn("tier_reason", F.col("_best.value")).drop("_host", "_by_host", "_best")
 
 
 def reliability(tier_col: Column, mode: Column) -> Column:
@@ -75,3 +67,8 @@ def reliability(tier_col: Column, mode: Column) -> Column:
 
 def is_primary(tier_col: Column, mode: Column) -> Column:
     return tier_col.isin(*PRIMARY) & (mode != "search_snippet")
+
+
+def profile(tier_col: Column, mode: Column) -> Column:
+    """Tier, score and whether it is primary, as a struct."""
+    return F.struct(tier_col.alias("tier"), reliability(tier_col, mode).alias("reliability"), is_primary(tier_col, mode).alias("is_primary"))

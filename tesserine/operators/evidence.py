@@ -136,3 +136,41 @@ def reconciled(ev: DataFrame) -> DataFrame:
     keyed = ev.withColumn("source_key", source_key(F.col("url"), F.col("source_id"), F.col("pos"))).withColumn("rank", rank)
     w = Window.partitionBy("claim_id", "source_key").orderBy("rank", F.desc_nulls_last("evidence_score"), "pos")
     return keyed.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("claim_id", "source_key", "evidence_id", "evidence_class", "evidence_score")
+
+
+def evidence_class(c: dict[str, Column]) -> Column:
+    """SUPPORT, CONTRADICTION, RELATED_CONTEXT or NON_EVIDENCE of a passage by its signals.
+
+    ``c``: Columns of the signals, named as in the evidence table; a null signal is its weakest value, a null claim type
+    that of an event. What decides a claim must be read on a primary page, be near enough, at the claimed place, and
+    judged by a model that worked; claims of events must also meet the event and its date, others the proposition.
+    """
+    def at_least(name: str, least: float) -> Column:
+        return F.coalesce(c[name] >= least, F.lit(False))
+
+    def true(name: str) -> Column:
+        return F.coalesce(c[name], F.lit(False))
+
+    def said(label: str, least: float) -> Column:
+        return F.coalesce(F.lower(c["raw_nli_label"]) == label, F.lit(False)) & at_least("raw_nli_score", least)
+
+    status, match = F.coalesce(c["date_status"], F.lit("unknown")), F.coalesce(c["event_match"], F.lit("weak"))
+    event = F.coalesce(c["claim_type"].isin("historical_event", "current_event"), F.lit(True))
+    snippet = F.coalesce(c["evidence_type"] == "search_snippet", F.lit(False))
+    covered = at_least("detail_coverage", 0.30)
+    conflict = true("event_date_conflict")
+    dated_alike = ~conflict & ~true("event_date_mismatch")
+    usable = ~F.coalesce(c["nli_status"], F.lit("ok")).isin("error", "unavailable")
+    decisive = usable & ~snippet & true("is_primary_source") & at_least("similarity", 0.40) & (true("location_match") | ~true("claim_has_location"))
+    # events
+    date_tells = (status == "match") | ((status == "different") & true("debunking")) | conflict
+    event_denied = (match == "strong") & date_tells & (said("contradiction", 0.75) | conflict)
+    same_date = status.isin("match", "same_day_published") | ((status == "unknown") & at_least("raw_nli_score", 0.90) & at_least("detail_coverage", 0.50))
+    # other propositions
+    denied = covered & dated_alike & said("contradiction", 0.75)
+    one_passage = F.coalesce(c["passage_kind"] != "window", F.lit(True))
+    contradiction = decisive & one_passage & F.when(event, event_denied).otherwise(denied)
+    support = decisive & said("entailment", 0.70) & covered & dated_alike & (~event | ((match == "strong") & same_date))
+    anchor = true("location_match") | covered
+    near = (status.isin("same_year", "match") & at_least("similarity", 0.35)) | ((status == "different") & at_least("similarity", 0.45)) | snippet
+    return F.when(contradiction, "CONTRADICTION").when(support, "SUPPORT").when(match.isin("moderate", "strong") | (anchor & near), "RELATED_CONTEXT").otherwise("NON_EVIDENCE")

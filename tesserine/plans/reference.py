@@ -46,8 +46,35 @@ def url_parts(spark, d):
 
 
 def source_tiers(spark, d):
-    t = _ev(spark, d).select("evidence_type", tiers.tier(F.col("url")).alias("tier"))
-    return t.select("*", tiers.reliability(F.col("tier"), F.col("evidence_type")).alias("r"), tiers.is_primary(F.col("tier"), F.col("evidence_type")).alias("is_primary")).groupBy("tier", "evidence_type", "is_primary").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("reliability"))
+    """Tier of each passage by a lexicon of hosts, that of the table's own commonest tiers, with marks and a suffix."""
+    ev = _ev(spark, d)
+    by_domain = ev.filter("domain is not null and source_tier <> 'unknown'").groupBy("domain", "source_tier").count()
+    hosts = by_domain.groupBy("domain").agg(F.max_by("source_tier", F.struct("count", "source_tier")).alias("tier")).select(F.lit("host").alias("kind"), F.col("domain").alias("value"), "tier")
+    marks = spark.createDataFrame([("mark", "blog", "weak/blog"), ("mark", "gazette", "weak/blog"), ("suffix", ".gov", "official"), ("path", "/live/", "user_generated")], tiers.LEXICON)
+    t = tiers.with_tiers(ev.select("evidence_id", "url", "evidence_type"), "url", hosts.unionByName(marks))
+    return t.select("evidence_id", "tier", "tier_reason", tiers.reliability(F.col("tier"), F.col("evidence_type")).alias("reliability"), F.coalesce(tiers.is_primary(F.col("tier"), F.col("evidence_type")), F.lit(False)).alias("is_primary"))
+
+
+def evidence_classes(spark, d):
+    """Class of each passage by its signals, its score and the score under the ceilings of that class."""
+    ev = _ev(spark, d)
+    c = F.col
+    k = evidence.evidence_class({name: c(name) for name in ev.columns})
+    s = scores.evidence_score(c("similarity"), c("raw_nli_label"), c("raw_nli_score"), c("source_reliability"), c("date_status"), c("event_match"), c("detail_coverage"), c("location_match"), c("claim_has_location"), c("debunking"))
+    return ev.withColumn("k", k).select("evidence_id", c("k").alias("class"), scores.capped(s, c("k"), c("evidence_type")).alias("class_score"))
+
+
+def date_statuses(spark, d):
+    """Status of each passage's dates against the first date of its claim, with conflicts of the event's date."""
+    c = F.col
+    first = F.get(dates.extract_dates(c("claim")), F.lit(0))
+    stems = F.array_distinct(F.transform(text.keywords(c("claim"), STOPWORDS), text.stem))
+    claims = table(spark, d, "claims").select("claim_id", first.alias("claim_date"), dates.years(c("claim")).alias("claim_years"), stems.alias("stems"))
+    # texts stay where they are: the short table is joined to them
+    ev = _ev(spark, d).filter("chunk is not null").select("evidence_id", "claim_id", "chunk", "retrieved_at").join(claims, "claim_id")
+    conflict = dates.event_conflicts(text.sentences(c("chunk")), c("claim_date"), c("stems"), text.stem)
+    found = ev.select("evidence_id", "claim_date", "claim_years", dates.extract_dates(c("chunk")).alias("found"), dates.years(c("chunk")).alias("years"), conflict.alias("conflict"))
+    return found.select("evidence_id", dates.compatibility(c("found"), c("years"), c("claim_date"), c("claim_years")).alias("status"), "conflict.clear", "conflict.soft")
 
 
 def dedup_by_url(spark, d):
@@ -139,13 +166,16 @@ def keyword_coverage(spark, d):
 
 
 def text_helpers(spark, d):
+    """Excerpt, sentences, numbers and the first shingle of each text."""
     c = F.col("text")
-    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.length(text.squeezed(c)).alias("n_squeezed"), F.length(text.excerpt(c)).alias("n_excerpt"), F.size(text.sentences(c)).alias("n_sentences"), F.size(text.numbers(c)).alias("n_numbers"), F.size(text.shingles(c)).alias("n_shingles"))
+    of = table(spark, d, "documents").filter("text is not null").select("doc_id", text.squeezed(c).alias("squeezed"), text.excerpt(c).alias("excerpt"), text.sentences(c).alias("s"), F.array_join(text.numbers(c), ",").alias("numbers"), text.shingles(c).alias("sh"))
+    return of.select("doc_id", F.md5("squeezed").alias("squeezed_md5"), "excerpt", F.size("s").alias("n_sentences"), F.md5(F.array_join("s", "\n")).alias("sentences_md5"), "numbers", F.size("sh").alias("n_shingles"), F.array_min("sh").alias("least_shingle"))
 
 
 def redacted(spark, d):
-    r = text.redact(F.col("text"))
-    return table(spark, d, "documents").filter(r != F.col("text")).select("doc_id", F.md5(r).alias("redacted_md5"))
+    """Texts with account ids, keys and named secrets, put before them here, taken out."""
+    c = F.concat(F.lit("org_Ab12cd34 sk-"), F.substring(F.md5(F.col("doc_id").cast("string")), 1, 14), F.lit(" Bearer abcdefghijkl.mn password: x"), F.col("doc_id").cast("string"), F.lit(" "), F.col("text"))
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.substring(text.redact(c), 1, 200).alias("redacted"), F.md5(text.redact(c)).alias("redacted_md5"))
 
 
 def case_ids(spark, d):
@@ -347,7 +377,7 @@ def claim_profiles(spark, d):
 
 #: Columns whose last digits depend on the order of sums, and how many decimals both sides of the check keep.
 DECIMALS = {
-    "agreement": {"agreement_score": 9, "coverage": 9}, "fusion_scores": {"fusion_score": 9}, "class_counts": {"scraped_share": 9}, "evidence_scores": {"score": 12, "capped": 12}, "keyword_coverage": {"coverage": 9}, "near_duplicates": {"jaccard": 9}, "contained_texts": {"containment": 9},
+    "agreement": {"agreement_score": 9, "coverage": 9}, "fusion_scores": {"fusion_score": 9}, "class_counts": {"scraped_share": 9}, "evidence_scores": {"score": 12, "capped": 12}, "evidence_classes": {"class_score": 12}, "uncertainty_band": {"accuracy": 9, "uncertain_rate": 9}, "temperature": {"nll": 9, "t": 6}, "keyword_coverage": {"coverage": 9}, "near_duplicates": {"jaccard": 9}, "contained_texts": {"containment": 9},
     **{q: dict.fromkeys(("accuracy", "precision", "recall", "f1", "macro_f1", "fpr", "fnr", "balanced_accuracy"), 9) for q in ("confusion", "confusion_by_type", "threshold_sweep")},
     "best_threshold": {"macro_f1": 9}, "reliability_bins": {"mean_predicted": 9, "observed_rate": 9}, "calibration_error": {"ece": 9}, "auc_by_type": {"auc": 9}, "ensemble_scores": {"p_mean": 9, "p_vote": 9},
     "class_statistics": {"duration_sec_mean": 6, "duration_sec_median": 6, "duration_sec_std": 6, "file_size_bytes_mean": 3, "file_size_bytes_median": 3, "file_size_bytes_std": 3}, "sliding_means": {"mean": 9}, "window_decisions": {"mean": 9},
@@ -365,7 +395,7 @@ def _rounded(f):
 QUERIES = {
     f.__name__: _rounded(f)
     for f in (
-        canonical_urls, url_parts, source_tiers, dedup_by_url, diverse_topk, evidence_scores, source_decisions, publisher_decisions, agreement, fusion_scores, best_passages, reconciled, class_counts,
+        canonical_urls, url_parts, source_tiers, evidence_classes, date_statuses, dedup_by_url, diverse_topk, evidence_scores, source_decisions, publisher_decisions, agreement, fusion_scores, best_passages, reconciled, class_counts,
         claim_dates, claim_years, date_agreement, claim_keywords, claim_phrases, keyword_coverage, text_helpers, redacted, case_ids, near_duplicates, contained_texts, best_by_url, text_classes, greedy_dedup, chunks, context_windows, cosine_topk,
         confusion, confusion_by_type, threshold_sweep, best_threshold, reliability_bins, calibration_error, auc_by_type, uncertainty_band, temperature, ensemble_scores, bootstrap_gain,
         duplicate_files, label_conflicts, linked_components, grouped_split, split_leaks, split_precedence, class_statistics, resolution_buckets,

@@ -127,7 +127,74 @@ sh AS (SELECT id, CASE WHEN len(w) >= 5 THEN list_sort(list_distinct(list_transf
 x AS (SELECT * FROM sh WHERE len(s) > 0), c AS (SELECT id, s, min(id) OVER (PARTITION BY s) AS class_id FROM x)
 """
 
+_TIERS = f"""
+WITH {_URL}, b AS (SELECT domain, source_tier, count(*) AS n FROM trace_real_evidence WHERE domain IS NOT NULL AND source_tier <> 'unknown' GROUP BY 1, 2),
+lex AS (SELECT lower(domain) AS v, lower(domain) AS tail, source_tier AS tier FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY n DESC, source_tier DESC) AS rn FROM b) WHERE rn = 1 UNION SELECT '.gov', 'gov', 'official'),
+o AS (SELECT unnest(['user_generated', 'aggregator_portal', 'established_wire', 'official', 'major_outlet', 'regional/general_news', 'weak/blog']) AS tier, unnest([1, 2, 3, 4, 5, 6, 7]) AS r),
+h AS (SELECT evidence_id, evidence_type, url, regexp_replace(host, '^www\\.', '') AS hh FROM ev),
+c AS (SELECT evidence_id, v, tier FROM h JOIN lex ON hh = tail OR ends_with(hh, '.' || tail)
+  UNION SELECT evidence_id, m, 'weak/blog' FROM h, (SELECT unnest(['blog', 'gazette']) AS m) WHERE contains(hh, m) UNION SELECT evidence_id, '/live/', 'user_generated' FROM h WHERE hh <> '' AND contains(lower(url), '/live/')),
+w AS (SELECT *, row_number() OVER (PARTITION BY evidence_id ORDER BY r, length(v) DESC, v DESC) AS rn FROM c JOIN o USING (tier)),
+t AS (SELECT h.evidence_id, evidence_type AS m, coalesce(tier, 'unknown') AS tier, v AS tier_reason FROM h LEFT JOIN (SELECT * FROM w WHERE rn = 1) w ON w.evidence_id = h.evidence_id),
+s AS (SELECT *, CAST(CASE tier WHEN 'official' THEN 0.95 WHEN 'established_wire' THEN 0.92 WHEN 'major_outlet' THEN 0.82 WHEN 'regional/general_news' THEN 0.68 WHEN 'aggregator_portal' THEN 0.45 WHEN 'weak/blog' THEN 0.32 WHEN 'user_generated' THEN 0.15 ELSE 0.55 END AS DOUBLE) AS b FROM t),
+q AS (SELECT *, CASE m WHEN 'search_extract' THEN least(b * CAST(0.8 AS DOUBLE), CAST(0.62 AS DOUBLE)) WHEN 'search_snippet' THEN least(b * CAST(0.65 AS DOUBLE), CAST(0.4 AS DOUBLE)) ELSE b END AS s FROM s)
+SELECT evidence_id, tier, tier_reason, CASE WHEN tier IN ('weak/blog', 'user_generated') THEN least(s, CAST(CASE WHEN m = 'scraped_article' THEN 0.32 ELSE 0.22 END AS DOUBLE)) ELSE s END AS reliability,
+  coalesce(tier IN ('official', 'established_wire', 'major_outlet', 'regional/general_news') AND m <> 'search_snippet', false) AS is_primary FROM q
+"""
+_WS = "[ \\t\\n\\x0B\\f\\r]+"
+_HELPERS = rf"""
+WITH x0 AS (SELECT doc_id, text, trim(regexp_replace(text, '{_WS}', ' ', 'g')) AS q FROM documents WHERE text IS NOT NULL),
+y AS (SELECT *, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?]){_WS}', '\1' || chr(10), 'g'), '\n+'), lambda s: trim(s)), lambda s: s <> '') AS s,
+  list_filter(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|\d+(?:\.\d+)?%?'), lambda n: regexp_matches(n, '^\d')) AS n FROM x0),
+{_SH.strip()}
+SELECT doc_id, md5(q) AS squeezed_md5, CASE WHEN length(q) <= 420 THEN q ELSE rtrim(substr(q, 1, 420)) || '…' END AS excerpt, CAST(len(y.s) AS INTEGER) AS n_sentences, md5(array_to_string(y.s, chr(10))) AS sentences_md5,
+  array_to_string(list_filter(n, lambda v, i: list_position(n, v) = i), ',') AS numbers, CAST(len(sh.s) AS INTEGER) AS n_shingles, list_min(sh.s) AS least_shingle FROM y JOIN sh ON sh.id = y.doc_id
+"""
+_REDACTED = r"""
+WITH x AS (SELECT doc_id, 'org_Ab12cd34 sk-' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 14) || ' Bearer abcdefghijkl.mn password: x' || doc_id || ' ' || text AS t FROM documents WHERE text IS NOT NULL),
+a AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?i)\b(?:gsk|sk|xai|groq|tvly|tavily)[-_][\w-]{12,}', '[redacted-key]', 'g'), '(?i)\bbearer\s+[\w.-]{12,}', 'Bearer [redacted]', 'g') AS t FROM x),
+b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?i)\b(api[_-]?key|apikey|secret|token|password|authorization)\s*[:=]\s*\S+', '\1=[redacted]', 'g'), '\b(org|proj)_[A-Za-z0-9]{6,}\b', '\1_[redacted]', 'g') AS t FROM a)
+SELECT doc_id, substr(t, 1, 200) AS redacted, md5(t) AS redacted_md5 FROM b
+"""
+_LINKED = rf"""
+{_M.strip()}, k AS (
+  SELECT row_id, 'c' || nullif(regexp_replace(lower(cascade_id), '[^\p{{L}}\p{{N}}]+', '', 'g'), '') AS k FROM m UNION SELECT row_id, 'u' || actual_url FROM m
+  UNION SELECT row_id, 'f' || file_size_bytes || '|' || CAST(round(duration_sec * 1000) AS BIGINT) FROM m),
+e AS (SELECT a.row_id AS a, b.row_id AS b FROM k a JOIN k b USING (k)),
+r AS (SELECT row_id AS id, row_id AS c FROM m UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id),
+comp AS (SELECT id, min(c) AS component FROM r GROUP BY 1)
+"""
+_GROUPED = rf"""
+WITH RECURSIVE {_LINKED.strip()}, g AS (SELECT component, min(label) AS l FROM comp JOIN m ON m.row_id = comp.id GROUP BY 1),
+p AS (SELECT component, (CAST(('0x' || substr(md5(component || '|' || l || '|42'), 1, 8)) AS BIGINT) + 0.5) / 4294967296 AS p FROM g)
+SELECT CASE WHEN p < 0.7 THEN 'train' WHEN p < 0.85 THEN 'val' ELSE 'test' END AS split, label, count(*) AS n FROM comp JOIN m ON m.row_id = comp.id JOIN p USING (component) GROUP BY 1, 2
+"""
+_CLASSES = """
+WITH x AS (SELECT *, coalesce(date_status, 'unknown') AS st, coalesce(event_match, 'weak') AS em, lower(coalesce(raw_nli_label, 'neutral')) AS lab, coalesce(raw_nli_score, 0) AS ns, coalesce(similarity, 0) AS si, coalesce(detail_coverage, 0) AS cov, coalesce(evidence_type, '') = 'search_snippet' AS snip,
+  coalesce(event_date_conflict, false) AS cf, coalesce(event_date_mismatch, false) AS mm, coalesce(location_match, false) AS lm, coalesce(claim_type, 'historical_event') IN ('historical_event', 'current_event') AS evt FROM trace_real_evidence),
+y AS (SELECT *, NOT snip AND coalesce(is_primary_source, false) AND coalesce(nli_status, 'ok') NOT IN ('error', 'unavailable') AND si >= 0.4 AND (lm OR NOT coalesce(claim_has_location, false)) AS ok FROM x),
+z AS (SELECT *, CASE
+  WHEN evt AND ok AND coalesce(passage_kind, '') <> 'window' AND em = 'strong' AND (st = 'match' OR (st = 'different' AND coalesce(debunking, false)) OR cf) AND ((lab = 'contradiction' AND ns >= 0.75) OR cf) THEN 'CONTRADICTION'
+  WHEN NOT evt AND ok AND coalesce(passage_kind, '') <> 'window' AND cov >= 0.3 AND NOT cf AND NOT mm AND lab = 'contradiction' AND ns >= 0.75 THEN 'CONTRADICTION'
+  WHEN evt AND ok AND lab = 'entailment' AND ns >= 0.7 AND em = 'strong' AND cov >= 0.3 AND NOT cf AND NOT mm AND (st IN ('match', 'same_day_published') OR (ns >= 0.9 AND cov >= 0.5 AND st = 'unknown')) THEN 'SUPPORT'
+  WHEN NOT evt AND ok AND lab = 'entailment' AND ns >= 0.7 AND cov >= 0.3 AND NOT cf AND NOT mm THEN 'SUPPORT'
+  WHEN em IN ('moderate', 'strong') OR ((lm OR cov >= 0.3) AND ((st IN ('same_year', 'match') AND si >= 0.35) OR (st = 'different' AND si >= 0.45) OR snip)) THEN 'RELATED_CONTEXT' ELSE 'NON_EVIDENCE' END AS class FROM y)
+"""
 ORACLE: dict[str, str] = {
+    "source_tiers": _TIERS,
+    "text_helpers": _HELPERS,
+    "redacted": _REDACTED,
+    "linked_components": f"WITH RECURSIVE {_LINKED} SELECT id, component FROM comp",
+    "grouped_split": _GROUPED,
+    "claim_keywords": rf"""
+WITH {_KW.strip()}, f2 AS (SELECT *, length(keyword) AS n, keyword AS w FROM kw)
+SELECT claim_id, pos, keyword, array_to_string(list_sort(list_distinct(list_filter([w, CASE WHEN w LIKE '%ies' AND n > 4 THEN substr(w, 1, n - 3) || 'y' END, CASE WHEN regexp_matches(w, '(ses|xes|zes)$') THEN substr(w, 1, n - 2) END, CASE WHEN w LIKE '%s' AND w NOT LIKE '%ss' AND n > 3 THEN substr(w, 1, n - 1) END,
+  CASE WHEN w LIKE '%ed' AND n > 4 THEN substr(w, 1, n - 2) END, CASE WHEN w LIKE '%ed' AND n > 4 THEN substr(w, 1, n - 1) END, CASE WHEN w LIKE '%ing' AND n > 5 THEN substr(w, 1, n - 3) END, CASE WHEN w LIKE '%ing' AND n > 5 THEN substr(w, 1, n - 3) || 'e' END], lambda x: x IS NOT NULL AND x <> ''))), ',') AS forms,
+  CASE WHEN w LIKE '%ings' AND n > 6 THEN substr(w, 1, n - 4) WHEN w LIKE '%ing' AND n > 5 THEN substr(w, 1, n - 3) WHEN w LIKE '%edly' AND n > 6 THEN substr(w, 1, n - 4) WHEN w LIKE '%ed' AND n > 4 THEN substr(w, 1, n - 2) WHEN w LIKE '%es' AND n > 4 THEN substr(w, 1, n - 2) WHEN w LIKE '%s' AND n > 3 THEN substr(w, 1, n - 1) ELSE w END AS stem FROM f2""",
+    "context_windows": "WITH w AS (SELECT claim_id, pos, list(chunk) OVER (PARTITION BY claim_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS w FROM trace_real_evidence WHERE chunk IS NOT NULL) SELECT claim_id, pos, CAST(len(w) AS INTEGER) AS n, md5(array_to_string(w, chr(10))) AS window_md5 FROM w WHERE len(w) > 1",
+    "uncertainty_band": f"WITH {_SCORED}, c AS (SELECT CAST(floor(abs(p - 0.5) * 100 + 1e-9) AS INTEGER) AS c, (p >= 0.5) = (y = 1) AS ok FROM s), g AS (SELECT range / 100 AS width, count(*) FILTER (c >= range) AS n_decided, count(*) FILTER (c >= range AND ok) AS r, count(*) AS total FROM range(41), c GROUP BY range), b AS (SELECT width, CAST(n_decided AS BIGINT) AS n_decided, r / n_decided AS accuracy, 1 - n_decided / total AS uncertain_rate FROM g WHERE n_decided > 0) SELECT * FROM b WHERE uncertain_rate <= 0.3 ORDER BY accuracy DESC, width LIMIT 1",
+    "temperature": f"WITH {_SCORED}, q AS (SELECT y, greatest(1e-6, least(1 - 1e-6, p)) AS p FROM s), t AS (SELECT y, 0.25 + 0.05 * range AS t, 1 / (1 + exp(-ln(p / (1 - p)) / (0.25 + 0.05 * range))) AS q FROM q, range(96)), g AS (SELECT CAST(t AS DOUBLE) AS t, avg(-ln(CASE WHEN y = 1 THEN q ELSE 1 - q END)) AS nll FROM t GROUP BY t) SELECT t, nll FROM g ORDER BY round(nll, 12), t LIMIT 1",
+    "evidence_classes": None,
     "canonical_urls": f"WITH {_URL} SELECT evidence_id, canonical FROM ev",
     "url_parts": _URL_PARTS,
     "dedup_by_url": f"WITH {_URL} SELECT claim_id, canonical, count(*) AS n, list_sort(list(DISTINCT evidence_type)) AS labels, min(evidence_id) AS first_id FROM ev WHERE canonical <> '' GROUP BY 1, 2",
@@ -183,6 +250,9 @@ SELECT evidence_id, score, least(score, CAST(CASE evidence_class WHEN 'SUPPORT'
     "folded_labels": "WITH x AS (SELECT evidence_id, nli_label AS l, nli_score AS s FROM trace_real_evidence UNION ALL SELECT evidence_id, raw_nli_label, raw_nli_score FROM trace_real_evidence), g AS (SELECT evidence_id, coalesce(max(s) FILTER (l = 'entailment'), 0) AS entailment, coalesce(max(s) FILTER (l = 'contradiction'), 0) AS contradiction, coalesce(max(s) FILTER (l = 'neutral' OR l IS NULL), 0) AS neutral FROM x GROUP BY 1) SELECT *, CASE WHEN entailment = greatest(entailment, contradiction, neutral) THEN 'entailment' WHEN contradiction = greatest(entailment, contradiction, neutral) THEN 'contradiction' ELSE 'neutral' END AS best FROM g",
     "worst_errors": f"WITH {_SCORED}, w AS (SELECT evidence_id, evidence_type, p, CASE WHEN y = 1 THEN 'false_negative' ELSE 'false_positive' END AS kind FROM s WHERE (p >= 0.5) <> (y = 1)), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY evidence_type, kind ORDER BY abs(p - 0.5) DESC, evidence_id) AS INTEGER) AS rank, count(*) OVER (PARTITION BY evidence_type, kind) AS n_errors FROM w) SELECT evidence_id, evidence_type, kind, p, rank, n_errors FROM r WHERE rank <= 10",
 }
+# the class' score is that of the scores' query, with the raw label and under the ceiling of the class found
+_SCORE = ORACLE["evidence_scores"].strip().replace("nli_label", "raw_nli_label").replace("nli_score", "raw_nli_score").replace("FROM trace_real_evidence", "FROM z").replace("evidence_class", "class").replace("WITH a AS", ", a AS", 1)
+ORACLE["evidence_classes"] = f"{_CLASSES.strip()}{_SCORE[: _SCORE.rindex('SELECT evidence_id, score')]} , o AS ({_SCORE[_SCORE.rindex('SELECT evidence_id, score') :]}) SELECT evidence_id, z.class, capped AS class_score FROM o JOIN z USING (evidence_id)"
 for _q, _columns in DECIMALS.items():
     _kept = ", ".join(f"round({c}, {n}) AS {c}" for c, n in _columns.items())
     ORACLE[_q] = f"SELECT * REPLACE ({_kept}) FROM ({ORACLE[_q].strip()}) AS _q"

@@ -42,9 +42,73 @@ def test_registrable_domain(spark, host, want):
     assert one(spark, urls.registrable_domain(F.col("h")), h=host) == want
 
 
-@pytest.mark.parametrize("url,want", [("https://www.reuters.com/x", "established_wire"), ("https://x.gov/y", "official"), ("https://notbbc.com", "unknown"), ("https://me.blog.example", "weak/blog"), ("https://old.reddit.com/r/x", "user_generated"), ("https://en.wikipedia.org/wiki/X", "aggregator_portal"), ("https://www.bbc.co.uk/news", "major_outlet"), ("", "unknown")])
-def test_tier(spark, url, want):
-    assert one(spark, tiers.tier(F.col("u")), u=url) == want
+LEXICON = [("host", "Wire.example", "established_wire"), ("suffix", ".gov", "official"), ("host", "bbc.example", "major_outlet"), ("host", "old.bbc.example", "aggregator_portal"), ("mark", "blog", "weak/blog"), ("path", "/r/", "user_generated")]
+TIERS = [("https://www.wire.example/x", "established_wire"), ("https://x.gov/y", "official"), ("https://notbbc.example", "unknown"), ("https://me.blog.example", "weak/blog"), ("https://a.bbc.example/r/x", "user_generated"), ("https://news.old.bbc.example:8080/", "aggregator_portal"), ("https://BBC.example", "major_outlet"), ("", "unknown"), ("/r/x", "unknown"), (None, "unknown")]
+
+
+def test_tiers(spark):
+    lexicon = spark.createDataFrame(LEXICON, tiers.LEXICON)
+    df = spark.createDataFrame([(u, w, "x") for u, w in TIERS] + [TIERS[0] + ("again",)], "u string, want string, value string")
+    got = tiers.with_tiers(df, "u", lexicon)
+    assert got.count() == len(TIERS) + 1 and got.filter("tier <> want").collect() == [] and got.columns == ["u", "want", "value", "tier", "tier_reason"]
+    assert tiers.with_tiers(df, "u", lexicon.limit(0)).filter("tier <> 'unknown'").count() == 0
+    assert tiers.with_tiers(df.limit(0), "u", lexicon).count() == 0
+    with pytest.raises(ValueError):
+        tiers.with_tiers(df, "u", spark.createDataFrame([("mark", f"m{i}", "weak/blog") for i in range(501)], tiers.LEXICON))
+
+
+STATUSES = [
+    ("The ship sank on 14 July 1969.", "On 14 July 1969 it sank.", "match"),
+    ("The ship sank on 14 July 1969.", "It sank in July 1969.", "same_year"),
+    ("The ship sank on 14 July 1969.", "It sank on 15 July 1969.", "different"),
+    ("The ship sank on 14 July 1969.", "A paper of 2019 tells of it.", "different"),
+    ("The ship sank on 14 July 1969.", "In 1969, not on 3 May 1916, it sank.", "same_year"),
+    ("The ship sank in July 1969.", "It sank on 20 July 1969.", "match"),
+    ("The ship sank in July 1969.", "It sank on 20 May 1969.", "different"),
+    ("The ship sank in July 1969.", "It sank in 1969.", "same_year"),
+    ("The ship sank in July 1969.", "It sank in 1970.", "different"),
+    ("The ship sank in 1969.", "In 1969 it sank.", "same_year"),
+    ("The ship sank.", "In 1969 it sank.", "unknown"),
+    ("The ship sank in 1969.", "It sank.", "unknown"),
+    ("The ship sank in 1969.", None, "unknown"),
+    (None, "In 1969 it sank.", "unknown"),
+]
+
+
+@pytest.mark.parametrize("claim,passage,want", STATUSES)
+def test_compatibility_of_dates(spark, claim, passage, want):
+    c, e = F.col("c"), F.col("e")
+    assert one(spark, dates.compatibility(dates.extract_dates(e), dates.years(e), F.get(dates.extract_dates(c), F.lit(0)), dates.years(c)), c=claim, e=passage) == want
+
+
+def test_dates_of_the_source_and_of_publication(spark):
+    claim, passage = F.get(dates.extract_dates(F.lit("on 14 July 1969")), F.lit(0)), F.lit("The paper.")
+    own, years = dates.extract_dates(passage), dates.years(passage)
+    of_source = dates.extract_dates(F.lit("14 July 1969"))
+    named = F.array(F.lit(1969))
+    # the day of the source is no day of the passage
+    assert one(spark, dates.compatibility(own, years, claim, named, of_source, named), x="") == "same_year"
+    assert one(spark, dates.compatibility(own, years, claim, named, F.filter(of_source, lambda d: F.lit(False)), named, F.lit("1969-07-14").cast("date")), x="") == "same_day_published"
+
+
+@pytest.mark.parametrize("passage,want", [
+    ("They landed on 20 July 1969. They gave it away on 20 July 1970.", (False, False)),
+    ("They landed on the moon on 20 July 1970.", (True, False)),
+    ("The landing was on 21 August 1969.", (False, True)),
+    ("The landing was on 21 July 1969.", (False, False)),
+    ("The landing.", (False, False)),
+    (None, (False, False)),
+])
+def test_dates_bound_to_the_event(spark, passage, want):
+    stems = F.array(*(F.lit(w) for w in ("land", "moon")))
+    claim = F.get(dates.extract_dates(F.lit("on 20 July 1969")), F.lit(0))
+    got = one(spark, dates.event_conflicts(text.sentences(F.col("e")), claim, stems, text.stem), e=passage)
+    assert (got["clear"], got["soft"]) == want
+
+
+def test_redaction(spark):
+    got = one(spark, text.redact(F.col("t")), t="org_Ab12cd34 proj_x1 sk-abcdefghijkl-1 bearer abcdefghijklm API_KEY = v1 secretary: no")
+    assert got == "org_[redacted] proj_x1 [redacted-key] Bearer [redacted] API_KEY=[redacted] secretary: no"
 
 
 DATES = [

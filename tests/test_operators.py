@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserine.operators import audit, chunking, evidence, metrics, selection, timeline
+from tesserine.operators import audit, chunking, evidence, metrics, selection, timeline, vectors
 from tesserine.sources import files, html
 
 
@@ -19,7 +19,7 @@ def rows(df):
 def sh(t, n=5):
     import re
 
-    w = re.findall("[a-z0-9]+", (t or "").lower())
+    w = re.findall(r"[^\W_]+", (t or "").lower())
     return {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {" ".join(w)} if w else set()
 
 
@@ -50,6 +50,65 @@ def test_near_duplicates_lose_no_pair(spark):
     assert all(classes[i] == sets[frozenset(sh(x))] for i, x in enumerate(t) if sh(x)) and len(classes) == len(t) - 2
 
 
+def test_words_of_all_scripts_make_shingles(spark):
+    ru = "город насчитал семь лодок у старой пристани в порту до полудня и записал их"
+    data = [(1, ru + " 12 14"), (2, ru.upper() + ", 12; 14"), (3, "совсем другие слова стоят здесь в этом тексте 12 14"), (4, "12 14"), (5, "…"), (6, None), (7, "")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert rows(selection.text_classes(df, "doc_id", "text")) == [(1, 1), (2, 1), (3, 3), (4, 4)]
+
+
+def test_contained_texts_lose_no_pair(spark):
+    rng = random.Random(9)
+    base = [" ".join(f"w{rng.randint(0, 60)}" for _ in range(40)) for _ in range(30)]
+    data = list(enumerate(base + [" ".join(t.split()[3:30]) for t in base] + ["the same four words", "", None] + base[:2]))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    first = {}
+    for i, t in data:
+        if sh(t):
+            first.setdefault(frozenset(sh(t)), i)
+    want = []
+    for a, i in first.items():
+        for b, j in first.items():
+            if i != j and len(a) >= 4 and (len(a), i) < (len(b), j) and len(a & b) / len(a) >= 0.9:
+                want.append((i, j, len(a & b)))
+    got = selection.contained_texts(df, "doc_id", "text").select("small_id", "large_id", "overlap")
+    assert rows(got) == sorted(want, key=repr) and len(want) >= 30
+    assert selection.contained_texts(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_the_best_row_of_duplicates_is_kept(spark):
+    df = spark.createDataFrame([("a", 1, 0.5, "x"), ("a", 2, 0.9, "y"), ("a", 3, 0.9, "x"), ("b", 4, None, None), ("b", 5, -1.0, "z"), ("c", 6, None, "q")], "k string, id long, s double, l string")
+    assert rows(selection.dedup_best(df, ["k"], "s", "id", ["l"])) == [("a", 2, 0.9, 3, "x|y"), ("b", 5, -1.0, 2, "z"), ("c", 6, None, 1, "q")]
+
+
+def test_a_long_chain_comes_to_its_end(spark):
+    n = 106
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "id_a long, id_b long").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = [r[0] for r in selection.greedy_survivors(spark.range(n).coalesce(1), pairs).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted(got) == list(range(0, n, 2))
+
+
+def test_nearest_vectors(spark):
+    rng = np.random.default_rng(4)
+    v = rng.integers(-2, 3, (300, 8)).astype(float)
+    v[7] = 0
+    v[11] = v[12] * 2
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in enumerate(v)] + [(999, None)], "i long, e array<double>")
+    got = rows(vectors.cosine_top(df, "i", "e", df.filter("i % 20 = 0 or i = 12"), 5).select("query_id", "id", "rank"))
+    u = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    want = []
+    for q in [*range(0, 300, 20), 12]:
+        s = np.round(u @ u[q], 6)
+        best = sorted((i for i in range(300) if i != q), key=lambda i: (-s[i], i))[:5]
+        want += [(q, i, r) for r, i in enumerate(best, 1)]
+    assert got == sorted(want, key=repr)
+    assert vectors.cosine_top(df.limit(0), "i", "e", df, 5).count() == vectors.cosine_top(df, "i", "e", df.limit(0), 5).count() == 0
+
+
 def test_greedy_survivors_are_the_first_independent_set(spark):
     rng = random.Random(2)
     pairs = sorted({tuple(sorted(rng.sample(range(60), 2))) for _ in range(90)})
