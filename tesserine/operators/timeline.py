@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserine.functions.text import squeezed
+
 
 def _buckets(start: Column, end: Column, width: float) -> Column:
     return F.sequence(F.floor(start / width).cast("long"), F.floor(end / width).cast("long"))
@@ -47,37 +47,29 @@ def gap_islands(df: DataFrame, key: str, ts: str, gap: float, same: str | None =
     return marked.groupBy(key, "island").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count(F.lit(1)).alias("n"))
 
 
-def merged(rows: list[tuple[float, str]], gap: float, similarity: float) -> list[tuple[float, float, str, int]]:
-    """Sequential merge with the last kept text: ``(start, end, text, n)``; a longer text that is much alike takes over."""
-    out: list[list] = []
-    for ts, text in rows:
-        t = " ".join((text or "").split())
-        if not t:
-            continue
-        if out:
-            last = out[-1]
-            ratio = SequenceMatcher(None, t.lower(), last[2].lower()).ratio()
-            if ratio >= similarity and abs(ts - last[1]) <= gap:
-                last[1] = max(last[1], ts)
-                last[3] += 1
-                if len(t) > len(last[2]) and ratio > 0.85:
-                    last[2] = t
-                continue
-        out.append([ts, ts, t, 1])
-    return [tuple(x) for x in out]
-
-
-def merge_observations(df: DataFrame, key: str, ts: str, text: str, gap: float = 30.0, similarity: float = 0.70) -> DataFrame:
-    """Similar texts close in time made one, for each key in the order of time; blank texts drop out."""
+def likeness(a: Column, b: Column) -> Column:
+    """1 less the share of characters to be changed, put in or dropped, of the longer text; case aside."""
+    return 1 - F.levenshtein(F.lower(a), F.lower(b)) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable")
-        got = merged(list(zip(pdf["ts"], pdf["text"])), gap, similarity)
-        return pd.DataFrame([(pdf["key"].iloc[0], *g) for g in got], columns=["key", "start", "end", "text", "n"])
 
-    rows = df.select(F.col(key).alias("key"), F.col(ts).cast("double").alias("ts"), F.col(text).alias("text")).filter("ts is not null")
-    kind = dict(rows.dtypes)["key"]
-    return rows.groupBy("key").applyInPandas(one, f"key {kind}, start double, end double, text string, n int")
+def merge_observations(df: DataFrame, key: str, ts: str, text: str, gap: float = 30.0, similarity: float = 0.70, frame: str | None = None, confidence: str | None = None) -> DataFrame:
+    """``(key, start, end, text, n)`` of runs of observations of a key in the order of time, and of their frames.
+
+    A run goes on while the next observation comes within the gap and its text is like the one before it; its text is
+    the longest, of equally long ones the first. With ``frame`` (an integer) the first and last frame, with
+    ``confidence`` the greatest one come with it. Observations at the same time follow their frames, then their texts; blank
+    texts and null times drop out. A key's observations are ordered by a window, which spills.
+    """
+    extra = [F.col(frame).cast("long").alias("frame")] if frame else [F.lit(0).cast("long").alias("frame")]
+    sure = F.col(confidence).cast("double") if confidence else F.lit(None).cast("double")
+    rows = df.select(F.col(key).alias("key"), F.col(ts).cast("double").alias("ts"), squeezed(F.col(text)).alias("text"), *extra, sure.alias("sure")).filter("ts is not null and text <> ''")
+    w = Window.partitionBy("key").orderBy("ts", "frame", "text")
+    last_ts, last_text = F.lag("ts").over(w), F.lag("text").over(w)
+    parts = last_ts.isNull() | (F.col("ts") - last_ts > gap) | (likeness(F.col("text"), last_text) < similarity)
+    runs = rows.withColumn("parts", parts.cast("int")).withColumn("run", F.sum("parts").over(w))
+    longest = F.max_by("text", F.struct(F.length("text"), -F.col("ts"), -F.col("frame")))
+    of = runs.groupBy("key", "run").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), longest.alias("text"), F.count(F.lit(1)).cast("int").alias("n"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.max("sure").alias("confidence"))
+    return of.select("key", "start", "end", "text", "n", *(["first_frame", "last_frame"] if frame else []), *(["confidence"] if confidence else []))
 
 
 def sliding_means(df: DataFrame, key: str, ts: str, value: str, width: float, stride: float) -> DataFrame:

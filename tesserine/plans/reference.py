@@ -313,7 +313,7 @@ def gap_islands(spark, d):
 
 
 def merged_observations(spark, d):
-    return timeline.merge_observations(_events(spark, d), "user_id", "sec", "event_type", 7200.0)
+    return timeline.merge_observations(_events(spark, d), "user_id", "us", "event_type", 7200e6, 0.7, "event_id", "value")
 
 
 def _intervals(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -240,6 +240,7 @@ SELECT evidence_id, score, least(score, CAST(CASE evidence_class WHEN 'SUPPORT'
     "class_statistics": f"WITH {_M} SELECT label, count(*) AS n, min(duration_sec) AS duration_sec_min, max(duration_sec) AS duration_sec_max, avg(duration_sec) AS duration_sec_mean, median(duration_sec) AS duration_sec_median, stddev_pop(duration_sec) AS duration_sec_std, CAST(min(file_size_bytes) AS DOUBLE) AS file_size_bytes_min, CAST(max(file_size_bytes) AS DOUBLE) AS file_size_bytes_max, avg(CAST(file_size_bytes AS DOUBLE)) AS file_size_bytes_mean, median(CAST(file_size_bytes AS DOUBLE)) AS file_size_bytes_median, stddev_pop(CAST(file_size_bytes AS DOUBLE)) AS file_size_bytes_std FROM m GROUP BY ROLLUP (label)",
     "resolution_buckets": f"WITH {_M} SELECT split, CASE WHEN greatest(width, height) <= 256 THEN 'tiny' WHEN greatest(width, height) <= 512 THEN 'small' WHEN greatest(width, height) <= 1024 THEN 'medium' ELSE 'large' END AS bucket, CASE WHEN lower(regexp_extract(file_name, '\\.([A-Za-z0-9]+)$', 1)) IN ('mp4', 'mov', 'avi', 'mkv', 'webm') THEN 'video' ELSE 'text' END AS modality, count(*) AS n FROM m GROUP BY ALL",
     "gap_islands": f"WITH {_E}, n AS (SELECT *, CASE WHEN us - lag(us) OVER w > 1800000000 OR lag(us) OVER w IS NULL THEN 1 ELSE 0 END AS nw FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us)), i AS (SELECT *, CAST(sum(nw) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM n) SELECT user_id, island, min(us) AS start, max(us) AS \"end\", count(*) AS n FROM i GROUP BY 1, 2",
+    "merged_observations": f"WITH {_E}, n AS (SELECT *, CASE WHEN lag(us) OVER w IS NULL OR us - lag(us) OVER w > 7200000000 OR 1 - levenshtein(lower(event_type), lower(lag(event_type) OVER w)) / greatest(length(event_type), length(lag(event_type) OVER w), 1) < 0.7 THEN 1 ELSE 0 END AS p FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)), r AS (SELECT *, sum(p) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS run FROM n) SELECT user_id AS key, CAST(min(us) AS DOUBLE) AS start, CAST(max(us) AS DOUBLE) AS \"end\", (list(event_type ORDER BY length(event_type) DESC, us, event_id))[1] AS text, CAST(count(*) AS INTEGER) AS n, min(event_id) AS first_frame, max(event_id) AS last_frame, max(value) AS confidence FROM r GROUP BY user_id, run",
     "interval_join": f"WITH {_IV} SELECT sp.user_id, speech_id, ocr_id FROM sp JOIN oc ON sp.user_id = oc.user_id AND o <= b + 3600000000 AND o >= a - 3600000000",
     "interval_anti_join": f"WITH {_IV} SELECT user_id, speech_id FROM sp WHERE NOT EXISTS (SELECT 1 FROM oc WHERE oc.user_id = sp.user_id AND o <= b + 3600000000 AND o >= a - 3600000000)",
     "sliding_means": f"WITH {_E}, x AS (SELECT user_id, value, us / 3600000000.0 AS h FROM e), y AS (SELECT user_id, value, unnest(generate_series(CAST(floor((h - 24) / 6) + 1 AS BIGINT), CAST(floor(h / 6) AS BIGINT))) AS i FROM x) SELECT user_id, i * 6.0 AS window_start, count(value) AS n, avg(value) AS mean FROM y GROUP BY user_id, i",

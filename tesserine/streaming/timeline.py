@@ -7,18 +7,36 @@ whose rows are not later than the watermark's delay.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tesserine.operators.timeline import merged
-
 OUT = "key string, start double, end double, text string, n int"
 STATE = "ts array<double>, text array<string>"
 
 
+def likeness(a: str, b: str) -> float:
+    """That of the batch operator."""
+    x, y = a.lower(), b.lower()
+    row = list(range(len(y) + 1))
+    for i, c in enumerate(x, 1):
+        row, above = [i], row
+        for j, d in enumerate(y, 1):
+            row.append(min(row[-1] + 1, above[j] + 1, above[j - 1] + (c != d)))
+    return 1 - row[-1] / max(len(x), len(y), 1)
+
+
+def runs_of(rows: list[tuple[float, str]], gap: float, similarity: float) -> list[tuple[float, float, str, int]]:
+    """``(start, end, text, n)`` of the runs of observations in order of time, as the batch operator has them."""
+    said = sorted((ts, t) for ts, text in rows if (t := " ".join((text or "").split())))
+    ends = [i for i, (a, b) in enumerate(pairwise(said), 1) if b[0] - a[0] > gap or likeness(a[1], b[1]) < similarity]
+    parts = [said[i:j] for i, j in pairwise([0, *ends, len(said)]) if i < j]
+    return [(p[0][0], p[-1][0], max((t for _, t in p), key=len), len(p)) for p in parts]
+
+
 def merge_observations(stream: DataFrame, key: str, at: str, text: str, gap: float = 30.0, similarity: float = 0.70, delay: str = "60 seconds") -> DataFrame:
     """The gap merge of a stream: runs are given out once the watermark has passed their end and the gap.
 
@@ -31,7 +49,7 @@ def merge_observations(stream: DataFrame, key: str, at: str, text: str, gap: flo
             rows += list(zip(b["ts"], b["text"]))
         rows.sort(key=lambda r: r[0])
         mark = state.getCurrentWatermarkMs() / 1000
-        runs = merged(rows, gap, similarity)
+        runs = runs_of(rows, gap, similarity)
         # a run is closed when no row in time can join it any more
         done = [r for r in runs if state.hasTimedOut or r[1] + gap < mark]
         end = max((r[1] for r in done), default=None)

@@ -174,7 +174,10 @@ def test_interval_join_like_brute_force(spark):
 
 
 def test_merges(spark):
-    assert timeline.merged([(0, "Breaking: flood"), (30.0, "breaking: flood"), (60.1, "breaking: flood"), (61, ""), (62, "other words")], 30, 0.7) == [(0, 30.0, "Breaking: flood", 2), (60.1, 60.1, "breaking: flood", 1), (62, 62, "other words", 1)]
+    seen = [("v", 0.0, "Breaking: flood", 1, 0.5), ("v", 30.0, " breaking:  floods", 2, 0.9), ("v", 60.1, "breaking: flood", 3, None), ("v", 61.0, " ", 4, 1.0), ("v", 62.0, "other words", 5, 0.7), ("w", None, "x", 6, 1.0), ("w", 1.0, "Öl", 7, 0.1), ("w", 1.0, "öl", 7, 0.2)]
+    of = spark.createDataFrame(seen, "k string, t double, x string, f long, c double")
+    got = rows(timeline.merge_observations(of, "k", "t", "x", 30, 0.7, "f", "c"))
+    assert got == [("v", 0.0, 30.0, "breaking: floods", 2, 1, 2, 0.9), ("v", 60.1, 60.1, "breaking: flood", 1, 3, 3, None), ("v", 62.0, 62.0, "other words", 1, 5, 5, 0.7), ("w", 1.0, 1.0, "Öl", 2, 7, 7, 0.2)]
     df = spark.createDataFrame([("v", 0.0), ("v", 30.0), ("v", 60.1), ("w", None)], "k string, t double")
     assert rows(timeline.gap_islands(df, "k", "t", 30.0)) == [("v", 1, 0.0, 30.0, 2), ("v", 2, 60.1, 60.1, 1)]
     assert timeline.merge_observations(df.limit(0).withColumn("x", F.lit("a")), "k", "t", "x").count() == 0
