@@ -5,7 +5,8 @@ each of the first words and the last one, numbers, hexadecimal strings and paths
 most words share a template, with wildcards where they differ; telling words, that is those the classes rest on, are
 never made wildcards, so lines that differ in one stay apart. The tree is that of the whole corpus, leaf by leaf over
 its distinct lines in their order, whatever the batches and partitions. Each template is classified once, over its whole
-length, by the first of its lines, and the verdict goes back to all lines of it.
+length, by the first of its lines, and the verdict goes back to all lines of it. Lines without any telling word, which no
+other lines share a template with that isn't content, are only counted.
 Unfilled slots are looked for in all lines apart from that. A text is residue if it has a slot, or if
 it has lines of residue and next to nothing else.
 """
@@ -15,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -97,6 +99,7 @@ _SENTENCES = re.compile(r"(?<=[.!?…])\s+")
 # Parts of words one of which each phrase of fillers, and each message that ends a line, has.
 _FILLER_KEYS = ("text", "dummy", "placeholder", "blah", "asdf", "foo bar", "ipsum", "текст")
 _END_KEYS = ("error", "gateway", "unavailable", "requests", "found", "forbidden", "unauthorized", "bad request", "gone")
+_START_KEYS = ("error", "http", "status", "denied", "blocked", "banned", "no longer", "expir", "removed", "deleted", "the requested", "nothing here", "gefunden", "verweigert", "abgelaufen", "introuvable", "trouvée", "refus", "interdit", "encontrada", "existe", "denegado", "caducado", "найдена", "запрещ", "ошибка")
 # Parts of words one of which each message that holds anywhere, or output, has; patterns are tried only on lines with one.
 _MESSAGE_KEYS = ("human", "traffic", "browser", "captcha", "robot", "timed out", "expired", "page", "followed", "went wrong", "please", "script", "cookies")
 _OUTPUT_KEYS = ("traceback", "exception", "error", "fatal", "parse", "notice", "warning", "deprecated", "sqlstate", "ora-", "segmentation", "core dumped", "panic:", "stack", "connection", "pointer", "message", "code", "status", " = ", "^")
@@ -111,6 +114,17 @@ def telling(word: str) -> bool:
     return not word.isalpha() and any(c in _PARTING for c in word) or any(w in _TELLING for w in _WORD.findall(word.lower()))
 
 
+_KEYS = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+for _key in {*_START_KEYS, *_END_KEYS, *_MESSAGE_KEYS, *_OUTPUT_KEYS}:
+    _KEYS.add_word(_key)
+_KEYS.make_automaton()
+
+
+def _may_tell(low: str) -> bool:
+    """Whether a text in lower case has a part without which nothing in it is a message or output."""
+    return next(_KEYS.iter(low), None) is not None or low.startswith(("at ", 'file "', "4", "5"))
+
+
 def slots(text: str) -> list[str]:
     """Unfilled slots; none directly inside quotation marks, no markers of tokenizers."""
     out = []
@@ -184,14 +198,18 @@ def filler(line: str, words: int | None = None) -> bool:
     return False
 
 
-def _head_class(template: str, ends: bool = True) -> str:
+def _head_class(template: str, ends: bool = True, told: bool | None = None) -> str:
     if len(template) <= 60 and _VALUES.match(template):
         return "value"
     if _TODO.match(template):
         return "todo"
     if _WRAPPER.match(template) or menu_items(template):
         return "wrapper"
+    if told is False:
+        return "content"
     low = template.lower()
+    if told is None and not _may_tell(low):
+        return "content"
     if (any(k in low for k in _OUTPUT_KEYS) or low.startswith(("at ", 'file "'))) and _OUTPUT.search(template):
         return "output"
     m = _STARTS.match(template) or (ends and any(k in low for k in _END_KEYS) and _ENDS.search(template)) or (any(k in low for k in _MESSAGE_KEYS) and _ANYWHERE.search(template)) or None
@@ -219,9 +237,10 @@ def classify(template: str) -> str:
     first words makes it a message or output if next to nothing else in it is running text.
     """
     words = template.split()
+    told = _may_tell(template.lower())
     if len(words) <= HEAD_WORDS:
-        return _head_class(template)
-    if (kind := _head_class(" ".join(words[:HEAD_WORDS]), ends=False)) != "content":
+        return _head_class(template, told=told)
+    if (kind := _head_class(" ".join(words[:HEAD_WORDS]), ends=False, told=told)) != "content" or not told:
         return kind
     found, rest = "", 0
     for sentence in _SENTENCES.split(template):
@@ -242,11 +261,14 @@ def classify(template: str) -> str:
 def wrapped_lines(lines: list[str]) -> set[int]:
     """Numbers of the neighbouring lines that only together are a message or output, over the whole text."""
     out: set[int] = set()
+    if not _may_tell(" ".join(lines).lower()):
+        return out
     for i, line in enumerate(lines[:-1]):
         past, j = 0, i + 1
         while j < len(lines) and past < WINDOW_WORDS and not _ENDED.search(lines[j - 1]):
             past += len(lines[j].split())
-            kind = classify(" ".join(masked(" ".join(lines[i : j + 1]))))
+            joined = " ".join(lines[i : j + 1])
+            kind = classify(" ".join(masked(joined))) if _may_tell(joined.lower()) else "content"
             if kind in ("message", "output"):
                 # the least window only: none of its lines tells by itself, nor do they without the first one
                 alone = [lines[j], " ".join(lines[i + 1 : j + 1]), line]
@@ -257,7 +279,14 @@ def wrapped_lines(lines: list[str]) -> set[int]:
     return out
 
 
+def may_class(words: list[str]) -> bool:
+    """Whether the words of a line can be anything but content: of those that can't, no template is."""
+    name = " ".join(words)
+    return _may_tell(name.lower()) or _head_class(name if len(words) <= HEAD_WORDS else " ".join(words[:HEAD_WORDS]), told=False) != "content"
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines that may be of a class, and one row without a line for the words of all others of such a text."""
     h = xxhash.xxh64_intdigest
     for b in batches:
         rows: list[tuple] = []
@@ -268,16 +297,23 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole = " ".join(lines)
             wrapped = len(lines) > 1 and len(whole.split()) <= HEAD_WORDS
             joined = wrapped_lines(lines) if len(lines) > 1 and not wrapped else ()
+            own: list[tuple] = []
+            rest = 0
             for no, line in enumerate([*lines, *([whole] if wrapped else [])]):
                 words = masked(line)
                 n = len(words) - words.count(WILDCARD)
                 one = line is whole and wrapped
                 fill = no in joined or filler(line, n)
-                first = not one and line == lines[0] and n <= FIRST_WORDS
-                rows.append((rid, one, slot, fill, 0 if first else n, words))
-        names = [" ".join(r[5]) for r in rows]
+                counted = 0 if one or (line == lines[0] and n <= FIRST_WORDS) else n
+                if fill or may_class(words):
+                    own.append((rid, one, slot, fill, counted, words))
+                else:
+                    rest += counted
+            if own or slot:
+                rows += [*own, (rid, False, slot, False, rest, None)]
+        names = [" ".join(r[5]) if r[5] else None for r in rows]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.bool_()), pa.array([r[3] for r in rows], pa.bool_()), pa.array([r[4] for r in rows], pa.int32()), pa.array([h(x) for x in names], pa.uint64()).cast(pa.int64(), safe=False), pa.array([h(" ".join(map(str, leaf_of(r[5])))) for r in rows], pa.uint64()).cast(pa.int64(), safe=False), pa.array(names, pa.string())],
+            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.bool_()), pa.array([r[3] for r in rows], pa.bool_()), pa.array([r[4] for r in rows], pa.int32()), pa.array([h(x) if x else None for x in names], pa.uint64()).cast(pa.int64(), safe=False), pa.array([h(" ".join(map(str, leaf_of(r[5])))) if r[5] else None for r in rows], pa.uint64()).cast(pa.int64(), safe=False), pa.array(names, pa.string())],
             names=["id", "whole", "slot", "fill", "words", "t", "leaf", "line"],
         )
 
@@ -319,11 +355,13 @@ def residue(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """
     texts = df.filter(F.length(text) > 0).select(F.col(id_col).cast("long"), F.col(text))
     lines = written(spread(texts).mapInArrow(_lines, "id long, whole boolean, slot boolean, fill boolean, words int, t long, leaf long, line string"), "messages")
-    distinct = lines.groupBy("t", "leaf", "line").agg(F.count(F.lit(1)).alias("n"))
+    told = lines.filter("line is not null")
+    distinct = told.groupBy("t", "leaf", "line").agg(F.count(F.lit(1)).alias("n"))
     # each leaf whole and in order, so templates don't hang on how lines came
     leaves = distinct.repartition("leaf").sortWithinPartitions("leaf", "line")
     verdicts = written(leaves.mapInPandas(_classes, "t long, n long, kind string"), "verdicts")
-    seen = keyed_join(lines.drop("leaf", "line"), verdicts, ["t"], "n", F.col("id"), row_bytes=48, how="left")
+    seen = keyed_join(told.drop("leaf", "line"), verdicts, ["t"], "n", F.col("id"), row_bytes=48, how="left")
+    seen = seen.unionByName(lines.filter("line is null").drop("leaf", "line"), allowMissingColumns=True)
     bad = F.col("fill") | F.coalesce(F.col("kind") != "wrapper", F.lit(False))
     per = seen.groupBy("id").agg(
         F.max("slot").alias("slot"),
