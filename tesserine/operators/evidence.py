@@ -174,3 +174,36 @@ def evidence_class(c: dict[str, Column]) -> Column:
     anchor = true("location_match") | covered
     near = (status.isin("same_year", "match") & at_least("similarity", 0.35)) | ((status == "different") & at_least("similarity", 0.45)) | snippet
     return F.when(contradiction, "CONTRADICTION").when(support, "SUPPORT").when(match.isin("moderate", "strong") | (anchor & near), "RELATED_CONTEXT").otherwise("NON_EVIDENCE")
+
+
+def event_match(c: dict[str, Column], policy: Column, aggregate: Column, incident: Column, phrase_hit: Column, number_hit: Column, entails: Column, place_conflict: Column | None = None) -> Column:
+    """strong, moderate, weak or none: whether a passage tells of the claim's event.
+
+    ``c``: signals named as in the evidence table; the others are what the passage's text shows: rules in place of an
+    incident, numbers over many incidents, words of an incident, a phrase or number of the claim, a model's entailment,
+    another place. Null signals are their weakest value. Nearness of text and details makes an event strong or moderate
+    where the date lets it: a date that agrees needs a detail besides, one that differs a denial of it.
+    """
+    def at_least(name: str, least: float) -> Column:
+        return F.coalesce(c[name] >= least, F.lit(False))
+
+    def true(x: Column) -> Column:
+        return F.coalesce(x, F.lit(False))
+
+    placed = true(c["location_match"]) | ~true(c["claim_has_location"])
+    covered, mostly = (placed & at_least("detail_coverage", x) for x in (0.30, 0.60))
+    status = F.coalesce(c["date_status"], F.lit("unknown"))
+
+    def by_nearness(sure: Column) -> Column:
+        return F.when(covered & sure & at_least("similarity", 0.50), "strong").when(covered & at_least("similarity", 0.45), "moderate").otherwise("weak")
+
+    denied = true(c["debunking"]) | true(c["event_date_conflict"])
+    full = at_least("detail_coverage", 0.65)
+    detail = (status == "match") | true(number_hit) | true(phrase_hit) | full | true(entails)
+    pattern = true(aggregate) & ~true(phrase_hit) & ~full
+    told = mostly & true(incident)
+    agreeing = F.when(pattern, "weak").otherwise(by_nearness(detail))
+    undated = F.when(told & ((status == "same_year") | at_least("similarity", 0.45)), "moderate").otherwise("weak")
+    of_event = F.when(status == "different", F.when(denied, by_nearness(F.lit(True))).otherwise("weak")).when(status.isin("match", "same_day_published"), agreeing).otherwise(undated)
+    elsewhere = F.lit(False) if place_conflict is None else true(place_conflict)
+    return F.when((true(policy) & ~true(incident)) | elsewhere, "none").otherwise(of_event)

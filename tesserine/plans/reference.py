@@ -64,6 +64,20 @@ def evidence_classes(spark, d):
     return ev.withColumn("k", k).select("evidence_id", c("k").alias("class"), scores.capped(s, c("k"), c("evidence_type")).alias("class_score"))
 
 
+POLICY_WORDS, AGGREGATE_WORDS, INCIDENT_WORDS = "policy|guideline|protocol|regulation", "on average|records from|data showed|in total", "flood|fire|storm|landslide|leak|closure|strike|evacuation|collision"
+
+
+def event_matches(spark, d):
+    """How well each passage meets the event of its claim, by its signals and words."""
+    c = F.col
+    numbered = table(spark, d, "claims").select("claim_id", text.numeric_details(c("claim")).alias("claim_numbers"))
+    names = ["evidence_id", "claim_id", "chunk", "location_match", "claim_has_location", "detail_coverage", "similarity", "date_status", "debunking", "event_date_conflict", "nli_label"]
+    rows = _ev(spark, d).select(*names).withColumn("low", F.lower("chunk")).withColumn("own_numbers", text.numeric_details(c("chunk")))
+    j = rows.drop("chunk").join(numbered, "claim_id")
+    m = evidence.event_match({n: c(n) for n in names if n != "chunk"}, c("low").rlike(POLICY_WORDS), c("low").rlike(AGGREGATE_WORDS), c("low").rlike(INCIDENT_WORDS), F.lit(False), F.arrays_overlap("claim_numbers", "own_numbers"), c("nli_label") == "entailment")
+    return j.select("evidence_id", m.alias("event_match"))
+
+
 def date_statuses(spark, d):
     """Status of each passage's dates against the first date of its claim, with conflicts of the event's date."""
     c = F.col
@@ -395,7 +409,7 @@ def _rounded(f):
 QUERIES = {
     f.__name__: _rounded(f)
     for f in (
-        canonical_urls, url_parts, source_tiers, evidence_classes, date_statuses, dedup_by_url, diverse_topk, evidence_scores, source_decisions, publisher_decisions, agreement, fusion_scores, best_passages, reconciled, class_counts,
+        canonical_urls, url_parts, source_tiers, evidence_classes, event_matches, date_statuses, dedup_by_url, diverse_topk, evidence_scores, source_decisions, publisher_decisions, agreement, fusion_scores, best_passages, reconciled, class_counts,
         claim_dates, claim_years, date_agreement, claim_keywords, claim_phrases, keyword_coverage, text_helpers, redacted, case_ids, near_duplicates, contained_texts, best_by_url, text_classes, greedy_dedup, chunks, context_windows, cosine_topk,
         confusion, confusion_by_type, threshold_sweep, best_threshold, reliability_bins, calibration_error, auc_by_type, uncertainty_band, temperature, ensemble_scores, bootstrap_gain,
         duplicate_files, label_conflicts, linked_components, grouped_split, split_leaks, split_precedence, class_statistics, resolution_buckets,

@@ -195,6 +195,15 @@ SELECT claim_id, pos, keyword, array_to_string(list_sort(list_distinct(list_filt
     "uncertainty_band": f"WITH {_SCORED}, c AS (SELECT CAST(floor(abs(p - 0.5) * 100 + 1e-9) AS INTEGER) AS c, (p >= 0.5) = (y = 1) AS ok FROM s), g AS (SELECT range / 100 AS width, count(*) FILTER (c >= range) AS n_decided, count(*) FILTER (c >= range AND ok) AS r, count(*) AS total FROM range(41), c GROUP BY range), b AS (SELECT width, CAST(n_decided AS BIGINT) AS n_decided, r / n_decided AS accuracy, 1 - n_decided / total AS uncertain_rate FROM g WHERE n_decided > 0) SELECT * FROM b WHERE uncertain_rate <= 0.3 ORDER BY accuracy DESC, width LIMIT 1",
     "temperature": f"WITH {_SCORED}, q AS (SELECT y, greatest(1e-6, least(1 - 1e-6, p)) AS p FROM s), t AS (SELECT y, 0.25 + 0.05 * range AS t, 1 / (1 + exp(-ln(p / (1 - p)) / (0.25 + 0.05 * range))) AS q FROM q, range(96)), g AS (SELECT CAST(t AS DOUBLE) AS t, avg(-ln(CASE WHEN y = 1 THEN q ELSE 1 - q END)) AS nll FROM t GROUP BY t) SELECT t, nll FROM g ORDER BY round(nll, 12), t LIMIT 1",
     "evidence_classes": None,
+    "event_matches": """
+WITH n AS (SELECT claim_id, list_filter(regexp_extract_all(claim, '[A-Za-z0-9_]+'), lambda w: regexp_matches(w, '^\\d{1,4}$')) AS cn FROM claims),
+x AS (SELECT evidence_id, coalesce(location_match, false) OR NOT coalesce(claim_has_location, false) AS ok, coalesce(detail_coverage, 0) AS cov, coalesce(similarity, -1) AS si, coalesce(date_status, 'unknown') AS st, coalesce(debunking, false) OR coalesce(event_date_conflict, false) AS den,
+  coalesce(regexp_matches(lower(chunk), 'policy|guideline|protocol|regulation'), false) AS pol, coalesce(regexp_matches(lower(chunk), 'on average|records from|data showed|in total'), false) AS agg, coalesce(regexp_matches(lower(chunk), 'flood|fire|storm|landslide|leak|closure|strike|evacuation|collision'), false) AS inc,
+  coalesce(list_has_any(cn, list_filter(regexp_extract_all(chunk, '[A-Za-z0-9_]+'), lambda w: regexp_matches(w, '^\\d{1,4}$'))), false) AS num, coalesce(nli_label = 'entailment', false) AS ent FROM trace_real_evidence JOIN n USING (claim_id))
+SELECT evidence_id, CASE WHEN pol AND NOT inc THEN 'none'
+  WHEN st = 'different' AND NOT den THEN 'weak' WHEN st IN ('match', 'same_day_published') AND agg AND cov < 0.65 THEN 'weak'
+  WHEN st IN ('different', 'match', 'same_day_published') THEN CASE WHEN NOT ok OR cov < 0.3 OR si < 0.45 THEN 'weak' WHEN si >= 0.5 AND (st <> 'same_day_published' OR num OR cov >= 0.65 OR ent) THEN 'strong' ELSE 'moderate' END
+  WHEN ok AND cov >= 0.6 AND inc AND (st = 'same_year' OR si >= 0.45) THEN 'moderate' ELSE 'weak' END AS event_match FROM x""",
     "canonical_urls": f"WITH {_URL} SELECT evidence_id, canonical FROM ev",
     "url_parts": _URL_PARTS,
     "dedup_by_url": f"WITH {_URL} SELECT claim_id, canonical, count(*) AS n, list_sort(list(DISTINCT evidence_type)) AS labels, min(evidence_id) AS first_id FROM ev WHERE canonical <> '' GROUP BY 1, 2",
