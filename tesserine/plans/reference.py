@@ -78,17 +78,27 @@ def event_matches(spark, d):
     return j.select("evidence_id", m.alias("event_match"))
 
 
-def date_statuses(spark, d):
-    """Status of each passage's dates against the first date of its claim, with conflicts of the event's date."""
+def _dated_passages(spark, d):
+    """Passages with the first date, the years and the stems of their claims; the short table is joined to the texts."""
     c = F.col
     first = F.get(dates.extract_dates(c("claim")), F.lit(0))
     stems = F.array_distinct(F.transform(text.keywords(c("claim"), STOPWORDS), text.stem))
     claims = table(spark, d, "claims").select("claim_id", first.alias("claim_date"), dates.years(c("claim")).alias("claim_years"), stems.alias("stems"))
-    # texts stay where they are: the short table is joined to them
-    ev = _ev(spark, d).filter("chunk is not null").select("evidence_id", "claim_id", "chunk", "retrieved_at").join(claims, "claim_id")
+    return _ev(spark, d).filter("chunk is not null").select("evidence_id", "claim_id", "chunk").join(claims, "claim_id")
+
+
+def date_statuses(spark, d):
+    """Status of each passage's dates against the first date of its claim."""
+    c = F.col
+    found = _dated_passages(spark, d).select("evidence_id", "claim_date", "claim_years", dates.extract_dates(c("chunk")).alias("found"), dates.years(c("chunk")).alias("years"))
+    return found.select("evidence_id", dates.compatibility(c("found"), c("years"), c("claim_date"), c("claim_years")).alias("status"))
+
+
+def date_bindings(spark, d):
+    """Passages that date the event of their claim otherwise."""
+    c = F.col
     conflict = dates.event_conflicts(text.sentences(c("chunk")), c("claim_date"), c("stems"), text.stem)
-    found = ev.select("evidence_id", "claim_date", "claim_years", dates.extract_dates(c("chunk")).alias("found"), dates.years(c("chunk")).alias("years"), conflict.alias("conflict"))
-    return found.select("evidence_id", dates.compatibility(c("found"), c("years"), c("claim_date"), c("claim_years")).alias("status"), "conflict.clear", "conflict.soft")
+    return _dated_passages(spark, d).filter("claim_date is not null").select("evidence_id", conflict.alias("conflict")).select("evidence_id", "conflict.clear", "conflict.soft")
 
 
 def dedup_by_url(spark, d):
@@ -147,7 +157,7 @@ def class_counts(spark, d):
 def claim_dates(spark, d):
     """Dates in claims, one row each, with their spellings."""
     found = table(spark, d, "claims").select("claim_id", F.posexplode(dates.extract_dates(F.col("claim"))).alias("pos", "x"))
-    return found.select("claim_id", "pos", "x.day", "x.month", "x.year", "x.precision", F.size(dates.variants(F.col("x.day"), F.col("x.month"), F.col("x.year"))).alias("n_variants"))
+    return found.select("claim_id", "pos", "x.day", "x.month", "x.year", "x.precision", F.array_join(dates.variants(F.col("x.day"), F.col("x.month"), F.col("x.year")), "|").alias("variants"))
 
 
 def claim_years(spark, d):
@@ -384,9 +394,11 @@ def event_properties(spark, d):
 
 
 def claim_profiles(spark, d):
-    """Facts of each claim in one row: dates, years, keywords, phrases, numbers."""
+    """Facts of each claim in one row: dates, years, keywords and numbers."""
     c = F.col("claim")
-    return table(spark, d, "claims").select("claim_id", F.size(dates.extract_dates(c)).alias("n_dates"), F.size(dates.years(c)).alias("n_years"), F.size(text.keywords(c, STOPWORDS)).alias("n_keywords"), F.size(text.phrases(c, STOPWORDS)).alias("n_phrases"), F.size(text.numeric_details(c)).alias("n_numbers"))
+    spelt = F.transform(dates.extract_dates(c), lambda x: F.concat_ws("-", x["year"].cast("string"), x["month"].cast("string"), x["day"].cast("string")))
+    lists = {"dates": spelt, "years": dates.years(c).cast("array<string>"), "keywords": text.keywords(c, STOPWORDS), "numbers": text.numeric_details(c)}
+    return table(spark, d, "claims").select("claim_id", *(F.array_join(v, ",").alias(k) for k, v in lists.items()))
 
 
 #: Columns whose last digits depend on the order of sums, and how many decimals both sides of the check keep.
@@ -409,7 +421,7 @@ def _rounded(f):
 QUERIES = {
     f.__name__: _rounded(f)
     for f in (
-        canonical_urls, url_parts, source_tiers, evidence_classes, event_matches, date_statuses, dedup_by_url, diverse_topk, evidence_scores, source_decisions, publisher_decisions, agreement, fusion_scores, best_passages, reconciled, class_counts,
+        canonical_urls, url_parts, source_tiers, evidence_classes, event_matches, date_statuses, date_bindings, dedup_by_url, diverse_topk, evidence_scores, source_decisions, publisher_decisions, agreement, fusion_scores, best_passages, reconciled, class_counts,
         claim_dates, claim_years, date_agreement, claim_keywords, claim_phrases, keyword_coverage, text_helpers, redacted, case_ids, near_duplicates, contained_texts, best_by_url, text_classes, greedy_dedup, chunks, context_windows, cosine_topk,
         confusion, confusion_by_type, threshold_sweep, best_threshold, reliability_bins, calibration_error, auc_by_type, uncertainty_band, temperature, ensemble_scores, bootstrap_gain,
         duplicate_files, label_conflicts, linked_components, grouped_split, split_leaks, split_precedence, class_statistics, resolution_buckets,

@@ -180,7 +180,84 @@ z AS (SELECT *, CASE
   WHEN NOT evt AND ok AND lab = 'entailment' AND ns >= 0.7 AND cov >= 0.3 AND NOT cf AND NOT mm THEN 'SUPPORT'
   WHEN em IN ('moderate', 'strong') OR ((lm OR cov >= 0.3) AND ((st IN ('same_year', 'match') AND si >= 0.35) OR (st = 'different' AND si >= 0.45) OR snip)) THEN 'RELATED_CONTEXT' ELSE 'NON_EVIDENCE' END AS class FROM y)
 """
+_SHORT_MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
+_FULL_MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december"
+
+
+def _dates(name: str, rows: str) -> str:
+    """CTEs of the dates of ``rows`` (id, x): ``name`` with id, day, month, year, precision and their order o, distinct."""
+    lead = r"(?:^|[^A-Za-z0-9])"
+    dmy = rf"(\d{{1,2}}(?:st|nd|rd|th)?\s+(?:{_SHORT_MONTHS})[a-z]{{0,6}}\.?,?\s+\d{{4}})"
+    mdy = rf"((?:{_SHORT_MONTHS})[a-z]{{0,6}}\.?\s+\d{{1,2}}(?:\s*(?:st|nd|rd|th))?\s*,?\s+\d{{4}})"
+    my = rf"((?:{_FULL_MONTHS}|{_SHORT_MONTHS}|sept)\.?,?\s+(?:of\s+)?\d{{4}})"
+
+    def each(kind: int, source: str, pattern: str) -> str:
+        return f"SELECT id, {kind} AS k, unnest(l) AS raw, unnest(generate_series(1, len(l))) AS i FROM (SELECT id, regexp_extract_all({source}, '{pattern}', 1) AS l FROM {name}_t)"
+
+    month = f"CAST(list_position(string_split('{_SHORT_MONTHS}', '|'), lower(substr({{}}, 1, 3))) AS INTEGER)"
+    return rf"""
+{name}_t AS (SELECT id, x, regexp_replace(regexp_replace(x, '(?i){lead}{dmy}', '  ', 'g'), '(?i){lead}{mdy}', '  ', 'g') AS rest FROM ({rows})),
+{name}_r AS ({each(0, "x", f"(?i){lead}{dmy}")} UNION ALL {each(1, "x", f"(?i){lead}{mdy}")} UNION ALL {each(2, "x", r"(?:^|[^0-9])(\d{4}-\d{1,2}-\d{1,2})")} UNION ALL {each(3, "x", r"(?:^|[^0-9])(\d{1,2}[/-]\d{1,2}[/-]\d{4})")} UNION ALL {each(9, "rest", f"(?i){lead}{my}")}),
+{name}_p AS (
+  SELECT id, k, i, 0 AS j, TRY_CAST(regexp_extract(raw, '^(\d+)', 1) AS INTEGER) AS day, {month.format("regexp_extract(raw, '[A-Za-z]{3,}')")} AS month, TRY_CAST(right(raw, 4) AS INTEGER) AS year FROM (SELECT * REPLACE (regexp_replace(raw, '(?i)(\d)(st|nd|rd|th)', '\1') AS raw) FROM {name}_r) WHERE k = 0
+  UNION ALL SELECT id, k, i, 0, TRY_CAST(regexp_extract(raw, '[A-Za-z.]\s+(\d{{1,2}})', 1) AS INTEGER), {month.format("raw")}, TRY_CAST(right(raw, 4) AS INTEGER) FROM {name}_r WHERE k = 1
+  UNION ALL SELECT id, k, i, 0, TRY_CAST(split_part(raw, '-', 3) AS INTEGER), TRY_CAST(split_part(raw, '-', 2) AS INTEGER), TRY_CAST(split_part(raw, '-', 1) AS INTEGER) FROM {name}_r WHERE k = 2
+  UNION ALL SELECT id, k, i, j, TRY_CAST(regexp_extract(raw, CASE j WHEN 0 THEN '^(\d+)' ELSE '^\d+[/-](\d+)' END, 1) AS INTEGER), TRY_CAST(regexp_extract(raw, CASE j WHEN 1 THEN '^(\d+)' ELSE '^\d+[/-](\d+)' END, 1) AS INTEGER), TRY_CAST(right(raw, 4) AS INTEGER) FROM {name}_r, (SELECT unnest([0, 1]) AS j) WHERE k = 3
+  UNION ALL SELECT id, k, i, 0, NULL, {month.format("raw")}, TRY_CAST(right(raw, 4) AS INTEGER) FROM {name}_r WHERE k = 9),
+{name} AS (SELECT id, day, month, year, CASE WHEN day IS NULL THEN 'month' ELSE 'day' END AS precision, min(k * 100000 + i * 2 + j) AS o FROM {name}_p
+  WHERE year BETWEEN 1900 AND 2100 AND (day IS NULL OR TRY_CAST(format('{{:04d}}-{{:02d}}-{{:02d}}', year, month, day) AS DATE) IS NOT NULL) GROUP BY id, day, month, year)
+"""
+
+
+_YEARS = r"list_sort(list_distinct(list_transform(regexp_extract_all({}, '\b((?:19|20)\d{{2}})\b', 1), lambda y: CAST(y AS INTEGER))))"
+_STATUSES = f"""
+WITH {_dates("cd", "SELECT claim_id AS id, claim AS x FROM claims").strip()}, {_dates("ed", "SELECT evidence_id AS id, chunk AS x FROM trace_real_evidence WHERE chunk IS NOT NULL").strip()},
+cl AS (SELECT claim_id, day, month, year, {_YEARS.format("claim")} AS cy FROM claims LEFT JOIN (SELECT * FROM cd QUALIFY row_number() OVER (PARTITION BY id ORDER BY o) = 1) f ON f.id = claim_id),
+ev AS (SELECT evidence_id, claim_id, {_YEARS.format("chunk")} AS ey FROM trace_real_evidence WHERE chunk IS NOT NULL),
+j AS (SELECT evidence_id, any_value(cl.day) AS cday, any_value(cl.month) AS cmonth, any_value(cl.year) AS cyear, any_value(cy) AS cy, any_value(ey) AS ey, count(ed.id) AS n,
+    coalesce(bool_or(ed.year = cl.year AND ed.month = cl.month), false) AS same_month, coalesce(bool_or(ed.year = cl.year AND ed.month <> cl.month), false) AS other_month, coalesce(bool_or(ed.year = cl.year AND ed.month = cl.month AND ed.day = cl.day), false) AS same_day,
+    coalesce(bool_or(ed.year = cl.year AND ed.month = cl.month AND ed.day <> cl.day), false) AS other_day, coalesce(bool_or(ed.year <> cl.year), false) AS other_year
+  FROM ev JOIN cl USING (claim_id) LEFT JOIN ed ON ed.id = evidence_id GROUP BY evidence_id),
+y AS (SELECT *, len(list_intersect(cy, ey)) > 0 AS ys FROM j)
+SELECT evidence_id, CASE WHEN (cmonth IS NULL AND len(cy) = 0) OR (n = 0 AND len(ey) = 0) THEN 'unknown'
+  WHEN cmonth IS NOT NULL AND cday IS NULL AND same_month THEN 'match' WHEN cmonth IS NOT NULL AND cday IS NULL AND other_month THEN 'different'
+  WHEN cday IS NOT NULL AND same_day THEN 'match' WHEN cday IS NOT NULL AND (other_month OR other_day OR (other_year AND NOT ys)) THEN 'different'
+  WHEN ys THEN 'same_year' WHEN (len(cy) > 0 AND len(ey) > 0) OR (cmonth IS NOT NULL AND cday IS NULL) THEN 'different' ELSE 'unknown' END AS status FROM y
+"""
+_AGREEMENT = f"""
+WITH {_dates("ed", "SELECT evidence_id AS id, chunk AS x FROM trace_real_evidence WHERE chunk IS NOT NULL").strip()},
+g AS (SELECT evidence_id, any_value(submission_date) AS c, coalesce(any_value({_YEARS.format("chunk")}), []) AS ey, count(ed.id) AS n, coalesce(bool_or(ed.day = day(submission_date) AND ed.month = month(submission_date) AND ed.year = year(submission_date)), false) AS exact, coalesce(bool_or(ed.year = year(submission_date)), false) AS same
+  FROM trace_real_evidence JOIN claims USING (claim_id) LEFT JOIN ed ON ed.id = evidence_id GROUP BY evidence_id)
+SELECT CASE WHEN c IS NULL THEN NULL WHEN exact THEN 'exact' WHEN same OR list_contains(ey, CAST(year(c) AS INTEGER)) THEN 'same_year' WHEN n > 0 OR len(ey) > 0 THEN 'different' ELSE 'absent' END AS agreement, count(*) AS n FROM g GROUP BY 1
+"""
+_CLAIM_DATES = f"""
+WITH {_dates("cd", "SELECT claim_id AS id, claim AS x FROM claims").strip()}, v AS (SELECT *, make_date(year, month, coalesce(day, 1)) AS t FROM cd)
+SELECT id AS claim_id, CAST(row_number() OVER (PARTITION BY id ORDER BY o) - 1 AS INTEGER) AS pos, day, month, year, precision,
+  array_to_string(CASE WHEN day IS NULL THEN list_distinct([strftime(t, '%B %Y')]) || list_filter([strftime(t, '%B, %Y'), strftime(t, '%b %Y'), strftime(t, '%Y-%m')], lambda s: s <> strftime(t, '%B %Y'))
+    ELSE [day || strftime(t, ' %B %Y'), strftime(t, '%B ') || day || ', ' || year] || list_filter([day || strftime(t, ' %b %Y'), strftime(t, '%b ') || day || ', ' || year], lambda s: strftime(t, '%b') <> strftime(t, '%B')) || [strftime(t, '%b ') || day || ' ' || year, strftime(t, '%Y-%m-%d'), strftime(t, '%d/%m/%Y')] END, '|') AS variants FROM v
+"""
+_PROFILES = rf"""
+WITH {_KW.strip()}, {_dates("cd", "SELECT claim_id AS id, claim AS x FROM claims").strip()},
+dl AS (SELECT id, string_agg(year || '-' || month || CASE WHEN day IS NULL THEN '' ELSE '-' || day END, ',' ORDER BY o) AS dates FROM cd GROUP BY id), kl AS (SELECT claim_id, string_agg(keyword, ',' ORDER BY pos) AS keywords FROM kw GROUP BY 1),
+n AS (SELECT claim_id, claim, list_filter(regexp_extract_all(claim, '[A-Za-z0-9_]+'), lambda w: regexp_matches(w, '^\d{{1,4}}$')) AS l FROM claims)
+SELECT n.claim_id, coalesce(dates, '') AS dates, array_to_string({_YEARS.format("claim")}, ',') AS years, coalesce(keywords, '') AS keywords, array_to_string(list_filter(l, lambda v, i: list_position(l, v) = i), ',') AS numbers
+FROM n LEFT JOIN dl ON dl.id = n.claim_id LEFT JOIN kl USING (claim_id)
+"""
+_PHRASES = f"""
+WITH {_KW.strip()}, kl AS (SELECT claim_id, list(keyword) AS ks FROM kw GROUP BY 1),
+r AS (SELECT w.claim_id, ks, list_transform(generate_series(1, greatest(len(t) - 2, 0)), lambda i: array_to_string(t[i:i+2], ' ')) || list_transform(generate_series(1, greatest(len(t) - 1, 0)), lambda i: array_to_string(t[i:i+1], ' ')) AS l FROM w JOIN kl USING (claim_id)),
+e AS (SELECT claim_id, ks, unnest(l) AS phrase, unnest(generate_series(1, len(l))) AS i FROM r),
+pf AS (SELECT claim_id, phrase, any_value(ks) AS ks, min(i) AS i FROM e GROUP BY 1, 2),
+g AS (SELECT *, string_split(phrase, ' ') AS ws FROM pf),
+o AS (SELECT claim_id, phrase, row_number() OVER (PARTITION BY claim_id ORDER BY CASE WHEN regexp_matches(phrase, '[0-9]') THEN 0 ELSE 1 END, len(ws) DESC, length(phrase) DESC, i) - 1 AS pos FROM g WHERE len(list_filter(ws, lambda w: NOT list_contains(ks, w))) = 0)
+SELECT claim_id, CAST(pos AS INTEGER) AS pos, phrase FROM o WHERE pos < 6
+"""
 ORACLE: dict[str, str] = {
+    "claim_profiles": _PROFILES,
+    "claim_phrases": _PHRASES,
+    "claim_dates": _CLAIM_DATES,
+    "date_agreement": _AGREEMENT,
+    "date_statuses": _STATUSES,
     "source_tiers": _TIERS,
     "text_helpers": _HELPERS,
     "redacted": _REDACTED,
@@ -263,6 +340,12 @@ SELECT evidence_id, score, least(score, CAST(CASE evidence_class WHEN 'SUPPORT'
 # the class' score is that of the scores' query, with the raw label and under the ceiling of the class found
 _SCORE = ORACLE["evidence_scores"].strip().replace("nli_label", "raw_nli_label").replace("nli_score", "raw_nli_score").replace("FROM trace_real_evidence", "FROM z").replace("evidence_class", "class").replace("WITH a AS", ", a AS", 1)
 ORACLE["evidence_classes"] = f"{_CLASSES.strip()}{_SCORE[: _SCORE.rindex('SELECT evidence_id, score')]} , o AS ({_SCORE[_SCORE.rindex('SELECT evidence_id, score') :]}) SELECT evidence_id, z.class, capped AS class_score FROM o JOIN z USING (evidence_id)"
+ORACLE["greedy_dedup"] = f"""
+WITH RECURSIVE nd AS ({ORACLE["near_duplicates"]}), b AS (SELECT id_a AS id, id_b AS o FROM nd UNION SELECT id_b, id_a FROM nd),
+v AS (SELECT id, list(o) AS os, row_number() OVER (ORDER BY id) AS i FROM b GROUP BY id),
+k AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT v.i, CASE WHEN list_has_any(kept, os) THEN kept ELSE list_append(kept, id) END FROM k JOIN v ON v.i = k.i + 1)
+SELECT DISTINCT class_id AS id FROM ({ORACLE["text_classes"]}) t WHERE class_id NOT IN (SELECT id FROM v) UNION SELECT unnest(kept) FROM (SELECT kept FROM k ORDER BY i DESC LIMIT 1)
+"""
 for _q, _columns in DECIMALS.items():
     _kept = ", ".join(f"round({c}, {n}) AS {c}" for c, n in _columns.items())
     ORACLE[_q] = f"SELECT * REPLACE ({_kept}) FROM ({ORACLE[_q].strip()}) AS _q"
