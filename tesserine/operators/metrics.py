@@ -71,16 +71,22 @@ def calibration_error(df: DataFrame, bins: int = 10) -> DataFrame:
     return r.agg((F.sum(F.col("n") * F.abs(F.col("observed_rate") - F.col("mean_predicted"))) / F.nullif(F.sum("n"), F.lit(0))).alias("ece"))
 
 
-def auc(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+def auc(df: DataFrame, by: list[str] | None = None, cells: int = 1024) -> DataFrame:
     """Area under the ROC curve by the rank sum, ties at half; null without both classes.
 
-    Rows are counted by distinct score first; only those counts are ordered, in one task for each group.
+    Rows are counted by distinct score first. Those counts are ordered within cells of scores, and the cells, of which
+    there are 1,025 at most for each group, among each other, so no task orders all scores of a group.
     """
     by = by or []
-    pos = df.filter("y is not null and p is not null").groupBy(*by, "p").agg(F.count_if(F.col("y") == 1).cast("double").alias("a"), F.count_if(F.col("y") != 1).cast("double").alias("b"))
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("p")
-    below = F.sum("b").over(w) - F.col("b")
-    u = pos.withColumn("u", F.col("a") * (below + F.col("b") / 2))
+    cell = F.greatest(F.lit(0), F.least(F.lit(cells), F.floor(F.col("p") * cells))).cast("int")
+    pos = df.filter("y is not null and p is not null").groupBy(*by, "p").agg(F.count_if(F.col("y") == 1).cast("double").alias("a"), F.count_if(F.col("y") != 1).cast("double").alias("b")).withColumn("cell", cell)
+    of_cells = Window.partitionBy(*(by or [F.lit(0)])).orderBy("cell")
+    offsets = pos.groupBy(*by, "cell").agg(F.sum("b").alias("b")).select(*by, "cell", (F.sum("b").over(of_cells) - F.col("b")).alias("offset"))
+    w = Window.partitionBy(*by, "cell").orderBy("p")
+    inside = pos.withColumn("below", F.sum("b").over(w) - F.col("b"))
+    keys = [F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}")) for c in (*by, "cell")]
+    joined = inside.alias("_l").join(offsets.alias("_r"), keys).select(*(F.col(f"_l.{c}").alias(c) for c in (*by, "a", "b", "below")), "offset")
+    u = joined.withColumn("u", F.col("a") * (F.col("offset") + F.col("below") + F.col("b") / 2))
     return u.groupBy(*by).agg(F.try_divide(F.sum("u"), F.sum("a") * F.sum("b")).alias("auc"), F.sum("a").alias("n_pos"), F.sum("b").alias("n_neg"))
 
 

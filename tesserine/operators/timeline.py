@@ -27,8 +27,10 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, ls: str, le: str,
     on = (F.col(key) == F.col("_k")) & (F.col("_b") == F.col("_c")) & (F.col("_b") == first) & (F.col(rs) <= F.col(le) + t) & (F.col(re_) >= F.col(ls) - t)
     if how == "inner":
         return a.join(b, on).drop("_b", "_c", "_k")
-    matched = a.join(b, on, "left_semi").drop("_b").distinct()
-    rest = left.alias("_l").join(matched.alias("_m"), [F.col(f"_l.{c}").eqNullSafe(F.col(f"_m.{c}")) for c in left.columns], "left_anti")
+    # each left row is told by a number of its own, so rows that repeat stay rows and only one shuffle follows the join
+    told = left.withColumn("_row", F.monotonically_increasing_id()).withColumn("_b", F.explode_outer(F.when(F.col(ls).isNotNull() & F.col(le).isNotNull(), _buckets(F.col(ls) - t, F.col(le) + t, width))))
+    tried = told.join(b.select("_k", "_c", rs, re_, F.lit(True).alias("_hit")), on, "left")
+    rest = tried.groupBy("_row").agg(F.first(F.struct(*left.columns)).alias("_of"), F.max("_hit").alias("_hit")).filter("_hit is null").select("_of.*")
     if how == "anti":
         return rest
     return a.join(b, on).drop("_b", "_c", "_k").unionByName(rest, allowMissingColumns=True)
