@@ -54,11 +54,23 @@ def threshold_sweep(df: DataFrame, steps: int = STEPS) -> DataFrame:
 
 
 def best_threshold(df: DataFrame, metric: str = "macro_f1", steps: int = STEPS) -> DataFrame:
-    """The threshold of greatest metric, the smallest of equal ones."""
-    s = threshold_sweep(df, steps).filter(F.col(metric).isNotNull())
+    """The threshold of greatest metric, the smallest of equal ones; none without rows."""
+    s = threshold_sweep(df, steps).filter(F.col(metric).isNotNull() & (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn") > 0))
     return s.orderBy(F.desc(F.round(metric, 12)), "threshold").limit(1)
 
 
+def locked(fit: DataFrame, apply: DataFrame, by: list[str] | None = None, metric: str = "macro_f1", steps: int = STEPS) -> DataFrame:
+    """The threshold that is best on ``fit``, and counts and rates of ``apply`` at it; nothing of ``apply`` has a part in its choice.
+
+    The threshold is one row, the only one that is collected. Without a row to fit it is null and there is no result.
+    """
+    chosen = best_threshold(fit, metric, steps).select("threshold").first()
+    if chosen is None:
+        return confusion(apply.limit(0), 0.0, by).filter(F.lit(False)).withColumn("threshold", F.lit(None).cast("double"))
+    # scores fall into the cells of the sweep
+    return confusion(apply.withColumn("p", F.floor(F.col("p") * steps + 1e-9) / steps), chosen[0], by).withColumn("threshold", F.lit(chosen[0]))
+
+
 def reliability_bins(df: DataFrame, bins: int = 10) -> DataFrame:
     """Bins closed on the right, the first on both sides: number, mean score and share of positives; empty ones with nulls."""
     b = F.greatest(F.lit(1), F.least(F.lit(bins), F.ceil(F.col("p") * bins - 1e-9))).cast("int")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserine.functions import dates, scores, text, tiers, urls
-from tesserine.operators import audit, chunking, evidence, media, metrics, selection, timeline, vectors
+from tesserine.operators import audit, chunking, evidence, hashes, media, metrics, selection, timeline, vectors
 from tesserine.session import table
 
 STOPWORDS = tuple("the a an and or of to in on at for is are was were be been that this by from with as about into over after before it its he she they not no but if than then so such also will would can may might do does did has had have nor".split())
@@ -245,6 +245,12 @@ def cosine_topk(spark, d):
     return vectors.cosine_top(v, "vec_id", "embedding", v.filter("vec_id % 20 = 0"), 5).select("query_id", F.col("id").alias("vec_id"), "rank")
 
 
+def near_hashes(spark, d):
+    """Pairs of vectors whose hashes of signs are at most fifteen of sixty bits apart."""
+    v = table(spark, d, "embeddings").select("vec_id", hashes.sign_hash(F.col("embedding")).alias("h"))
+    return hashes.hamming_pairs(v, "vec_id", "h", 15)
+
+
 def confusion(spark, d):
     return metrics.confusion(_scored(spark, d), 0.5)
 
@@ -261,6 +267,13 @@ def best_threshold(spark, d):
     return metrics.best_threshold(_scored(spark, d)).select("threshold", "macro_f1", "tp", "fp", "tn", "fn")
 
 
+def locked_evaluation(spark, d):
+    """Passages of other kinds at the threshold that is best on scraped articles."""
+    s = _scored(spark, d)
+    scraped = F.col("evidence_type") == "scraped_article"
+    return metrics.locked(s.filter(scraped), s.filter(~scraped), ["evidence_type"])
+
+
 def reliability_bins(spark, d):
     return metrics.reliability_bins(_scored(spark, d))
 
@@ -404,7 +417,7 @@ def claim_profiles(spark, d):
 #: Columns whose last digits depend on the order of sums, and how many decimals both sides of the check keep.
 DECIMALS = {
     "agreement": {"agreement_score": 9, "coverage": 9}, "fusion_scores": {"fusion_score": 9}, "class_counts": {"scraped_share": 9}, "evidence_scores": {"score": 12, "capped": 12}, "evidence_classes": {"class_score": 12}, "uncertainty_band": {"accuracy": 9, "uncertain_rate": 9}, "temperature": {"nll": 9, "t": 6}, "keyword_coverage": {"coverage": 9}, "near_duplicates": {"jaccard": 9}, "contained_texts": {"containment": 9},
-    **{q: dict.fromkeys(("accuracy", "precision", "recall", "f1", "macro_f1", "fpr", "fnr", "balanced_accuracy"), 9) for q in ("confusion", "confusion_by_type", "threshold_sweep")},
+    **{q: dict.fromkeys(("accuracy", "precision", "recall", "f1", "macro_f1", "fpr", "fnr", "balanced_accuracy"), 9) for q in ("confusion", "confusion_by_type", "threshold_sweep", "locked_evaluation")},
     "best_threshold": {"macro_f1": 9}, "reliability_bins": {"mean_predicted": 9, "observed_rate": 9}, "calibration_error": {"ece": 9}, "auc_by_type": {"auc": 9}, "ensemble_scores": {"p_mean": 9, "p_vote": 9},
     "class_statistics": {"duration_sec_mean": 6, "duration_sec_median": 6, "duration_sec_std": 6, "file_size_bytes_mean": 3, "file_size_bytes_median": 3, "file_size_bytes_std": 3}, "sliding_means": {"mean": 9}, "window_decisions": {"mean": 9},
 }
@@ -422,8 +435,8 @@ QUERIES = {
     f.__name__: _rounded(f)
     for f in (
         canonical_urls, url_parts, source_tiers, evidence_classes, event_matches, date_statuses, date_bindings, dedup_by_url, diverse_topk, evidence_scores, source_decisions, publisher_decisions, agreement, fusion_scores, best_passages, reconciled, class_counts,
-        claim_dates, claim_years, date_agreement, claim_keywords, claim_phrases, keyword_coverage, text_helpers, redacted, case_ids, near_duplicates, contained_texts, best_by_url, text_classes, greedy_dedup, chunks, context_windows, cosine_topk,
-        confusion, confusion_by_type, threshold_sweep, best_threshold, reliability_bins, calibration_error, auc_by_type, uncertainty_band, temperature, ensemble_scores, bootstrap_gain,
+        claim_dates, claim_years, date_agreement, claim_keywords, claim_phrases, keyword_coverage, text_helpers, redacted, case_ids, near_duplicates, contained_texts, best_by_url, text_classes, greedy_dedup, chunks, context_windows, cosine_topk, near_hashes,
+        confusion, confusion_by_type, threshold_sweep, best_threshold, locked_evaluation, reliability_bins, calibration_error, auc_by_type, uncertainty_band, temperature, ensemble_scores, bootstrap_gain,
         duplicate_files, label_conflicts, linked_components, grouped_split, split_leaks, split_precedence, class_statistics, resolution_buckets,
         gap_islands, merged_observations, interval_join, interval_anti_join, sliding_means, sampled_events, fused_timeline, window_decisions, folded_labels, worst_errors, event_properties, claim_profiles,
     )

@@ -311,6 +311,8 @@ SELECT evidence_id, score, least(score, CAST(CASE evidence_class WHEN 'SUPPORT'
     "contained_texts": f"WITH {_SH}, r AS (SELECT id, s, len(s) AS n FROM c WHERE id = class_id), z AS (SELECT id, n, unnest(s) AS g FROM r), p AS (SELECT a.id AS small_id, b.id AS large_id, any_value(a.n) AS na, count(*) AS overlap FROM z a JOIN z b ON a.g = b.g AND (a.n < b.n OR (a.n = b.n AND a.id < b.id)) WHERE a.n >= 4 GROUP BY 1, 2) SELECT small_id, large_id, CAST(overlap AS INTEGER) AS overlap, overlap / na AS containment FROM p WHERE overlap / na >= 0.9",
     "best_by_url": f"WITH {_URL}, b AS (SELECT claim_id, canonical, evidence_id, evidence_score, row_number() OVER (PARTITION BY claim_id, canonical ORDER BY evidence_score DESC NULLS LAST, evidence_id) AS rn, count(*) OVER (PARTITION BY claim_id, canonical) AS n FROM ev WHERE canonical <> ''), t AS (SELECT claim_id, canonical, array_to_string(list_sort(list(DISTINCT evidence_type)), '|') AS evidence_type FROM ev WHERE canonical <> '' GROUP BY 1, 2) SELECT claim_id, canonical, evidence_id, evidence_score, n, evidence_type FROM b JOIN t USING (claim_id, canonical) WHERE rn = 1",
     "cosine_topk": "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), j AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS s FROM v q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS INTEGER) AS rank FROM j) SELECT query_id, vec_id, rank FROM r WHERE rank <= 5",
+    "near_hashes": "WITH v AS (SELECT vec_id, CAST(list_sum(list_transform(embedding[1:60], lambda x, i: CASE WHEN x > 0 THEN CAST(1 AS BIGINT) << (i - 1) ELSE 0 END)) AS BIGINT) AS h FROM embeddings WHERE embedding IS NOT NULL), r AS (SELECT h, min(vec_id) AS id, count(*) AS n FROM v GROUP BY h) SELECT a.id AS id_a, b.id AS id_b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance, a.n AS n_a, b.n AS n_b FROM r a JOIN r b ON a.id < b.id AND bit_count(xor(a.h, b.h)) <= 15",
+    "locked_evaluation": f"WITH {_SWEEP.replace('FROM g, s GROUP', 'FROM g, (SELECT * FROM s WHERE evidence_type = ' + repr('scraped_article') + ') s GROUP')}, b AS (SELECT threshold FROM sweep WHERE macro_f1 IS NOT NULL ORDER BY round(macro_f1, 12) DESC, threshold LIMIT 1), q AS (SELECT evidence_type, y, floor(p * 100 + 1e-9) / 100 AS p FROM s WHERE evidence_type <> 'scraped_article'), c AS (SELECT evidence_type, any_value(threshold) AS threshold, count(*) AS n_total, CAST(0 AS BIGINT) AS n_uncertain, count(*) FILTER (p >= threshold AND y = 1) AS tp, count(*) FILTER (p >= threshold AND y <> 1) AS fp, count(*) FILTER (p < threshold AND y <> 1) AS tn, count(*) FILTER (p < threshold AND y = 1) AS fn FROM q, b GROUP BY 1) SELECT *, {_rates()} FROM c",
     "confusion": f"WITH {_SCORED}, c AS (SELECT count(*) AS n_total, CAST(0 AS BIGINT) AS n_uncertain, count(*) FILTER (p >= 0.5 AND y = 1) AS tp, count(*) FILTER (p >= 0.5 AND y <> 1) AS fp, count(*) FILTER (p < 0.5 AND y <> 1) AS tn, count(*) FILTER (p < 0.5 AND y = 1) AS fn FROM s) SELECT *, {_rates()} FROM c",
     "confusion_by_type": f"WITH {_SCORED}, c AS (SELECT evidence_type, count(*) AS n_total, count(*) FILTER (u) AS n_uncertain, count(*) FILTER (NOT u AND p >= 0.5 AND y = 1) AS tp, count(*) FILTER (NOT u AND p >= 0.5 AND y <> 1) AS fp, count(*) FILTER (NOT u AND p < 0.5 AND y <> 1) AS tn, count(*) FILTER (NOT u AND p < 0.5 AND y = 1) AS fn FROM (SELECT *, p > 0.4 AND p < 0.6 AS u FROM s) GROUP BY 1) SELECT *, {_rates()} FROM c",
     "threshold_sweep": f"WITH {_SWEEP} SELECT * FROM sweep",

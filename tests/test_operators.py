@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserine.operators import audit, chunking, evidence, metrics, selection, timeline, vectors
+from tesserine.operators import audit, chunking, evidence, hashes, metrics, selection, timeline, vectors
 from tesserine.sources import files, html
 
 
@@ -92,6 +92,29 @@ def test_a_long_chain_comes_to_its_end(spark):
     assert sorted(got) == list(range(0, n, 2))
 
 
+def test_near_hashes_lose_no_pair(spark):
+    rng = random.Random(6)
+    base = [rng.getrandbits(60) for _ in range(30)]
+    data = [(i, h) for i, h in enumerate(base)] + [(100 + i, h ^ sum(1 << rng.randrange(60) for _ in range(rng.randint(1, 6)))) for i, h in enumerate(base)] + [(200, base[0]), (201, base[0]), (300, None), (301, 0), (302, 1)]
+    df = spark.createDataFrame(data, "i long, h long")
+    first = {}
+    for i, h in data:
+        if h is not None:
+            first.setdefault(h, []).append(i)
+    want = sorted((min(a), min(b), (x ^ y).bit_count(), len(a), len(b)) for x, a in first.items() for y, b in first.items() if min(a) < min(b) and (x ^ y).bit_count() <= 5)
+    assert rows(hashes.hamming_pairs(df, "i", "h", 5)) == sorted(want, key=repr) and len(want) > 10
+    assert hashes.hamming_pairs(df.limit(0), "i", "h", 5).count() == 0
+    assert spark.range(1).select(hashes.sign_hash(F.array(F.lit(1.0), F.lit(-1.0), F.lit(2.0)))).first()[0] == 5
+
+
+def test_a_locked_threshold_is_fitted_elsewhere(spark):
+    fit = spark.createDataFrame([(1, 0.31), (1, 0.9), (0, 0.3), (0, 0.1)], "y int, p double")
+    other = spark.createDataFrame([(1, 0.35), (0, 0.2), (0, 0.6), (None, 0.4), (1, None)], "y int, p double")
+    got = metrics.locked(fit, other).first()
+    assert (got["threshold"], got["tp"], got["fp"], got["tn"], got["fn"]) == (0.31, 1, 1, 1, 0)
+    assert metrics.locked(fit.limit(0), other).count() == 0
+
+
 def test_nearest_vectors(spark):
     rng = np.random.default_rng(4)
     v = rng.integers(-2, 3, (300, 8)).astype(float)
