@@ -178,3 +178,50 @@ def reference(col: Column) -> Column:
     """``url | domain | excerpt`` as a struct; missing parts are null."""
     parts = F.transform(F.split(col, r"\|"), lambda s: F.trim(s))
     return F.struct(F.get(parts, F.lit(0)).alias("url"), F.get(parts, F.lit(1)).alias("domain"), F.get(parts, F.lit(2)).alias("excerpt"))
+
+
+def has_marker(col: Column, markers: tuple[str, ...]) -> Column:
+    """One of the markers stands in the text, case aside; false for null."""
+    return F.coalesce(F.lower(col).rlike("|".join(rf"\Q{m.lower()}\E" for m in markers)), F.lit(False)) if markers else F.lit(False)
+
+
+def contains_keyword(words: Column, keyword: Column) -> Column:
+    """A simple form of the keyword is among the words of a text (``tokens``); false for null."""
+    return F.coalesce(F.arrays_overlap(words, keyword_forms(keyword)), F.lit(False))
+
+
+def contains_phrase_nearly(words: Column, phrase: Column) -> Column:
+    """The words of a phrase stand in a row among ``words``, in any simple form, but one of them at most; two at least do."""
+    parts = F.split(F.lower(phrase), " ")
+    n = F.size(parts)
+    forms = F.transform(parts, keyword_forms)
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
+
+    def hits(i: Column) -> Column:
+        return F.size(F.filter(F.zip_with(F.slice(words, i, n), forms, lambda w, f: F.array_contains(f, w)), lambda hit: hit))
+
+    near = F.exists(starts, lambda i: hits(i) >= F.greatest(n - 1, F.lit(2)))
+    return F.coalesce((F.size(words) >= n) & near, F.lit(False))
+
+
+def without_dates(col: Column, found: Column) -> Column:
+    """The text without the spellings of the dates found in it and a preposition before them, squeezed; null stays null."""
+    spellings = F.transform(found, lambda d: F.concat(F.lit(r"(?i)(?:\b(?:on|in|at|during|since)\s+)?\Q"), d["raw"], F.lit(r"\E")))
+    return squeezed(F.aggregate(F.coalesce(spellings, F.array().cast("array<string>")), col, lambda t, p: F.regexp_replace(t, p, " ")))
+
+
+def labelled(col: Column, label: str, values: tuple[str, ...]) -> Column:
+    """The last of the values, in capitals, that follows the label and a colon or dash, else the last alone on a line, else null."""
+    one = "|".join(values)
+
+    def last(pattern: str) -> Column:
+        return F.try_element_at(F.regexp_extract_all(col, F.lit(pattern), 1), F.lit(-1))
+
+    return F.upper(F.coalesce(last(rf"(?i){label}\s*[:-]\s*\**\s*({one})\b"), last(rf"(?im)^\s*\**\s*({one})\s*\**\s*$")))
+
+
+def list_section(col: Column, heading: str) -> Column:
+    """The entries under a heading with a colon, one a line without their marks, up to the next heading; "none" is no entry."""
+    body = F.regexp_extract(col, rf"(?is)(?:^|\n)\s*{heading}\s*:\s*(.*?)(?=\n\s*[A-Z][A-Za-z ]{{2,40}}:|$)", 1)
+    lines = F.transform(F.split(body, "\n"), lambda x: F.trim(F.regexp_replace(F.trim(x), r"^[-•*]\s*", "")))
+    return F.filter(lines, lambda x: (x != "") & (F.lower(x) != "none"))

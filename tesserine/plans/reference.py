@@ -178,6 +178,24 @@ def claim_keywords(spark, d):
     return k.select("claim_id", "pos", "keyword", F.array_join(text.keyword_forms(F.col("keyword")), ",").alias("forms"), text.stem(F.col("keyword")).alias("stem"))
 
 
+FACT_CHECK_WORDS = ("fact check", "false", "misleading", "hoax", "faktencheck", "no evidence")
+
+
+def claim_words_met(spark, d):
+    """Which of a claim's keywords, in any simple form, stand in each passage, and whether it speaks of checking facts."""
+    c = F.col
+    kw = table(spark, d, "claims").select("claim_id", text.keywords(c("claim"), STOPWORDS).alias("kw"))
+    words = _ev(spark, d).filter("chunk is not null").select("evidence_id", "claim_id", F.array_distinct(text.tokens(c("chunk"))).alias("words"), text.has_marker(c("chunk"), FACT_CHECK_WORDS).alias("checks"))
+    met = F.filter("kw", lambda k: text.contains_keyword(c("words"), k))
+    return words.join(kw, "claim_id").select("evidence_id", F.array_join(met, ",").alias("met"), "checks")
+
+
+def undated_claims(spark, d):
+    """Claims without the dates they name."""
+    c = F.col("claim")
+    return table(spark, d, "claims").select("claim_id", text.without_dates(c, dates.extract_dates(c)).alias("undated"))
+
+
 def claim_phrases(spark, d):
     return table(spark, d, "claims").select("claim_id", F.posexplode(text.phrases(F.col("claim"), STOPWORDS)).alias("pos", "phrase"))
 
@@ -435,7 +453,7 @@ QUERIES = {
     f.__name__: _rounded(f)
     for f in (
         canonical_urls, url_parts, source_tiers, evidence_classes, event_matches, date_statuses, date_bindings, dedup_by_url, diverse_topk, evidence_scores, source_decisions, publisher_decisions, agreement, fusion_scores, best_passages, reconciled, class_counts,
-        claim_dates, claim_years, date_agreement, claim_keywords, claim_phrases, keyword_coverage, text_helpers, redacted, case_ids, near_duplicates, contained_texts, best_by_url, text_classes, greedy_dedup, chunks, context_windows, cosine_topk, near_hashes,
+        claim_dates, claim_years, date_agreement, claim_keywords, claim_words_met, undated_claims, claim_phrases, keyword_coverage, text_helpers, redacted, case_ids, near_duplicates, contained_texts, best_by_url, text_classes, greedy_dedup, chunks, context_windows, cosine_topk, near_hashes,
         confusion, confusion_by_type, threshold_sweep, best_threshold, locked_evaluation, reliability_bins, calibration_error, auc_by_type, uncertainty_band, temperature, ensemble_scores, bootstrap_gain,
         duplicate_files, label_conflicts, linked_components, grouped_split, split_leaks, split_precedence, class_statistics, resolution_buckets,
         gap_islands, merged_observations, interval_join, interval_anti_join, sliding_means, sampled_events, fused_timeline, window_decisions, folded_labels, worst_errors, event_properties, claim_profiles,

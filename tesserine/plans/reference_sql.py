@@ -252,7 +252,15 @@ g AS (SELECT *, string_split(phrase, ' ') AS ws FROM pf),
 o AS (SELECT claim_id, phrase, row_number() OVER (PARTITION BY claim_id ORDER BY CASE WHEN regexp_matches(phrase, '[0-9]') THEN 0 ELSE 1 END, len(ws) DESC, length(phrase) DESC, i) - 1 AS pos FROM g WHERE len(list_filter(ws, lambda w: NOT list_contains(ks, w))) = 0)
 SELECT claim_id, CAST(pos AS INTEGER) AS pos, phrase FROM o WHERE pos < 6
 """
+_FORMS = "list_filter([w, CASE WHEN w LIKE '%ies' AND length(w) > 4 THEN substr(w, 1, length(w) - 3) || 'y' END, CASE WHEN regexp_matches(w, '(ses|xes|zes)$') THEN substr(w, 1, length(w) - 2) END, CASE WHEN w LIKE '%s' AND w NOT LIKE '%ss' AND length(w) > 3 THEN substr(w, 1, length(w) - 1) END, CASE WHEN w LIKE '%ed' AND length(w) > 4 THEN substr(w, 1, length(w) - 2) END, CASE WHEN w LIKE '%ed' AND length(w) > 4 THEN substr(w, 1, length(w) - 1) END, CASE WHEN w LIKE '%ing' AND length(w) > 5 THEN substr(w, 1, length(w) - 3) END, CASE WHEN w LIKE '%ing' AND length(w) > 5 THEN substr(w, 1, length(w) - 3) || 'e' END], lambda x: x IS NOT NULL)"
+_MET = rf"""
+WITH {_KW.strip()}, kf AS (SELECT claim_id, pos, keyword AS w, {_FORMS} AS forms FROM (SELECT claim_id, pos, keyword, keyword AS w FROM kw)),
+ev AS (SELECT evidence_id, claim_id, regexp_extract_all(lower(chunk), '[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}\p{{M}}''-]*') AS words, regexp_matches(lower(chunk), 'fact check|false|misleading|hoax|faktencheck|no evidence') AS checks FROM trace_real_evidence JOIN claims USING (claim_id) WHERE chunk IS NOT NULL),
+hit AS (SELECT evidence_id, string_agg(kf.w, ',' ORDER BY pos) AS met FROM ev JOIN kf USING (claim_id) WHERE list_has_any(words, forms) GROUP BY 1)
+SELECT evidence_id, coalesce(met, '') AS met, checks FROM ev LEFT JOIN hit USING (evidence_id)
+"""
 ORACLE: dict[str, str] = {
+    "claim_words_met": _MET,
     "claim_profiles": _PROFILES,
     "claim_phrases": _PHRASES,
     "claim_dates": _CLAIM_DATES,

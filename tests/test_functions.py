@@ -106,6 +106,30 @@ def test_dates_bound_to_the_event(spark, passage, want):
     assert (got["clear"], got["soft"]) == want
 
 
+def test_parts_of_labelled_texts(spark):
+    t = F.col("t")
+    kinds = ("REAL", "FAKE", "UNVERIFIED")
+    verdict = text.labelled(t, "verdict", kinds)
+    assert one(spark, verdict, t="Verdict: fake. Later\nFinal verdict -\n**Real** so.") == "REAL" and one(spark, verdict, t="It is not REAL.\n ** fake **\n") == "FAKE"
+    assert one(spark, verdict, t="It is not REAL.") is None and one(spark, verdict, t=None) is None
+    assert one(spark, text.list_section(t, "gaps"), t="Gaps:\n- one\n• two x\n\nnone\nNext part:\n- three") == ["one", "two x"]
+    assert one(spark, text.list_section(t, "gaps"), t="No list") == [] and one(spark, text.list_section(t, "gaps"), t=None) is None
+
+
+def test_phrases_and_words_in_other_forms(spark):
+    words = text.tokens(F.col("t"))
+    assert one(spark, text.contains_phrase_nearly(words, F.lit("flooded river bank")), t="The flooded old bank") and one(spark, text.contains_phrase_nearly(words, F.lit("flooded river")), t="The flooded river")
+    assert not one(spark, text.contains_phrase_nearly(words, F.lit("flooded river")), t="The flooded town") and not one(spark, text.contains_phrase_nearly(words, F.lit("a b c")), t="a b")
+    assert one(spark, text.contains_keyword(words, F.lit("landing")), t="They land now") and not one(spark, text.contains_keyword(words, F.lit("landing")), t=None)
+    assert one(spark, text.has_marker(F.col("t"), ("a+b", "hoax")), t="A HOAX") and not one(spark, text.has_marker(F.col("t"), ("a+b",)), t="aab")
+
+
+def test_dates_are_taken_out(spark):
+    t = F.col("t")
+    out = text.without_dates(t, dates.extract_dates(t))
+    assert one(spark, out, t="It sank on 12 Aug 2024 and, in July 1969, rose.") == "It sank and, , rose." and one(spark, out, t=None) is None and one(spark, out, t="No date (x).") == "No date (x)."
+
+
 def test_redaction(spark):
     got = one(spark, text.redact(F.col("t")), t="org_Ab12cd34 proj_x1 sk-abcdefghijkl-1 bearer abcdefghijklm API_KEY = v1 secretary: no")
     assert got == "org_[redacted] proj_x1 [redacted-key] Bearer [redacted] API_KEY=[redacted] secretary: no"
