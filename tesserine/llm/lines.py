@@ -34,16 +34,10 @@ def _keyed_lines(df: DataFrame, id_col: str, source: str, text: str) -> DataFram
     return keyed.select("id", "line_no", F.xxhash64("s", "k").alias("h1"), F.xxhash64("k", F.lit(7), "s").alias("h2"), "k", "s")
 
 
-def _once(df: DataFrame, id_col: str, source: str, text: str) -> DataFrame:
-    """Rows repeated under one id count once: they are made one where there are any."""
-    ids = df.groupBy(id_col).count().filter("count > 1").limit(1)
-    return df.dropDuplicates([id_col, source, text]) if ids.take(1) else df
-
-
 def line_counts(df: DataFrame, id_col: str, source: str, text: str, min_rows: int = MIN_ROWS) -> tuple[DataFrame, DataFrame]:
     """``(lines, repeated)``: all lines with letters as ``(id, line_no, h1, h2)``; of those in ``min_rows`` rows of a source
     ``(h1, h2, n)``. A line twice in one row counts once."""
-    lines = written(_keyed_lines(_once(df, id_col, source, text), id_col, source, text).select("id", "line_no", "h1", "h2"), "lines")
+    lines = written(_keyed_lines(df, id_col, source, text).select("id", "line_no", "h1", "h2"), "lines")
     counted = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_rows)
     # most lines stand once: only keys that reach the number by places are counted by rows
     places = written(counted, "places")
@@ -59,7 +53,8 @@ def repeated_lines(df: DataFrame, id_col: str, source: str, text: str, min_rows:
     share costs one row a task; they are found again by a broadcast of checked size or a salted join.
     """
     lines, repeated = line_counts(df, id_col, source, text, min_rows)
-    return keyed_join(lines, repeated, ["h1", "h2"], "n", F.col("id"), row_bytes=32).select("id", "line_no")
+    # rows repeated under one id give a line once
+    return keyed_join(lines, repeated, ["h1", "h2"], "n", F.col("id"), row_bytes=32).select("id", "line_no").distinct()
 
 
 def _log10_p(g: pd.Series) -> pd.Series:
@@ -83,8 +78,7 @@ def excess_lines(df: DataFrame, id_col: str, source: str, text: str, min_rows: i
     joined by hashes; the letters of those that come out are read from the texts once more. Rows with a null source or text have no part;
     rows repeated under one id count once; an empty table gives no row.
     """
-    once = _once(df, id_col, source, text)
-    keyed = _keyed_lines(once, id_col, source, text).select("id", F.xxhash64("s").alias("s"), F.xxhash64("k").alias("k"), "h1", "h2")
+    keyed = _keyed_lines(df, id_col, source, text).select("id", F.xxhash64("s").alias("s"), F.xxhash64("k").alias("k"), "h1", "h2")
     within = written(keyed.distinct().groupBy("h1", "h2", "s", "k").agg(F.count(F.lit(1)).alias("a")), "within")
     everywhere = written(within.groupBy("k").agg(F.sum("a").alias("t"), F.count(F.lit(1)).alias("sources")), "everywhere")
     sizes = df.filter(F.col(source).isNotNull() & F.col(text).isNotNull()).groupBy(F.xxhash64(F.col(source).cast("string")).alias("s")).agg(F.countDistinct(id_col).alias("m"))
@@ -108,7 +102,7 @@ def excess_lines(df: DataFrame, id_col: str, source: str, text: str, min_rows: i
     level = above.withColumn("q", F.min(raw).over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).select("bin", "q")
     more = F.col("a") * F.col("o") > F.col("b") * F.col("m")
     judged = written(scored.join(F.broadcast(level), "bin").select("h1", "h2", "a", "b", "llr", "q", (more & (F.col("q") <= fdr)).alias("excess")), "judged_lines")
-    words = keyed_join(_keyed_lines(once, id_col, source, text), judged, ["h1", "h2"], "a", F.col("id"), row_bytes=64)
+    words = keyed_join(_keyed_lines(df, id_col, source, text), judged, ["h1", "h2"], "a", F.col("id"), row_bytes=64)
     said = words.groupBy("h1", "h2").agg(F.first("s").alias("source"), F.first("k").alias("letters"), *(F.first(c).alias(c) for c in ("a", "b", "llr", "q", "excess")))
     return said.select("source", "letters", F.col("a").alias("n_rows"), F.col("b").alias("n_outside"), "llr", "q", "excess")
 
