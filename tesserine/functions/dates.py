@@ -13,10 +13,11 @@ from tesserine.functions.text import let
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 _SHORT = "|".join(m[:3] for m in MONTHS)
 _DMY = rf"(?i)(?<![A-Za-z0-9])(\d{{1,2}}(?:st|nd|rd|th)?\s+(?:{_SHORT})[a-z]{{0,6}}\.?,?\s+\d{{4}})(?![0-9])"
-_MDY = rf"(?i)(?<![A-Za-z0-9])((?:{_SHORT})[a-z]{{0,6}}\.?\s+\d{{1,2}}(?:\s*(?:st|nd|rd|th))?\s*,?\s+\d{{4}})(?![0-9])"
+# months start with one of eight letters, which is looked at before the names
+_MDY = rf"(?i)(?<![A-Za-z0-9])(?=[adfjmnos])((?:{_SHORT})[a-z]{{0,6}}\.?\s+\d{{1,2}}(?:\s*(?:st|nd|rd|th))?\s*,?\s+\d{{4}})(?![0-9])"
 _ISO = r"(?<![0-9])(\d{4}-\d{1,2}-\d{1,2})(?![0-9])"
 _NUM = r"(?<![0-9])(\d{1,2}[/-]\d{1,2}[/-]\d{4})(?![0-9])"
-_MY = rf"(?i)(?<![A-Za-z0-9])((?:{'|'.join(MONTHS)}|{_SHORT}|sept)\.?,?\s+(?:of\s+)?\d{{4}})(?![0-9])"
+_MY = rf"(?i)(?<![A-Za-z0-9])(?=[adfjmnos])((?:{'|'.join(MONTHS)}|{_SHORT}|sept)\.?,?\s+(?:of\s+)?\d{{4}})(?![0-9])"
 
 
 def month_number(token: Column) -> Column:

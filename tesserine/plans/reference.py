@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tesserine.functions import dates, scores, text, tiers, urls
 from tesserine.operators import audit, chunking, evidence, hashes, media, metrics, selection, timeline, vectors
-from tesserine.session import table
+from tesserine.session import spread, table
 
 STOPWORDS = tuple("the a an and or of to in on at for is are was were be been that this by from with as about into over after before it its he she they not no but if than then so such also will would can may might do does did has had have nor".split())
 DATE_LIST = "array<struct<day: int, month: int, year: int, raw: string, ambiguous: boolean, precision: string>>"
@@ -84,7 +84,7 @@ def _dated_passages(spark, d):
     first = F.get(dates.extract_dates(c("claim")), F.lit(0))
     stems = F.array_distinct(F.transform(text.keywords(c("claim"), STOPWORDS), text.stem))
     claims = table(spark, d, "claims").select("claim_id", first.alias("claim_date"), dates.years(c("claim")).alias("claim_years"), stems.alias("stems"))
-    return _ev(spark, d).filter("chunk is not null").select("evidence_id", "claim_id", "chunk").join(claims, "claim_id")
+    return spread(_ev(spark, d).filter("chunk is not null").select("evidence_id", "claim_id", "chunk")).join(claims, "claim_id")
 
 
 def date_statuses(spark, d):
@@ -118,7 +118,7 @@ def evidence_scores(spark, d):
 
 
 def source_decisions(spark, d):
-    return evidence.source_decisions(_ev(spark, d))
+    return evidence.source_decisions(spread(_ev(spark, d)))
 
 
 def publisher_decisions(spark, d):
@@ -167,7 +167,7 @@ def claim_years(spark, d):
 def date_agreement(spark, d):
     """How the dates of passages agree with the day their claim was entered."""
     # dates are taken out once, before they are compared, and only they go through the join
-    dated = _ev(spark, d).select("claim_id", dates.extract_dates(F.col("chunk")).alias("found"), dates.years(F.col("chunk")).alias("years"))
+    dated = spread(_ev(spark, d).select("claim_id", "chunk")).select("claim_id", dates.extract_dates(F.col("chunk")).alias("found"), dates.years(F.col("chunk")).alias("years"))
     found = dated.join(table(spark, d, "claims").select("claim_id", "submission_date"), "claim_id").select("submission_date", "found", "years")
     full = found.select("submission_date", F.coalesce("found", F.from_json(F.lit("[]"), DATE_LIST)).alias("found"), F.coalesce("years", F.array().cast("array<int>")).alias("years"))
     return full.select(dates.agreement(F.col("found"), F.col("years"), F.col("submission_date")).alias("agreement")).groupBy("agreement").agg(F.count(F.lit(1)).alias("n"))
@@ -185,7 +185,7 @@ def claim_words_met(spark, d):
     """Which of a claim's keywords, in any simple form, stand in each passage, and whether it speaks of checking facts."""
     c = F.col
     kw = table(spark, d, "claims").select("claim_id", text.keywords(c("claim"), STOPWORDS).alias("kw"))
-    words = _ev(spark, d).filter("chunk is not null").select("evidence_id", "claim_id", F.array_distinct(text.tokens(c("chunk"))).alias("words"), text.has_marker(c("chunk"), FACT_CHECK_WORDS).alias("checks"))
+    words = spread(_ev(spark, d).filter("chunk is not null").select("evidence_id", "claim_id", "chunk")).select("evidence_id", "claim_id", F.array_distinct(text.tokens(c("chunk"))).alias("words"), text.has_marker(c("chunk"), FACT_CHECK_WORDS).alias("checks"))
     met = F.filter("kw", lambda k: text.contains_keyword(c("words"), k))
     return words.join(kw, "claim_id").select("evidence_id", F.array_join(met, ",").alias("met"), "checks")
 

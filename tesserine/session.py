@@ -49,13 +49,19 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def spread(df: DataFrame, below: int = 16 << 20) -> DataFrame:
-    """A small table, of which one file may be one partition, over all cores; by the planner's estimate, nothing is run.
+def spread(df: DataFrame, below: int = 1 << 30) -> DataFrame:
+    """A small table in fewer partitions than there are cores, as one file may be one, over all cores; nothing is run.
 
-    Tables of more than ``below`` bytes have partitions enough and aren't shuffled.
+    Tables of more than ``below`` bytes by the planner's estimate aren't shuffled. Without access to the plan (a
+    remote session) the table stays as it is; no result hangs on it.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < below else df
+    try:
+        plan = df._jdf.queryExecution()
+        size, parts = int(str(plan.optimizedPlan().stats().sizeInBytes())), plan.toRdd().getNumPartitions()
+        cores = df.sparkSession.sparkContext.defaultParallelism
+    except Exception:
+        return df
+    return df.repartition(cores) if size < below and parts < cores else df
 
 
 def clear_written(spark: SparkSession) -> None:
