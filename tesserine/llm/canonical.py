@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesserine.operators.skew import keyed_join
-from tesserine.session import written
+from tesserine.session import spread, written
 
 #: White space (no-break and zero-width kinds too) and punctuation.
 _DROPPED = r"[\p{P}\p{Z}\s\x{85}\x{200B}-\x{200D}\x{2060}\x{FEFF}]+"
@@ -64,7 +64,8 @@ def copies(df: DataFrame, id_col: str, exact: list[str], texts: list[str], urls:
     of all rows costs one combined row a task; its copies come back by a salted join. Rows repeated with the same id
     count as copies but give no pair of an id with itself. Empty tables give empty results.
     """
-    rows = df.filter(F.regexp_replace(F.col(required), r"[\s\p{Z}]+", "") != "")
+    used = list(dict.fromkeys([id_col, *exact, *texts, *urls, required]))
+    rows = spread(df.select(*used)).filter(F.regexp_replace(F.col(required), r"[\s\p{Z}]+", "") != "")
     keys = written(record_keys(rows, id_col, exact, texts, urls, hash128), "keys")
     records = keys.groupBy("h", "check").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n_copies"))
     repeated = written(records.filter("n_copies > 1"), "repeated")
