@@ -212,12 +212,16 @@ def without_dates(col: Column, found: Column) -> Column:
 
 def labelled(col: Column, label: str, values: tuple[str, ...]) -> Column:
     """The last of the values, in capitals, that follows the label and a colon or dash, else the last alone on a line, else null."""
-    one = "|".join(values)
+    known = F.array(*(F.lit(v.upper()) for v in values))
 
-    def last(pattern: str) -> Column:
-        return F.try_element_at(F.regexp_extract_all(col, F.lit(pattern), 1), F.lit(-1))
+    def last_known(words: Column) -> Column:
+        return F.try_element_at(F.filter(words, lambda w: F.array_contains(known, w)), F.lit(-1))
 
-    return F.upper(F.coalesce(last(rf"(?i){label}\s*[:-]\s*\**\s*({one})\b"), last(rf"(?im)^\s*\**\s*({one})\s*\**\s*$")))
+    high = F.upper(col)
+    # what stands behind each label, down to its first word
+    behind = F.transform(F.split(high, rf"{label.upper()}\s*[:-]"), lambda x, i: F.when(i > 0, F.regexp_extract(x, r"^[\s*]*(\w+)", 1)))
+    lines = F.transform(F.split(high, "\n"), lambda x: F.regexp_replace(x, r"[\s*]+", ""))
+    return F.coalesce(last_known(behind), last_known(lines))
 
 
 def list_section(col: Column, heading: str) -> Column:
