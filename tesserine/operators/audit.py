@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserine.operators.skew import keyed_join
@@ -52,17 +52,19 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return vertices.select("id").distinct().join(of.withColumnRenamed("b", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def grouped_split(df: DataFrame, group: str, label: str, shares: tuple[float, float, float] = (0.70, 0.15, 0.15), seed: int = 42) -> DataFrame:
+def grouped_split(df: DataFrame, group: str, label: str, shares: tuple[float, float, float] = (0.70, 0.15, 0.15), seed: int = 42, held_out: Column | None = None) -> DataFrame:
     """Each group whole in one of train, val and test, in about these shares of the groups of each label.
 
     A group's place is the hash of its name and the seed, so groups keep their split when others come; the label of a
-    group is its smallest. Null groups are rows of their own and go to train.
+    group is its smallest. Null groups are rows of their own and go to train. Groups with a row for which ``held_out``
+    holds are all test, so that what is held out (a generator, a source) is in no other split; null groups too, row by row.
     """
-    groups = df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.min(label).alias("_l"))
+    out = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
+    groups = df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.min(label).alias("_l"), F.coalesce(F.max(out), F.lit(False)).alias("_o"))
     name = F.concat_ws("|", F.col(group).cast("string"), F.col("_l").cast("string"), F.lit(str(seed)))
     place = (F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
-    split = F.when(place < shares[0], "train").when(place < shares[0] + shares[1], "val").otherwise("test")
-    return df.join(groups.select(group, split.alias("split")), group, "left").withColumn("split", F.coalesce("split", F.lit("train")))
+    split = F.when(F.col("_o"), "test").when(place < shares[0], "train").when(place < shares[0] + shares[1], "val").otherwise("test")
+    return df.join(groups.select(group, split.alias("split")), group, "left").withColumn("split", F.coalesce("split", F.when(out, "test").otherwise("train")))
 
 
 def split_by_precedence(df: DataFrame, key: str, split: str, order: tuple[str, ...] = ("train", "val", "test"), tie: str = "row_id") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tesserine.functions import dates, scores, text, tiers, urls
 from tesserine.operators import audit, chunking, evidence, hashes, media, metrics, selection, timeline, vectors
 from tesserine.session import spread, table
+from tesserine.streaming import timeline as progress
 
 STOPWORDS = tuple("the a an and or of to in on at for is are was were be been that this by from with as about into over after before it its he she they not no but if than then so such also will would can may might do does did has had have nor".split())
 DATE_LIST = "array<struct<day: int, month: int, year: int, raw: string, ambiguous: boolean, precision: string>>"
@@ -345,6 +346,29 @@ def grouped_split(spark, d):
     return audit.grouped_split(_manifests(spark, d).drop("split").join(c, "row_id"), "component", "label").groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def held_out_split(spark, d):
+    """The same with components that have a row of a fallback source held out for the test."""
+    c = linked_components(spark, d).withColumnRenamed("id", "row_id")
+    m = _manifests(spark, d).drop("split").join(c, "row_id")
+    return audit.grouped_split(m, "component", "label", held_out=F.col("used_fallback")).groupBy("split", "label", "used_fallback").agg(F.count(F.lit(1)).alias("n"))
+
+
+def scored_manifest(spark, d):
+    """Scores joined to the rows of the manifests by id, rows without one among them, by split and quality of the picture."""
+    s = _scored(spark, d).select(F.col("evidence_id").alias("row_id"), "y", "p").filter("p is not null")
+    j = _manifests(spark, d).join(s, "row_id", "left")
+    return j.groupBy("split", (F.greatest("width", "height") > 1024).alias("large")).agg(F.count(F.lit(1)).alias("n_rows"), F.count("p").alias("n_scored"), F.count_if((F.col("p") >= 0.5) == (F.col("y") == 1)).alias("n_right"))
+
+
+STAGES = [("^(?:view|open|visit)", "seen"), ("click|search|play", "used"), ("cart|buy|purchase|pay", "bought")]
+
+
+def progress_stages(spark, d):
+    """Events by the first stage whose pattern their kind matches; the same operator works on a stream."""
+    e = progress.staged_progress(table(spark, d, "events").select("event_type"), "event_type", STAGES)
+    return e.groupBy("event_type", "stage").agg(F.count(F.lit(1)).alias("n"))
+
+
 def split_leaks(spark, d):
     return audit.shared_keys(_manifests(spark, d), "actual_url", "split").select("actual_url", F.array_join("splits", ",").alias("splits"))
 
@@ -455,7 +479,7 @@ QUERIES = {
         canonical_urls, url_parts, source_tiers, evidence_classes, event_matches, date_statuses, date_bindings, dedup_by_url, diverse_topk, evidence_scores, source_decisions, publisher_decisions, agreement, fusion_scores, best_passages, reconciled, class_counts,
         claim_dates, claim_years, date_agreement, claim_keywords, claim_words_met, undated_claims, claim_phrases, keyword_coverage, text_helpers, redacted, case_ids, near_duplicates, contained_texts, best_by_url, text_classes, greedy_dedup, chunks, context_windows, cosine_topk, near_hashes,
         confusion, confusion_by_type, threshold_sweep, best_threshold, locked_evaluation, reliability_bins, calibration_error, auc_by_type, uncertainty_band, temperature, ensemble_scores, bootstrap_gain,
-        duplicate_files, label_conflicts, linked_components, grouped_split, split_leaks, split_precedence, class_statistics, resolution_buckets,
+        duplicate_files, label_conflicts, linked_components, grouped_split, held_out_split, scored_manifest, progress_stages, split_leaks, split_precedence, class_statistics, resolution_buckets,
         gap_islands, merged_observations, interval_join, interval_anti_join, sliding_means, sampled_events, fused_timeline, window_decisions, folded_labels, worst_errors, event_properties, claim_profiles,
     )
 }

@@ -269,6 +269,9 @@ ORACLE: dict[str, str] = {
     "source_tiers": _TIERS,
     "text_helpers": _HELPERS,
     "redacted": _REDACTED,
+    "held_out_split": _GROUPED.replace("min(label) AS l FROM", "min(label) AS l, coalesce(bool_or(used_fallback), false) AS o FROM").replace("SELECT component, (CAST", "SELECT component, o, (CAST").replace("SELECT CASE WHEN p < 0.7", "SELECT CASE WHEN o THEN 'test' WHEN p < 0.7").replace("label, count(*) AS n FROM", "label, used_fallback, count(*) AS n FROM").replace("GROUP BY 1, 2\n", "GROUP BY 1, 2, 3\n"),
+    "scored_manifest": f"WITH {_M}, {_SCORED} SELECT split, greatest(width, height) > 1024 AS large, count(*) AS n_rows, count(p) AS n_scored, count(*) FILTER ((p >= 0.5) = (y = 1)) AS n_right FROM m LEFT JOIN s ON row_id = evidence_id GROUP BY ALL",
+    "progress_stages": "SELECT event_type, CASE WHEN regexp_matches(event_type, '^(?:view|open|visit)') THEN 'seen' WHEN regexp_matches(event_type, 'click|search|play') THEN 'used' WHEN regexp_matches(event_type, 'cart|buy|purchase|pay') THEN 'bought' END AS stage, count(*) AS n FROM events GROUP BY ALL",
     "linked_components": f"WITH RECURSIVE {_LINKED} SELECT id, component FROM comp",
     "grouped_split": _GROUPED,
     "claim_keywords": rf"""

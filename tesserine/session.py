@@ -57,6 +57,8 @@ def spread(df: DataFrame, below: int = 1 << 30) -> DataFrame:
     """
     try:
         plan = df._jdf.queryExecution()
+        if plan.executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return df  # it has a shuffle of its own, and counting its partitions would run it
         size, parts = int(str(plan.optimizedPlan().stats().sizeInBytes())), plan.toRdd().getNumPartitions()
         cores = df.sparkSession.sparkContext.defaultParallelism
     except Exception:
