@@ -69,7 +69,7 @@ def merge_observations(df: DataFrame, key: str, ts: str, text: str, gap: float =
     last_ts, last_text = F.lag("ts").over(w), F.lag("text").over(w)
     parts = last_ts.isNull() | (F.col("ts") - last_ts > gap) | (likeness(F.col("text"), last_text) < similarity)
     runs = rows.withColumn("parts", parts.cast("int")).withColumn("run", F.sum("parts").over(w))
-    longest = F.max_by("text", F.struct(F.length("text"), -F.col("ts"), -F.col("frame")))
+    longest = F.min(F.struct((-F.length("text")).alias("l"), "ts", "frame", "text"))["text"]
     of = runs.groupBy("key", "run").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), longest.alias("text"), F.count(F.lit(1)).cast("int").alias("n"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.max("sure").alias("confidence"))
     return of.select("key", "start", "end", "text", "n", *(["first_frame", "last_frame"] if frame else []), *(["confidence"] if confidence else []))
 
